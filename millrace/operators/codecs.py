@@ -81,9 +81,10 @@ class MetaspaceTokenizer:
         return documents.select(*keys, bpe.word_units(words).alias("units"))
 
     def encode(self, documents: DataFrame, *keys: str) -> DataFrame:
+        """Ids of each document. The last key must tell documents apart."""
         units = self.units(documents, *keys)
         words = bpe.dictionary(units, self.vocabulary, self.letters, self.first_id)
-        return bpe.place_ids(units, words, *keys)
+        return bpe.place_ids(documents, self.units, words, *keys)
 
     def decode(self, ids: Column) -> Column:
         real = F.filter(ids, lambda i: i >= len(bpe.SPECIALS))

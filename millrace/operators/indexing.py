@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions.hashing import hex_bucket, seeded_md5
 
-ROWS_PER_BUCKET = 250_000
-MAX_BUCKETS = 4096
-FINE_STEP = 64
+ROWS_PER_BUCKET = 20_000
+MIN_BUCKET = 500
+MAX_BUCKETS = 65_536
+FINE_STEP = 256
 
 
 def quantile_bounds(df: DataFrame, key: str) -> list[float]:
@@ -25,23 +26,32 @@ def quantile_bounds(df: DataFrame, key: str) -> list[float]:
     They are fixed as literals so that both reads of the rows see the same buckets.
     """
     rows = df.agg(F.count(key)).first()[0]
-    buckets = min(MAX_BUCKETS, -(-rows // ROWS_PER_BUCKET))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    buckets = max(-(-rows // ROWS_PER_BUCKET), min(cores, rows // MIN_BUCKET))
+    buckets = min(MAX_BUCKETS, buckets)
     if buckets <= 1:
         return []
     shares = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(key, shares, 4 * MAX_BUCKETS).alias("q")).first()["q"]
+    accuracy = max(10_000, 4 * buckets)
+    found = df.agg(F.percentile_approx(key, shares, accuracy).alias("q")).first()["q"]
     return sorted(set(found))
 
 
+def constant_array(values: list) -> Column:
+    """Numbers as one literal that the optimizer folds, however many they are."""
+    listed = F.split(F.lit(",".join(map(str, values))), ",")
+    return listed.cast("array<double>" if isinstance(values[0], float) else "array<bigint>")
+
+
 def bucket_of(key: Column, bounds: list[float]) -> Column:
     """How many bounds are at or below the key: a coarse look-up, then one within FINE_STEP."""
     if not bounds:
         return F.lit(0)
     if len(bounds) <= FINE_STEP:
-        return F.size(F.filter(F.lit(bounds), lambda b: b <= key))
-    first_of_step = F.lit(bounds[::FINE_STEP])
+        return F.size(F.filter(constant_array(bounds), lambda b: b <= key))
+    first_of_step = constant_array(bounds[::FINE_STEP])
     step = F.greatest(F.size(F.filter(first_of_step, lambda b: b <= key)) - 1, F.lit(0))
-    fine = F.slice(F.lit(bounds), step * FINE_STEP + 1, F.lit(FINE_STEP))
+    fine = F.slice(constant_array(bounds), step * FINE_STEP + 1, F.lit(FINE_STEP))
     return step * FINE_STEP + F.size(F.filter(fine, lambda b: b <= key))
 
 
@@ -99,6 +109,16 @@ def shuffled_index(
     return running_total(keyed, "_md5", F.lit(1), name, bucket=bucket, total=total).drop("_md5")
 
 
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """Hash partitions by a key, as many as the session's shuffle setting says.
+
+    A number that is spelled out keeps adaptive execution from merging partitions by their
+    bytes: what follows costs far more than reading them.
+    """
+    number = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(number, F.col(key))
+
+
 def overlapping_chunks(
     df: DataFrame, index: str, chunk_rows: int, back: int
 ) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import gotokens as go
+from millrace.operators.indexing import by_key
 
 # The scanner's rules: raw strings and block comments run to the end of the text when they are
 # not closed, strings and runes to the end of the line. Possessive groups keep the matcher
@@ -100,7 +101,7 @@ def token_table(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     Texts move to their key's partition before they are split, so the offsets' window needs no
     shuffle of the many small token rows.
     """
-    split = documents.repartition(F.col(key)).select(
+    split = by_key(documents, key).select(
         key, F.posexplode(pieces(F.col("content"))).alias("_pos", "_text")
     )
     before = W.partitionBy(key).orderBy("_pos").rowsBetween(W.unboundedPreceding, -1)

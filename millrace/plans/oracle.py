@@ -283,18 +283,18 @@ ORACLE: dict[str, str] = {
         compiled, passed, coalesce(error_log, '-'), code), ';' order by candidate_id) as candidates,
         any_value(num_compiled) as num_compiled, any_value(num_passed) as num_passed
         from outc join cnt using (task_id) group by 1""",
-    "masked_loss": f"""with {LOSS} select dataset, batch, round({BATCH_LOSS}, 6) as loss, count(*) as n_targets
+    "masked_loss": f"""with {LOSS} select dataset, batch, round({BATCH_LOSS}, 10) as loss, count(*) as n_targets
         from tl group by 1, 2""",
     "dataset_val_loss": f"""with {LOSS}, bl as (select dataset, batch, {BATCH_LOSS} as loss from tl group by 1, 2)
-        select dataset, round(avg(loss), 6) as loss, count(*) as n_batches from bl group by 1""",
+        select dataset, round(avg(loss), 10) as loss, count(*) as n_batches from bl group by 1""",
     "weighted_mean": """select event_type as name, round(sum(value * (1 + event_id % 7)) / sum(1 + event_id % 7), 6) as mean,
         sum(1 + event_id % 7)::bigint as weight from events group by 1""",
     "step_loss_mean": f"""with {LOSS}, bl as (select batch, {BATCH_LOSS} as loss from tl group by 1)
-        select batch // 8 as step, round(avg(loss), 6) as loss from bl where (batch // 8 + 1) * 8 <= 200 group by 1""",
+        select batch // 8 as step, round(avg(loss), 10) as loss from bl where (batch // 8 + 1) * 8 <= 200 group by 1""",
     "tokens_ingested": f"""with {MET} select run_id, seq, cast(sum(weight) over (partition by run_id order by seq) as bigint)
         as total_tokens_ingested from m""",
-    "rolling_mean": f"""with {CURVES} select step, round(case when count(loss) over w = 512 then avg(loss) over w end, 6)
-        as smoothed_loss from click window w as (order by rn rows between 511 preceding and current row)""",
+    "rolling_mean": f"""with {CURVES} select step, round(case when count(loss) over w = 512 then avg(loss) over w end * 512, 2)
+        as smoothed_loss_x512 from click window w as (order by rn rows between 511 preceding and current row)""",
     "curve_concat": f"with {CONCAT} select * from cc",
     "common_range": f"""with {CONCAT}, e as (select row_number() over (order by event_id) - 1 as "index", value as loss
         from events where event_type = 'error'), u as (select 'a' as curve, "index", loss from cc union all
@@ -331,7 +331,7 @@ ORACLE: dict[str, str] = {
         + 410.7::double / pow((tokens * 1000)::double, 0.27::double), 6) as expected_loss from ps""",
     "lr_time_budget": f"""with {MET}, clock as (select run_id, ts as t0 from m where step = 100)
         select m.run_id, step, round(case when step < 100 then step / 100::double
-        else greatest(0.1::double, 1.0::double - (epoch_us(ts) - epoch_us(t0)) / 1e6::double / 1e6::double) end, 9) as lr_factor
+        else greatest(0.1::double, 1.0::double - (epoch_us(ts) - epoch_us(t0)) / 1e6::double / 1e6::double) end, 12) as lr_factor
         from m left join clock on clock.run_id = m.run_id""",
     "lr_onecycle": f"""with {MET}, n as (select run_id, step, (step - 1)::double as s, (count(*) over (partition by run_id))::double as total from m)
         select run_id, step, round(case when s <= 49.0::double

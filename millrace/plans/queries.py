@@ -113,9 +113,11 @@ def write_row_shards(spark, sf):
     return src.shard_manifest(spark.read.parquet(path))
 
 
-def encoded_shards(spark, sf) -> DataFrame:
-    tok = tokenizer(spark, sf)
-    return tok.encode(b.shards(spark, sf, "content"), "shard_id", "rn", "doc_id")
+def encoded_shards(spark, sf, kind: str = "metaspace") -> DataFrame:
+    """Encoded documents with their shard. Ids leave encoding partitioned by document, so the
+    join moves only the narrow index."""
+    encoded = tokenizer(spark, sf, kind).encode(spread_corpus(spark, sf), "doc_id")
+    return encoded.join(b.shards(spark, sf, "lang").select("doc_id", "rn", "shard_id"), "doc_id")
 
 
 @query
@@ -730,13 +732,13 @@ def eval_summary_nested(spark, sf):
 @query
 def masked_loss(spark, sf):
     found = evaluation.masked_loss(b.token_loss(spark, sf), 1, "dataset", "batch")
-    return found.withColumn("loss", F.round("loss", 6))
+    return found.withColumn("loss", F.round("loss", 10))
 
 
 @query
 def dataset_val_loss(spark, sf):
     found = evaluation.dataset_loss(b.token_loss(spark, sf), 1)
-    return found.withColumn("loss", F.round("loss", 6))
+    return found.withColumn("loss", F.round("loss", 10))
 
 
 # Metrics
@@ -751,7 +753,7 @@ def weighted_mean(spark, sf):
 def step_loss_mean(spark, sf):
     per_batch = evaluation.masked_loss(b.token_loss(spark, sf), 1, "batch").withColumnRenamed("batch", "batch_id")
     stepped = dataset.assign_steps(per_batch, 8, F.lit(200))
-    return metrics.step_means(stepped).withColumn("loss", F.round("loss", 6))
+    return metrics.step_means(stepped).withColumn("loss", F.round("loss", 10))
 
 
 @query
@@ -767,7 +769,11 @@ def smoothed(spark, sf, kind: str) -> DataFrame:
 
 @query
 def rolling_mean(spark, sf):
-    return smoothed(spark, sf, "click").select("step", F.round("smoothed_loss", 6).alias("smoothed_loss"))
+    # The mean of 512 two-digit values can end in a five at any digit one would round to; times
+    # 512 it has two digits again.
+    return smoothed(spark, sf, "click").select(
+        "step", F.round(F.col("smoothed_loss") * 512, 2).alias("smoothed_loss_x512")
+    )
 
 
 def curve_parts(spark, sf) -> DataFrame:
@@ -865,7 +871,7 @@ def expected_loss(spark, sf):
 @query
 def lr_time_budget(spark, sf):
     found = metrics.time_budget_factor(b.metric_steps(spark, sf), 100, 1_000_000.0, 0.1)
-    return found.withColumn("lr_factor", F.round("lr_factor", 9))
+    return found.withColumn("lr_factor", F.round("lr_factor", 12))
 
 
 @query
@@ -950,9 +956,7 @@ def stream_context_requests(spark, sf):
 @query
 def training_windows(spark, sf):
     """Documents, tokens and training windows of each shard after Go-aware encoding."""
-    tok = tokenizer(spark, sf, "go")
-    encoded = tok.encode(b.shards(spark, sf, "content"), "shard_id", "rn", "doc_id")
-    found = dataset.strict_windows(encoded, WIDTH, STRIDE)
+    found = dataset.strict_windows(encoded_shards(spark, sf, "go"), WIDTH, STRIDE)
     return found.groupBy("shard_id").agg(
         F.count("*").alias("num_windows"),
         F.max("start").alias("last_start"),
