@@ -203,6 +203,7 @@ def train(counts: DataFrame, vocab_size: int, max_rounds: int | None = None) ->
     each other. Only the best PAIRS_PER_ROUND pairs come to the driver. The merged word table is
     cached by the next round's count and written to the shared folder every ROUNDS_PER_CUT.
     """
+    counts = materialise(counts, "word-counts")
     alphabet = alphabet_of(counts)
     tokens = [*SPECIALS, *alphabet]
     known = {t: i for i, t in enumerate(tokens)}

@@ -6,6 +6,7 @@ are (keys..., ids).
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -132,11 +133,11 @@ class GoTokenizer(MetaspaceTokenizer):
         size = len(self.vocabulary)
 
         def identify(t: Column) -> Column:
-            first = F.substring(t, 1, 1)
+            blank = reduce(lambda x, y: x | y, [F.startswith(t, F.lit(c)) for c in " \t\r"])
             tabs = F.length(F.replace(t, F.lit("\r"), F.lit(""))) - 1
             return F.struct(
-                F.when(first == "\n", F.lit(go.GO_TOKENS) + F.least(tabs, F.lit(INDENTS - 1)))
-                .when(first.isin(" ", "\t", "\r"), go.SPACE)
+                F.when(F.startswith(t, F.lit("\n")), F.lit(go.GO_TOKENS) + F.least(tabs, F.lit(INDENTS - 1)))
+                .when(blank, go.SPACE)
                 .otherwise(lexer.token_id(t))
                 .alias("tok_id"),
                 lexer.clean_literal(t).alias("literal"),
@@ -154,7 +155,7 @@ class GoTokenizer(MetaspaceTokenizer):
             return F.when(spelled, self.spell(t["literal"])).otherwise(fixed_unit(t["tok_id"] + size))
 
         runs = F.filter(
-            lexer.pieces(F.col("content"), lexer.RUN_PATTERN), lambda t: ~t.rlike(r"\A[\t\r]+\z")
+            lexer.pieces(F.col("content"), lexer.RUN_PATTERN), lambda t: ~F.startswith(t, F.lit("\t")) & ~F.startswith(t, F.lit("\r")) | F.contains(t, F.lit(" "))
         )
         return documents.select(*keys, F.transform(runs, identify).alias("tokens")).select(
             *keys, F.flatten(F.transform(F.filter("tokens", wanted), unit)).alias("units")

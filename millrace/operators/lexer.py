@@ -6,6 +6,8 @@ the array of tokens happens inside the row: no Python worker and no shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,34 +44,41 @@ def token_id(text: Column) -> Column:
     """Go token id of one piece of the pattern.
 
     Any longer piece that is neither spelled, quoted, a comment nor a number is a word, so only
-    single characters need a look at their letter class.
+    single characters need a look at their letter class. Blanks and words, the most frequent
+    pieces, pass no array search.
     """
-    first = F.substring(text, 1, 1)
-    spelled = F.array_position(F.lit(_SPELLED), text).cast("int")
-    hexadecimal = F.lower(F.substring(text, 1, 2)) == "0x"
+
+    def starts(*chars: str) -> Column:
+        return reduce(lambda x, y: x | y, [F.startswith(text, F.lit(c)) for c in chars])
+
+    hexadecimal = starts("0x", "0X")
     point_or_exponent = F.when(hexadecimal, text.rlike("[.pP]")).otherwise(text.rlike("[.eEpP]"))
     number = (
         F.when(F.endswith(text, F.lit("i")), go.IMAG)
         .when(point_or_exponent, go.FLOAT)
         .otherwise(go.INT)
     )
-    return F.coalesce(
-        F.get(F.lit(_SPELLED_IDS), spelled - 1),
-        F.when(first.isin('"', "`"), go.STRING)
-        .when(first == "'", go.CHAR)
-        .when(first == "/", go.COMMENT)
-        .when(first.between("0", "9") | (first == "."), number)
+    spelled = F.array_position(F.lit(_SPELLED), text).cast("int")
+    return (
+        F.when(text == " ", go.SPACE)
+        .when(text.isin(_SPELLED), F.get(F.lit(_SPELLED_IDS), spelled - 1))
+        .when(starts('"', "`"), go.STRING)
+        .when(starts("'"), go.CHAR)
+        .when(starts("/"), go.COMMENT)
+        .when(((text >= "0") & (text < ":")) | starts("."), number)
         .when(F.length(text) > 1, go.IDENT)
         .when(text.rlike(r"[\p{L}_]"), go.IDENT)
-        .otherwise(0),
+        .otherwise(0)
     )
 
 
 def clean_literal(text: Column) -> Column:
     """Carriage returns leave raw strings and block comments, and the end of a line comment."""
+    first = F.substring(text, 1, 1)
     return (
-        F.when(F.startswith(text, F.lit("//")), F.regexp_replace(text, "\r\\z", ""))
-        .when(F.substring(text, 1, 1).isin("`", "/"), F.replace(text, F.lit("\r"), F.lit("")))
+        F.when(~F.contains(text, F.lit("\r")), text)
+        .when(F.startswith(text, F.lit("//")), F.regexp_replace(text, "\r\\z", ""))
+        .when(first.isin("`", "/"), F.replace(text, F.lit("\r"), F.lit("")))
         .otherwise(text)
     )
 

@@ -22,7 +22,7 @@ from millrace.operators import (
 )
 from millrace.plans import bindings as b
 from millrace.plans.trained import VOCABULARY, tokenizer
-from millrace.session import fresh_path
+from millrace.session import fresh_path, materialise
 from millrace.sources import corpus as src
 from millrace.streaming import jobs
 
@@ -361,7 +361,7 @@ def token_kind_histogram(spark, sf):
 @query
 def pretok_metaspace(spark, sf):
     words = bpe.metaspace_words(F.col("content"))
-    return b.corpus(spark, sf).select("doc_id", words.alias("w")).select(
+    return spread_corpus(spark, sf).select("doc_id", words.alias("w")).select(
         "doc_id", F.size("w").alias("n_words"), F.md5(joined("w", "|")).alias("digest")
     )
 
@@ -376,7 +376,7 @@ def pretok_bytelevel(spark, sf):
 
 @query
 def word_freq(spark, sf):
-    return bpe.word_counts(codecs.MetaspaceTokenizer.training_words(b.corpus(spark, sf)))
+    return bpe.word_counts(codecs.MetaspaceTokenizer.training_words(spread_corpus(spark, sf)))
 
 
 @query
@@ -536,7 +536,7 @@ def shuffle_global(spark, sf):
 
 @query
 def shuffle_buffered(spark, sf):
-    found = windows(spark, sf).select("shard_id", "win")
+    found = materialise(windows(spark, sf).select("shard_id", "win"), "windows")
     return dataset.buffered_shuffle(found, SEED, WIDTH, buffer=500)
 
 
