@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.indexing import by_key
 from millrace.session import materialise
 
 # Special tokens and their ids, whatever a caller asks for.
@@ -313,19 +312,19 @@ def dictionary(units: DataFrame, vocabulary: Vocabulary, letters, first_id: int
     return materialise(encoded, "dictionary")
 
 
-def place_ids(documents: DataFrame, units_of, words: DataFrame, *keys: str) -> DataFrame:
+def place_ids(units: DataFrame, grouped, words: DataFrame, *keys: str) -> DataFrame:
     """Documents' ids from their units (ARRAY<STRUCT<word STRING, fixed INT>>) and a dictionary.
 
-    A dictionary of checked size is broadcast. Texts then move once, by the last key, and a
-    document's many units stay in its partition until they are an array again. A larger
-    dictionary splits: words that make up a thousandth of all occurrences, so at most a thousand
-    of them, are broadcast, and no word left for the shuffled join is frequent.
+    A dictionary of checked size is broadcast. ``grouped`` then gives the units partitioned by
+    the last key, and a document's many units stay in its partition until they are an array
+    again. A larger dictionary splits: words that make up a thousandth of all occurrences, so at
+    most a thousand of them, are broadcast, and no word left for the shuffled join is frequent.
     """
     size, total = words.agg(
         F.sum(F.octet_length("word") + 4 * F.size("ids") + 48), F.sum("n")
     ).first()
     single = (size or 0) <= BROADCAST_BYTES
-    source = units_of(by_key(documents, keys[-1]) if single else documents, *keys)
+    source = grouped() if single else units
     entries = words.select("word", F.col("ids").alias("word_ids"), "n")
     rows = source.select(*keys, F.posexplode_outer("units").alias("pos", "u")).select(
         *keys, "pos", F.col("u.word").alias("word"), F.col("u.fixed").alias("fixed")

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from millrace.functions import gotokens as go
 from millrace.functions.text import ascii_strip, comment_inner, string_inner
 from millrace.operators import bpe, lexer
+from millrace.operators.indexing import by_key
+from millrace.session import materialise
 
 # Indents told apart after a line break, and ids beyond the trained vocabulary.
 INDENTS = 8
@@ -57,6 +59,8 @@ def fixed_unit(token_id: Column) -> Column:
 class MetaspaceTokenizer:
     extra_ids = 0
     first_id = 0
+    # Splitting at blanks is cheaper done twice than stored; lexing is not.
+    keeps_units = False
 
     def __init__(self, vocabulary: bpe.Vocabulary):
         self.vocabulary = vocabulary
@@ -84,8 +88,16 @@ class MetaspaceTokenizer:
     def encode(self, documents: DataFrame, *keys: str) -> DataFrame:
         """Ids of each document. The last key must tell documents apart."""
         units = self.units(documents, *keys)
+        if self.keeps_units:
+            units = materialise(units, "units")
         words = bpe.dictionary(units, self.vocabulary, self.letters, self.first_id)
-        return bpe.place_ids(documents, self.units, words, *keys)
+
+        def grouped() -> DataFrame:
+            if self.keeps_units:
+                return by_key(units, keys[-1])
+            return self.units(by_key(documents, keys[-1]), *keys)
+
+        return bpe.place_ids(units, grouped, words, *keys)
 
     def decode(self, ids: Column) -> Column:
         real = F.filter(ids, lambda i: i >= len(bpe.SPECIALS))
@@ -100,6 +112,7 @@ class GoTokenizer(MetaspaceTokenizer):
     """Go tokens and indents have ids of their own; names, comments and literals are spelled."""
 
     extra_ids = GO_EXTRA
+    keeps_units = True
 
     @staticmethod
     def literal_counts_words(literals: Column) -> Column:
@@ -136,11 +149,14 @@ class GoTokenizer(MetaspaceTokenizer):
             blank = reduce(lambda x, y: x | y, [F.startswith(t, F.lit(c)) for c in " \t\r"])
             tabs = F.length(F.replace(t, F.lit("\r"), F.lit(""))) - 1
             return F.struct(
-                F.when(F.startswith(t, F.lit("\n")), F.lit(go.GO_TOKENS) + F.least(tabs, F.lit(INDENTS - 1)))
-                .when(blank, go.SPACE)
+                F.when(blank, go.SPACE)
+                .when(
+                    F.startswith(t, F.lit("\n")),
+                    F.lit(go.GO_TOKENS) + F.least(tabs, F.lit(INDENTS - 1)),
+                )
                 .otherwise(lexer.token_id(t))
                 .alias("tok_id"),
-                lexer.clean_literal(t).alias("literal"),
+                t.alias("literal"),
             )
 
         def wanted(t: Column, at: Column) -> Column:
@@ -152,11 +168,15 @@ class GoTokenizer(MetaspaceTokenizer):
 
         def unit(t: Column) -> Column:
             spelled = t["tok_id"].isin(list(go.LITERAL_IDS))
-            return F.when(spelled, self.spell(t["literal"])).otherwise(fixed_unit(t["tok_id"] + size))
+            literal = lexer.clean_literal(t["literal"])
+            return F.when(spelled, self.spell(literal)).otherwise(fixed_unit(t["tok_id"] + size))
 
-        runs = F.filter(
-            lexer.pieces(F.col("content"), lexer.RUN_PATTERN), lambda t: ~F.startswith(t, F.lit("\t")) & ~F.startswith(t, F.lit("\r")) | F.contains(t, F.lit(" "))
-        )
+        def written(t: Column) -> Column:
+            """All but runs of tabs and carriage returns that hold no blank."""
+            odd = F.startswith(t, F.lit("\t")) | F.startswith(t, F.lit("\r"))
+            return ~odd | F.contains(t, F.lit(" "))
+
+        runs = F.filter(lexer.pieces(F.col("content"), lexer.RUN_PATTERN), written)
         return documents.select(*keys, F.transform(runs, identify).alias("tokens")).select(
             *keys, F.flatten(F.transform(F.filter("tokens", wanted), unit)).alias("units")
         )

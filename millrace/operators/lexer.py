@@ -31,10 +31,11 @@ NUMBER = (
 OPERATOR = (
     r"&\^=|<<=|>>=|\.\.\.|&\^|<<|>>|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|[-+*/%&|^]="
 )
-PIECES = "|".join([RAW_STRING, STRING, RUNE, COMMENT, WORD, NUMBER, OPERATOR])
-PATTERN = f"(?s)({PIECES}|.)"
+LITERALS = "|".join([RAW_STRING, STRING, RUNE, COMMENT, NUMBER, OPERATOR])
+# The most frequent pieces, words and white space, are tried first.
+PATTERN = f"(?s)({WORD}|[ \\n]|{LITERALS}|.)"
 # The same with white space in runs: a line break with its indent, and other blanks.
-RUN_PATTERN = f"(?s)({PIECES}|\\n[\\t\\r]*+|[ \\t\\r]++|.)"
+RUN_PATTERN = f"(?s)({WORD}|[ \\t\\r]++|\\n[\\t\\r]*+|{LITERALS}|.)"
 
 _SPELLED = list(go.SPELLINGS)
 _SPELLED_IDS = list(go.SPELLINGS.values())

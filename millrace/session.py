@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_local_folders: dict[str, str] = {}
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -33,29 +34,24 @@ def shared_folder(spark: SparkSession) -> str:
     """
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if named:
-        folder = named
-    elif spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set(CHECKPOINT_CONF, folder)
-    else:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="millrace-")
+    return _local_folders[app]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write once to the shared folder and read back, for frames used more than once."""
+    """Write once to the shared folder and read back.
+
+    For frames used more than once, and to cut lineage: the table outlives any executor.
+    """
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

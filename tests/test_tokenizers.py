@@ -119,7 +119,7 @@ def test_go_decode_equals_model(prose, go_tokenizer):
 
 
 def test_go_round_trip_of_formatted_code(spark, go_tokenizer):
-    code = 'package main\n\nfunc f(x int) {\n\tif x == 1 {\n\t\treturn\n\t}\n\tmain("cat")\n}\n'
+    code = 'package main\n\nfunc f(x int) {\n\tif x == 1 {\n\t\treturn x\n\t}\n\tmain("cat")\n}\n'
     row = spark.createDataFrame([(1, code)], "doc_id int, content string")
     back = go_tokenizer.encode(row, "doc_id").select(go_tokenizer.decode(F.col("ids")).alias("d")).first().d
     letters = set("".join(go_tokenizer.vocabulary.tokens))
