@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.hashing import seeded_md5
 from millrace.functions.text import strip_ws
+from millrace.operators.indexing import by_key
 
 SAMPLE = T.StructType(
     [T.StructField("sample", T.StringType()), T.StructField("_corrupt_record", T.StringType())]
@@ -110,7 +110,7 @@ def read_curve(spark: SparkSession, paths: list[str]) -> DataFrame:
 def write_shards(sharded: DataFrame, path: str) -> None:
     """One folder per shard, rows in corpus order."""
     (
-        sharded.repartition("shard_id")
+        by_key(sharded, "shard_id")
         .sortWithinPartitions("shard_id", "rn")
         .write.partitionBy("shard_id")
         .parquet(path)
