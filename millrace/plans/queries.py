@@ -20,8 +20,9 @@ from millrace.operators import (
     metrics,
     prompts,
 )
+from millrace.operators.indexing import row_index, shuffled_index
 from millrace.plans import bindings as b
-from millrace.plans.trained import VOCABULARY, tokenizer
+from millrace.plans.trained import tokenizer
 from millrace.session import fresh_path, materialise
 from millrace.sources import corpus as src
 from millrace.streaming import jobs
@@ -541,8 +542,6 @@ def shuffle_buffered(spark, sf):
 
 
 def batches(spark, sf, drop_last: bool) -> DataFrame:
-    from millrace.operators.indexing import shuffled_index
-
     docs = b.corpus(spark, sf).select("doc_id")
     placed = shuffled_index(docs, SEED, "doc_id", total="total")
     return dataset.assign_batches(placed, 16, drop_last)
@@ -762,8 +761,6 @@ def tokens_ingested(spark, sf):
 
 
 def smoothed(spark, sf, kind: str) -> DataFrame:
-    from millrace.operators.indexing import row_index
-
     return metrics.rolling_mean(row_index(b.curve(spark, sf, kind), "step"), "loss", 512, "smoothed_loss")
 
 
@@ -876,8 +873,6 @@ def lr_time_budget(spark, sf):
 
 @query
 def lr_onecycle(spark, sf):
-    from millrace.operators.indexing import row_index
-
     steps = row_index(b.metrics(spark, sf).select("run_id", "seq"), "seq", "step", within=("run_id",), total="total")
     rate = metrics.onecycle_rate(F.col("step") - 1, F.col("total"), 50, 0.01)
     return steps.select("run_id", "step", F.round(rate, 9).alias("lr"))
