@@ -55,3 +55,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files behind a frame that ``materialise`` returned and nobody reads any more."""
+    spark = df.sparkSession
+    shared = shared_folder(spark).rstrip("/")
+    for name in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        if path.getParent().toUri().getPath() == spark._jvm.org.apache.hadoop.fs.Path(shared).toUri().getPath():
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
