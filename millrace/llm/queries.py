@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import simhash
+from millrace.llm import binpack, localpack, simhash, toxicity
 from millrace.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +22,29 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
 @query
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return localpack.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = binpack.packed_rows(table(spark, sf_dir, "documents"))
+    return packed.select(
+        "sequence_id",
+        "n_tokens",
+        F.size("doc_ids").alias("n_segments"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.crc32("position_ids").alias("positions_crc32"),
+        "cu_seqlens",
+        "doc_ids",
+        "starts",
+    )
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
