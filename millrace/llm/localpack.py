@@ -239,5 +239,5 @@ def pack_documents(
     )
     packed = grouped.groupBy("group").applyInPandas(lambda g: _place(g, capacity), schema)
     full = pieces.where(F.col("length") >= capacity)
-    alone = full.drop("row").withColumns({"sequence_id": -1 - full["row"], "offset": F.lit(0).cast("bigint")})
+    alone = full.withColumns({"sequence_id": -1 - F.col("row"), "offset": F.lit(0).cast("bigint")}).drop("row")
     return packed.unionByName(alone)

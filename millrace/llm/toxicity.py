@@ -19,7 +19,7 @@ SAMPLE_ROWS = 1200
 SAMPLE_CHARS = 20_000
 THRESHOLD = 0.3
 SPAN_MARGINAL = 0.5
-MIN_LIFT = 5.0
+MIN_LIFT = 8.0
 
 
 @dataclass
@@ -47,14 +47,14 @@ def token_labels(texts: list[list[str]], labels: list[int]) -> list[np.ndarray]:
     """
     seen = [Counter(), Counter()]
     of_word: dict[str, list[int]] = {}
-    for words, label in zip(texts, labels, strict=True):
+    for words, label in {(tuple(w), y): None for w, y in zip(texts, labels, strict=True)}:
         found = set()
         for word in set(words):
             if word not in of_word:
                 of_word[word] = features(word)
             found.update(of_word[word])
         seen[label].update(found)
-    number = [max(1, labels.count(0)), max(1, labels.count(1))]
+    number = [max(1, len({tuple(w) for w, y in zip(texts, labels, strict=True) if y == c})) for c in (0, 1)]
     share = number[1] / sum(number)
     strong = set()
     for feature, toxic in seen[1].items():
@@ -62,7 +62,7 @@ def token_labels(texts: list[list[str]], labels: list[int]) -> list[np.ndarray]:
         n, q = toxic + clean, toxic / (toxic + clean)
         rest = (1 - q) * np.log((1 - q) / (1 - share)) if q < 1 else 0.0
         lift = (toxic + 0.5) / (number[1] + 1) / ((clean + 0.5) / (number[0] + 1))
-        if lift >= MIN_LIFT and n * (q * np.log(q / share) + rest) > np.log(len(of_word) + 1) + 3:
+        if lift >= MIN_LIFT and n * (q * np.log(q / share) + rest) > np.log(len(of_word) + 1) + 5:
             strong.add(feature)
     toxic_word = {w: not strong.isdisjoint(f) for w, f in of_word.items()}
     return [
