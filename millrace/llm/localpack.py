@@ -207,7 +207,7 @@ def _place(group: pd.DataFrame, capacity: int) -> pd.DataFrame:
     bins = pack(group["length"].to_numpy(), capacity)
     group = group.assign(bin=bins)
     offset = group.groupby("bin")["length"].cumsum() - group["length"]
-    sequence = (group["group"].astype("int64") << 32) + bins
+    sequence = group["group"].astype("int64") * (1 << 32) + bins
     return group.drop(columns=["row", "group", "bin"]).assign(sequence_id=sequence, offset=offset)
 
 
