@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import binpack, decontam, localpack, pii, simhash, toxicity
+from millrace.llm import binpack, decontam, embeddup, localpack, pii, simhash, toxicity
 from millrace.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,33 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+LLM_ORACLE["op2_embeddings"] = """
+WITH RECURSIVE rows AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+), good AS (
+  SELECT vec_id, label, v FROM rows
+  WHERE label IS NOT NULL AND v IS NOT NULL
+    AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+  SELECT vec_id AS node, vec_id AS root FROM rows
+  UNION
+  SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.node
+)
+SELECT vec_id,
+       (SELECT count(*) FROM links WHERE links.a = rows.vec_id) AS n_links,
+       (SELECT min(root) FROM reach WHERE reach.node = rows.vec_id) AS component_id,
+       vec_id = (SELECT min(root) FROM reach WHERE reach.node = rows.vec_id) AS kept
+FROM rows
+"""
