@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import binpack, decontam, embeddup, localpack, pii, simhash, toxicity
+from millrace.llm import binpack, decontam, embeddup, licenses, localpack, pii, simhash, toxicity
 from millrace.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ SELECT vec_id,
        vec_id = (SELECT min(root) FROM reach WHERE reach.node = rows.vec_id) AS kept
 FROM rows
 """
+
+
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
