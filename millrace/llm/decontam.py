@@ -25,7 +25,7 @@ from millrace.llm.common import slices
 
 WORD = re.compile(r"\w+")
 SIMILARITY = 0.8
-PROBES = 24
+PROBES = 16
 SAMPLED = 3
 MAX_STEPS = 64
 CLASS_GROWTH = 4
@@ -142,10 +142,17 @@ def _last_row(item: np.ndarray, words: np.ndarray) -> np.ndarray:
     return row
 
 
-def best_place(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
-    """(distance, first, end) of the stretch of ``words`` nearest to the item."""
+def best_place(item: np.ndarray, words: np.ndarray, guess: int, limit: int) -> tuple[int, int, int] | None:
+    """(distance, first, end) of the stretch of ``words`` nearest to the item, None over the limit.
+
+    ``guess`` is where it may stand unchanged.
+    """
+    if guess >= 0 and np.array_equal(words[guess : guess + len(item)], item):
+        return 0, guess, guess + len(item)
     row = _last_row(item, words)
     end = int(row.argmin())
+    if row[end] > limit:
+        return None
     back = _last_row(item[::-1], words[:end][::-1])
     exact = np.flatnonzero(back == row[end])
     return int(row[end]), end - int(exact[np.abs(exact - len(item)).argmin()]), end
@@ -155,64 +162,87 @@ class Finder:
     """Finds the items of one block in documents given as word hashes."""
 
     def __init__(self, items: list[np.ndarray], similarity: float, probes: int):
-        self.items, self.similarity = items, similarity
+        self.items, self.limits = items, [allowed(len(i), similarity) for i in items]
         self.probes = build_probes(items, probes)
-        self.longest = max((p.steps[-1] for p in self.probes), default=0) + 2
-
-    def candidates(self, docs: list[np.ndarray]) -> dict[tuple[int, int], set[int]]:
-        """Likely first words by (document, item)."""
-        gaps = [np.full(self.longest, n, dtype=np.uint64) * _ODD + np.uint64(1) for n in range(len(docs) + 1)]
-        parts = [gaps[-1]]
-        for words, gap in zip(docs, gaps, strict=False):
-            parts += [words, gap]
-        line = np.concatenate(parts)
-        sizes = np.array([len(d) for d in docs])
-        begin = self.longest + np.concatenate([[0], np.cumsum(sizes + self.longest)[:-1]]).astype(np.int64)
-        real = np.ones(len(line), dtype=bool)
-        for at, size in zip(begin, sizes, strict=True):
-            real[at - self.longest : at] = False
-        real[-self.longest :] = False
-        forward = np.flatnonzero(real)
+        reach = max((p.steps[-1] for p in self.probes), default=0)
+        self.gap = 2 + max([reach, *(len(i) + k for i, k in zip(items, self.limits, strict=True))])
+
+    def _line(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All words in one array with gaps that no walk can pass; where texts begin; word places."""
+        sizes = np.array([len(d) for d in docs], dtype=np.int64)
+        begin = self.gap + np.concatenate([[0], np.cumsum(sizes + self.gap)[:-1]]).astype(np.int64)
+        line = np.arange(int(begin[-1] + sizes[-1]) + self.gap, dtype=np.uint64) * _ODD
+        real = np.zeros(len(line), dtype=bool)
+        for at, words in zip(begin, docs, strict=True):
+            line[at : at + len(words)] = words
+            real[at : at + len(words)] = True
+        return line, begin, np.flatnonzero(real)
+
+    def _candidates(self, line: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (item, place of its first word on the line) that some probe proposes."""
         flipped = np.ascontiguousarray(line[::-1])
-        backward = len(line) - 1 - forward[::-1]
-        found: dict[tuple[int, int], set[int]] = {}
+        backward = len(line) - 1 - places[::-1]
+        sizes = np.array([len(i) for i in self.items], dtype=np.int64)
+        items, starts = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
         for probe in self.probes:
-            starts, keys = probe.survivors(*((flipped, backward) if probe.backward else (line, forward)))
+            at, keys = probe.survivors(*((flipped, backward) if probe.backward else (line, places)))
             first = np.searchsorted(probe.keys, keys, "left")
-            last = np.searchsorted(probe.keys, keys, "right")
-            for n in np.flatnonzero(last > first).tolist():
-                at = int(starts[n])
-                at = len(line) - 1 - at if probe.backward else at
-                doc = int(np.searchsorted(begin, at, "right")) - 1
-                for item in probe.items[first[n] : last[n]].tolist():
-                    start = at - int(begin[doc])
-                    start -= len(self.items[item]) - 1 if probe.backward else 0
-                    found.setdefault((doc, item), set()).add(start)
-        return found
+            number = np.searchsorted(probe.keys, keys, "right") - first
+            each = np.repeat(np.arange(len(at)), number)
+            place = np.arange(len(each)) - np.repeat(np.cumsum(number) - number, number)
+            item = probe.items[np.repeat(first, number) + place]
+            at = at[each]
+            items.append(item)
+            starts.append(len(line) - at - sizes[item] if probe.backward else at)
+        pairs = np.unique(np.stack([np.concatenate(items), np.concatenate(starts)]), axis=1)
+        return pairs[0], pairs[1]
+
+    def _plausible(self, number: int, starts: np.ndarray, line: np.ndarray) -> np.ndarray:
+        """Starts with enough of the item's words around: fewer cannot be within the limit."""
+        item, limit = self.items[number], self.limits[number]
+        shift = np.uint64(48)
+        there = np.zeros(1 << 16, dtype=bool)
+        there[((item * _ODD) >> shift).view(np.int64)] = True
+        around = np.arange(-limit, len(item) + limit)
+        kept = [np.empty(0, dtype=np.int64)]
+        for at in range(0, len(starts), 512):
+            part = starts[at : at + 512]
+            window = line[np.clip(part[:, None] + around[None, :], 0, len(line) - 1)]
+            shared = there[((window * _ODD) >> shift).view(np.int64)].sum(axis=1) >= len(item) - limit
+            part, window = part[shared], window[shared]
+            both = np.zeros(len(part), dtype=np.int64)
+            for word in item:
+                both += (window == word).any(axis=1)
+            kept.append(part[both >= len(item) - limit])
+        return np.concatenate(kept)
 
     def find(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
         """Checked hits (document, item, distance, first word, end word), the nearest per pair."""
-        out = []
-        for (doc, number), starts in sorted(self.candidates(docs).items()):
-            item, words = self.items[number], docs[doc]
-            limit, best, seen = allowed(len(item), self.similarity), None, -1
-            for start in sorted(starts):
-                low, high = max(0, start - limit), min(len(words), start + len(item) + limit)
-                if high <= seen:
+        if not self.probes or not docs:
+            return []
+        line, begin, places = self._line(docs)
+        if not len(places):
+            return []
+        items, starts = self._candidates(line, places)
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        seen: dict[tuple[int, int], int] = {}
+        for number in np.unique(items).tolist():
+            item, limit = self.items[number], self.limits[number]
+            likely = self._plausible(number, starts[items == number], line)
+            owners = np.searchsorted(begin, likely + limit, "right") - 1
+            for start, doc in zip(likely.tolist(), owners.tolist(), strict=True):
+                if doc < 0:
                     continue
-                near = words[low:high]
-                if np.isin(item, near).sum() < len(item) - limit:
+                pair, words, own = (doc, number), docs[doc], start - int(begin[doc])
+                low, high = max(0, own - limit), min(len(words), own + len(item) + limit)
+                if high <= seen.get(pair, -1) or high - low < len(item) - limit or best.get(pair, (1,))[0] == 0:
                     continue
-                distance, first, end = best_place(item, near)
-                if distance <= limit:
-                    seen = high
-                    if best is None or distance < best[0]:
-                        best = (distance, low + first, low + end)
-                    if distance == 0:
-                        break
-            if best:
-                out.append((doc, number, *best))
-        return out
+                hit = best_place(item, words[low:high], own - low, limit)
+                if hit:
+                    seen[pair] = high
+                    if pair not in best or hit[0] < best[pair][0]:
+                        best[pair] = (hit[0], low + hit[1], low + hit[2])
+        return [(doc, item, *hit) for (doc, item), hit in sorted(best.items())]
 
 
 def _item_blocks(items: DataFrame, id_col: str, text_col: str, block: int) -> Iterator[list[tuple]]:
