@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -16,6 +17,7 @@ from millrace.llm.crf import WORD, Chain, Tagger, features, train
 
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_ROWS = 1200
+CLEAN_FOR_TOXIC = 2
 SAMPLE_CHARS = 20_000
 THRESHOLD = 0.3
 SPAN_MARGINAL = 0.5
@@ -38,23 +40,33 @@ def summary(marginals: np.ndarray) -> np.ndarray:
     return np.array([np.log1p(total), float(marginals.max()), total / len(marginals), 1.0])
 
 
+def _sketch(words: list[str]) -> int:
+    """Smallest digest of the text's runs of five words: equal for most pairs of near copies."""
+    runs = (" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+    return min(zlib.crc32(r.encode("utf-8", "replace")) for r in runs)
+
+
 def token_labels(texts: list[list[str]], labels: list[int]) -> list[np.ndarray]:
     """Token labels from document labels.
 
     A token of a toxic document is toxic if one of its features occurs in toxic documents more
     often than chance allows: its binomial divergence from the classes' shares must exceed the
-    log of the number of features by three, and its odds must rise fivefold.
+    log of the number of words by five, and its odds must rise by MIN_LIFT. Near copies, told by a
+    common sketch, count once.
     """
-    seen = [Counter(), Counter()]
     of_word: dict[str, list[int]] = {}
-    for words, label in {(tuple(w), y): None for w, y in zip(texts, labels, strict=True)}:
-        found = set()
+    groups: dict[tuple[int, int], set[int]] = {}
+    for words, label in zip(texts, labels, strict=True):
+        found = groups.setdefault((_sketch(words), label), set())
         for word in set(words):
             if word not in of_word:
                 of_word[word] = features(word)
             found.update(of_word[word])
+    seen, number = [Counter(), Counter()], [0, 0]
+    for (_, label), found in groups.items():
         seen[label].update(found)
-    number = [max(1, len({tuple(w) for w, y in zip(texts, labels, strict=True) if y == c})) for c in (0, 1)]
+        number[label] += 1
+    number = [max(1, n) for n in number]
     share = number[1] / sum(number)
     strong = set()
     for feature, toxic in seen[1].items():
@@ -90,7 +102,8 @@ def fit(
 ) -> Model:
     """Learn from labelled documents outside the held-out fold.
 
-    The sample is bounded: per class at most ``sample_rows`` documents, the first in the order of
+    The sample is bounded: at most ``sample_rows`` toxic documents and CLEAN_FOR_TOXIC times as
+    many clean ones, the first in the order of
     a digest of their ids, of at most SAMPLE_CHARS characters each. Class shares come from all
     labels. Without a class of labels every document gets the share of the other.
     """
@@ -106,7 +119,8 @@ def fit(
     lengths = docs.select(F.col(id_col).alias("_id"), F.length(text_col).alias("_n"))
     usable = known.join(lengths.where(F.col("_n") <= SAMPLE_CHARS).select("_id").distinct(), "_id", "left_semi")
     chosen = [
-        usable.where(F.col("_toxic") == c).orderBy(order, "_id").limit(sample_rows) for c in (0, 1)
+        usable.where(F.col("_toxic") == c).orderBy(order, "_id").limit(n)
+        for c, n in enumerate((CLEAN_FOR_TOXIC * sample_rows, sample_rows))
     ]
     ids = chosen[0].unionByName(chosen[1])
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
