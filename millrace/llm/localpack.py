@@ -18,6 +18,7 @@ from millrace.session import materialise
 CAPACITY = 2048
 END_ID = 0
 GROUP_PIECES = 32_768
+PATIENCE = 64
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -136,14 +137,14 @@ class LocalSearch:
         return False
 
     def run(self) -> np.ndarray:
-        """Try every bin that is at most half full, emptiest first, until the lower bound."""
+        """Try bins, emptiest first, until the lower bound, or PATIENCE of them in a row stay."""
         self.closed = np.zeros(len(self.room), dtype=bool)
         stuck = np.zeros(len(self.room), dtype=bool)
         used, bound = len(self.room), fewest_bins(self.size, self.capacity)
         while used > bound:
             fill = np.where(self.closed | stuck, self.capacity, self.capacity - self.room)
             donor = int(fill.argmin())
-            if fill[donor] > self.capacity // 2:
+            if fill[donor] >= self.capacity or stuck.sum() >= PATIENCE:
                 break
             if not self._improve(donor):
                 stuck[donor] = True
