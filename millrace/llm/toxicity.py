@@ -21,6 +21,7 @@ CLEAN_FOR_TOXIC = 2
 SAMPLE_CHARS = 20_000
 THRESHOLD = 0.3
 SPAN_MARGINAL = 0.5
+LEAST_MARGINAL = 0.2
 MIN_LIFT = 8.0
 
 
@@ -33,10 +34,13 @@ class Model:
 
 
 def summary(marginals: np.ndarray) -> np.ndarray:
-    """Expected number of toxic tokens (log), the largest marginal, their share, a constant."""
+    """Expected number of toxic tokens (log), the largest marginal, their share, a constant.
+
+    Marginals below LEAST_MARGINAL do not add up, however long a text is.
+    """
     if not len(marginals):
         return np.array([0.0, 0.0, 0.0, 1.0])
-    total = float(marginals.sum())
+    total = float(marginals[marginals >= LEAST_MARGINAL].sum())
     return np.array([np.log1p(total), float(marginals.max()), total / len(marginals), 1.0])
 
 
