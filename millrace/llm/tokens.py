@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -12,6 +13,9 @@ import regex
 MEMO_ENTRIES = 600_000
 LONG_CHUNK = 64
 WORD_END = "</w>"
+# Outside these ranges libraries may know different versions of Unicode: such chunks are encoded
+# by the tokenizer alone.
+_UNSURE = re.compile("[^\x00-\u024f\u0391-\u03c9\u0400-\u045f\u3041-\u3096\u4e00-\u9fa5\uac00-\ud7a3]").search
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -39,12 +43,16 @@ class ChunkEncoder:
             form = json.load(file)
         patterns = [p["pattern"]["Regex"] for p in form["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self._words = regex.compile(patterns[0]).findall
-        self._special = [t["content"].encode() for t in form["added_tokens"]]
+        self._special = [t["content"] for t in form["added_tokens"]]
         self._ends = np.zeros(self._tokenizer.get_vocab_size(), dtype=bool)
         self._ends[[i for t, i in self._tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
         self._chunks: dict[bytes, bytes] = {}
         self._word_ids: dict[str, bytes] = {}
 
+    def _is_unsure(self, chunk: bytes) -> bool:
+        text = chunk.decode("utf-8", "replace")
+        return bool(_UNSURE(text)) or any(s in text for s in self._special)
+
     def _one_by_one(self, chunks: list[bytes]) -> list[bytes]:
         texts = [c.decode("utf-8", "replace") for c in chunks]
         found = self._tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -59,10 +67,13 @@ class ChunkEncoder:
         return [raw[i:j] for i, j in zip([0, *at], at, strict=False)]
 
     def _encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
-        raw = b" ".join(chunks)
-        if any(s in raw for s in self._special):
-            return self._one_by_one(chunks)
-        joined = raw.decode("utf-8", "replace")
+        joined = b" ".join(chunks).decode("utf-8", "replace")
+        if _UNSURE(joined) or any(s in joined for s in self._special):
+            unsure = [c for c in chunks if self._is_unsure(c)]
+            ids = dict(zip(unsure, self._one_by_one(unsure), strict=True))
+            plain = [c for c in chunks if c not in ids]
+            ids.update(zip(plain, self._encode_chunks(plain) if plain else [], strict=True))
+            return [ids[c] for c in chunks]
         parts = self._tokenizer.normalizer.normalize_str(joined).split(" ")
         if len(parts) != len(chunks):
             return self._one_by_one(chunks)
