@@ -1,18 +1,20 @@
-"""Byte-pair vocabularies: word counts, training, and encoding by dictionary join.
+"""Byte-pair vocabularies: word counts, training, and encoding inside the row.
 
-Training and encoding work on the table of distinct words. The corpus is read once to count
-them and once to put their ids back in place.
+Training works on the table of distinct words.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.session import materialise
 
@@ -31,8 +33,8 @@ SYMBOL_BYTES = 4
 SYMBOL_ROOM = 2**19
 PAIRS_PER_ROUND = 256
 ROUNDS_PER_CUT = 40
-BROADCAST_BYTES = 64 * 2**20
-HOT_SHARE = 1000
+MEMO_WORDS = 500_000
+ENCODED_ROWS = 64
 SEPARATOR = chr(0x10FFFF)
 
 
@@ -195,7 +197,7 @@ def independent_prefix(
     return taken
 
 
-def train(counts: DataFrame, vocab_size: int, max_rounds: int | None = None) -> Vocabulary:
+def train(counts: DataFrame, vocab_size: int) -> Vocabulary:
     """Greedy byte-pair training on (word, n): most frequent pair first, ties by smaller ids.
 
     Every round counts all pairs in one job and takes as many merges as are certain to follow
@@ -213,7 +215,7 @@ def train(counts: DataFrame, vocab_size: int, max_rounds: int | None = None) ->
         F.translate("word", "".join(alphabet), as_symbols).alias("symbols"), "n"
     ).where(F.length("symbols") > 1)
     current, rounds = materialise(words, "symbols"), 0
-    while len(tokens) < vocab_size and (max_rounds is None or rounds < max_rounds):
+    while len(tokens) < vocab_size:
         best = pair_counts(current).orderBy(F.desc("n"), "pair").limit(PAIRS_PER_ROUND).collect()
         ranked = [tuple(ord(c) - SYMBOL_BASE for c in r["pair"].decode()) for r in best]
         batch = independent_prefix(ranked, tokens, known, vocab_size - len(tokens))
@@ -271,86 +273,73 @@ def merge_word(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) ->
     return [t for t in ids if t >= 0]
 
 
-def encode_words(words: DataFrame, vocabulary: Vocabulary, letters: Column) -> DataFrame:
-    """Ids of each distinct word. ``letters`` spells the word in the vocabulary's alphabet.
+class WordEncoder:
+    """Ids of single words, remembered up to MEMO_WORDS of them.
 
-    Characters outside it become one unknown id per run of them.
+    Characters outside the vocabulary become one unknown id per run of them.
     """
-    ranks = {(a, b): (r, m) for r, (a, b, m) in reversed(list(enumerate(vocabulary.merges)))}
-    ids = {t: i for i, t in enumerate(vocabulary.tokens) if i >= len(SPECIALS) and len(t) == 1}
 
-    @F.pandas_udf("array<int>")
-    def encode(column: pd.Series) -> pd.Series:
-        def one(word: str) -> list[int]:
-            found: list[int] = []
-            for c in word:
-                i = ids.get(c, UNK)
-                if i != UNK or found[-1:] != [UNK]:
-                    found.append(i)
-            return merge_word(found, ranks)
-
-        return column.map(one)
-
-    return words.withColumn("ids", encode(letters))
-
-
-def dictionary(units: DataFrame, vocabulary: Vocabulary, letters, first_id: int = 0) -> DataFrame:
-    """Written table (word, n, ids) of the distinct words of ``units``.
+    def __init__(self, vocabulary: Vocabulary, first_id: int = 0):
+        self._ranks = {(a, b): (r, m) for r, (a, b, m) in reversed(list(enumerate(vocabulary.merges)))}
+        self._ids = {t: i for i, t in enumerate(vocabulary.tokens) if i >= len(SPECIALS) and len(t) == 1}
+        self._first_id = first_id
+        self._memo: dict[str, list[int]] = {}
 
-    The vocabulary's ids start at ``first_id``.
-    """
-    counts = (
-        units.select(F.explode_outer("units").alias("u"))
-        .select(F.col("u.word").alias("word"))
-        .where(F.col("word").isNotNull())
-        .groupBy("word")
-        .agg(F.count("*").alias("n"))
-    )
-    encoded = encode_words(counts, vocabulary, letters(F.col("word")))
-    if first_id:
-        encoded = encoded.withColumn("ids", F.transform("ids", lambda i: i + first_id))
-    return materialise(encoded, "dictionary")
-
-
-def place_ids(units: DataFrame, grouped, words: DataFrame, *keys: str) -> DataFrame:
-    """Documents' ids from their units (ARRAY<STRUCT<word STRING, fixed INT>>) and a dictionary.
-
-    A dictionary of checked size is broadcast. ``grouped`` then gives the units partitioned by
-    the last key, and a document's many units stay in its partition until they are an array
-    again. A larger dictionary splits: words that make up a thousandth of all occurrences, so at
-    most a thousand of them, are broadcast, and no word left for the shuffled join is frequent.
+    def encode(self, word: str) -> list[int]:
+        found = self._memo.get(word)
+        if found is None:
+            spelled: list[int] = []
+            for c in word:
+                i = self._ids.get(c, UNK)
+                if i != UNK or spelled[-1:] != [UNK]:
+                    spelled.append(i)
+            found = [i + self._first_id for i in merge_word(spelled, self._ranks)]
+            if len(self._memo) < MEMO_WORDS:
+                self._memo[word] = found
+        return found
+
+
+def _placed(words: pa.ListArray, fixed: pa.ListArray, encoder: WordEncoder) -> pa.ListArray:
+    """Ids of each row: those of its words, or the fixed id where there is no word."""
+    entries = words.flatten().dictionary_encode()
+    table = [encoder.encode(w) for w in entries.dictionary.to_pylist()]
+    which = entries.indices.fill_null(-1).to_numpy()
+    single = fixed.flatten().fill_null(-1).to_numpy()
+    sizes = np.array([*map(len, table), 0], dtype=np.int64)
+    spelled = np.array([i for ids in table for i in ids], dtype=np.int32)
+    unit_sizes = np.where(which >= 0, sizes[which], single >= 0)
+    sources = np.where(which >= 0, (np.cumsum(sizes) - sizes)[which], len(spelled) + np.arange(len(single)))
+    ends = np.cumsum(unit_sizes)
+    at = np.repeat(sources - (ends - unit_sizes), unit_sizes) + np.arange(int(unit_sizes.sum()))
+    rows = np.concatenate([[0], np.cumsum(pc.list_value_length(words).fill_null(0).to_numpy())])
+    offsets = np.concatenate([[0], ends])[rows].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([spelled, single])[at], pa.int32()))
+
+
+def place_ids(units: DataFrame, vocabulary: Vocabulary, letters, first_id: int, *keys: str) -> DataFrame:
+    """Documents' ids from their units (ARRAY<STRUCT<word STRING, fixed INT>>), without a shuffle.
+
+    The vocabulary travels to the tasks once, each task remembers the words that it has met, and
+    a document never leaves its row. ``letters`` spells a word in the vocabulary's alphabet.
     """
-    size, total = words.agg(
-        F.sum(F.octet_length("word") + 4 * F.size("ids") + 48), F.sum("n")
-    ).first()
-    single = (size or 0) <= BROADCAST_BYTES
-    source = grouped() if single else units
-    entries = words.select("word", F.col("ids").alias("word_ids"), "n")
-    rows = source.select(*keys, F.posexplode_outer("units").alias("pos", "u")).select(
-        *keys, "pos", F.col("u.word").alias("word"), F.col("u.fixed").alias("fixed")
-    )
-    if single:
-        joined = rows.join(F.broadcast(entries.drop("n")), "word", "left")
-    else:
-        is_hot = F.col("n") * HOT_SHARE >= F.lit(total)
-        hot = entries.where(is_hot).select("word", F.col("word_ids").alias("hot_ids"))
-        cold = entries.where(~is_hot).select(F.col("word").alias("cold_word"), "word_ids")
-        # Rows that need no look-up get keys that match nothing, spread over all partitions.
-        nothing = F.concat_ws(":", F.lit("\x00"), *[F.col(k).cast("string") for k in keys], "pos")
-        joined = (
-            rows.join(F.broadcast(hot), "word", "left")
-            .withColumn(
-                "cold_word",
-                F.when(F.col("word").isNotNull() & F.col("hot_ids").isNull(), F.col("word")).otherwise(nothing),
-            )
-            .join(cold, "cold_word", "left")
-            .withColumn("word_ids", F.coalesce("hot_ids", "word_ids"))
-        )
-    ids = F.coalesce("word_ids", F.when(F.col("fixed").isNotNull(), F.array("fixed")), F.array().cast("array<int>"))
-    placed = joined.select(*keys, F.struct("pos", ids.alias("ids")).alias("piece"))
-    return placed.groupBy(*keys).agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["ids"])).alias("ids")
+    shared = units.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordEncoder(shared.value, first_id)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ENCODED_ROWS):
+                part = batch.slice(start, ENCODED_ROWS)
+                ids = _placed(part.column("_words"), part.column("_fixed"), encoder)
+                columns = [part.column(k) for k in keys]
+                yield pa.RecordBatch.from_arrays([*columns, ids], [*keys, "ids"])
+
+    rows = units.select(
+        *keys,
+        F.transform("units", lambda u: letters(u["word"])).alias("_words"),
+        F.transform("units", lambda u: u["fixed"]).alias("_fixed"),
     )
+    schema = T.StructType([*units.select(*keys).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return rows.mapInArrow(run, schema)
 
 
 def word_units(words: Column) -> Column:

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from millrace.functions import gotokens as go
 from millrace.functions.text import ascii_strip, comment_inner, string_inner
 from millrace.operators import bpe, lexer
-from millrace.operators.indexing import by_key
-from millrace.session import materialise
 
 # Indents told apart after a line break, and ids beyond the trained vocabulary.
 INDENTS = 8
@@ -59,8 +57,6 @@ def fixed_unit(token_id: Column) -> Column:
 class MetaspaceTokenizer:
     extra_ids = 0
     first_id = 0
-    # Splitting at blanks is cheaper done twice than stored; lexing is not.
-    keeps_units = False
 
     def __init__(self, vocabulary: bpe.Vocabulary):
         self.vocabulary = vocabulary
@@ -86,18 +82,9 @@ class MetaspaceTokenizer:
         return documents.select(*keys, bpe.word_units(words).alias("units"))
 
     def encode(self, documents: DataFrame, *keys: str) -> DataFrame:
-        """Ids of each document. The last key must tell documents apart."""
+        """Ids of each document."""
         units = self.units(documents, *keys)
-        if self.keeps_units:
-            units = materialise(units, "units")
-        words = bpe.dictionary(units, self.vocabulary, self.letters, self.first_id)
-
-        def grouped() -> DataFrame:
-            if self.keeps_units:
-                return by_key(units, keys[-1])
-            return self.units(by_key(documents, keys[-1]), *keys)
-
-        return bpe.place_ids(units, grouped, words, *keys)
+        return bpe.place_ids(units, self.vocabulary, self.letters, self.first_id, *keys)
 
     def decode(self, ids: Column) -> Column:
         real = F.filter(ids, lambda i: i >= len(bpe.SPECIALS))
@@ -112,7 +99,6 @@ class GoTokenizer(MetaspaceTokenizer):
     """Go tokens and indents have ids of their own; names, comments and literals are spelled."""
 
     extra_ids = GO_EXTRA
-    keeps_units = True
 
     @staticmethod
     def literal_counts_words(literals: Column) -> Column:

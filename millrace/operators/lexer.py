@@ -140,25 +140,11 @@ def trainable_literals(tokens: Column) -> Column:
     )
 
 
-def retype(tokens: Column) -> Column:
-    """Basic type words become tokens of their own kind."""
-    return F.transform(
-        tokens,
-        lambda t: F.struct(
-            t["tok_id"].alias("tok_id"),
-            F.when(t["literal"].isin(list(go.BASIC_TYPES)), "IDENT_TYPE")
-            .otherwise(t["tok_name"])
-            .alias("tok_name"),
-            t["literal"].alias("literal"),
-        ),
-    )
-
-
 def typed_trainable_literals(tokens: Column) -> Column:
-    return F.transform(
-        F.filter(retype(tokens), lambda t: t["tok_name"].isin("IDENT", "STRING", "COMMENT")),
-        lambda t: t["literal"],
-    )
+    """Literals of names, strings and comments, basic type words left out."""
+    kinds = [go.IDENT, go.STRING, go.COMMENT]
+    wanted = F.filter(tokens, lambda t: t["tok_id"].isin(kinds) & ~t["literal"].isin(list(go.BASIC_TYPES)))
+    return F.transform(wanted, lambda t: t["literal"])
 
 
 def kind_histogram(documents: DataFrame, *by: str) -> DataFrame:

@@ -42,26 +42,3 @@ def checkpoint_chain(rows, limits):
             fired.append(seq)
             last = tuple(now)
     return fired
-
-
-def go_ids(tokens, size, encode, after, around):
-    """White-space rules of the Go-aware ids over a list of (name, id, literal)."""
-    spelled = {"IDENT", "COMMENT", "STRING", "INT", "FLOAT", "IMAG", "CHAR"}
-    out, quiet = [], False
-    for i, (name, tok_id, literal) in enumerate(tokens):
-        if name == "TAB" or (name == "SPACE" and quiet):
-            continue
-        quiet = name == "SPACE" or name in after or name in around
-        if name in around:
-            while out and out[-1] == size + 89:
-                out.pop()
-        if name in spelled:
-            out.extend(encode(literal))
-        elif name == "NEWLINE":
-            tabs = 0
-            while tabs < 7 and i + tabs + 1 < len(tokens) and tokens[i + tabs + 1][0] == "TAB":
-                tabs += 1
-            out.append(size + 92 + tabs)
-        else:
-            out.append(size + tok_id)
-    return out
