@@ -33,12 +33,14 @@ def candidate_source(prompt: Column, candidate: Column) -> Column:
     return F.concat(F.lit(PROGRAM_HEAD), prompt, candidate, F.lit(PROGRAM_TAIL))
 
 
-def fixed_decimals(value: Column, digits: int) -> Column:
+def fixed_decimals(value: Column, digits: int | Column) -> Column:
     """Half-even on the exact binary value, as C's and Python's ``%.nf``.
 
     ``format_string`` rounds the shortest decimal form half up instead.
     """
-    return F.replace(F.format_number(value.cast("double"), digits), F.lit(","), F.lit(""))
+    digits = F.lit(digits) if isinstance(digits, int) else digits
+    shown = F.call_function("format_number", value.cast("double"), digits)
+    return F.replace(shown, F.lit(","), F.lit(""))
 
 
 def human_bytes(n: Column) -> Column:
@@ -83,14 +85,24 @@ def metric_path(phase: Column, name: Column) -> Column:
 
 
 def fill_filename(pattern: Column | str, values: dict[str, Column]) -> Column:
-    """Fill ``{name}`` and ``{name:.Nf}`` fields; what is unknown stays in place."""
+    """Fill ``{name}`` and ``{name:.Nf}`` fields, N up to 99; what is unknown stays in place.
+
+    N is read from the pattern, row by row where it is a column.
+    """
     out = F.lit(pattern) if isinstance(pattern, str) else pattern
     for name, value in values.items():
         out = F.replace(out, F.lit("{" + name + "}"), value.cast("string"))
-        for digits in range(7):
-            out = F.replace(
-                out, F.lit("{%s:.%df}" % (name, digits)), fixed_decimals(value, digits)
-            )
+        field = r"\{%s:\.([0-9]{1,2})f\}" % name
+        fields = F.array_distinct(F.regexp_extract_all(out, F.lit(field), F.lit(1)))
+        out = F.aggregate(
+            fields,
+            out,
+            lambda text, digits: F.replace(
+                text,
+                F.concat(F.lit("{%s:." % name), digits, F.lit("f}")),
+                fixed_decimals(value, digits.cast("int")),
+            ),
+        )
     return out
 
 

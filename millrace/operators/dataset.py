@@ -115,17 +115,23 @@ def buffered_shuffle(
         ranked, "_file_md5", F.col("n_windows"), "_until", bucket=hex_bucket(F.col("_file_md5"))
     ).select(
         "shard_id",
+        "n_windows",
         F.floor((F.col("_until") - F.col("n_windows")) / buffer).alias("buffer_group"),
     )
-    keyed = windows.join(placed, "shard_id").withColumn(
+    keyed = windows.join(placed.drop("n_windows"), "shard_id").withColumn(
         "_md5", seeded_md5(seed, F.col("shard_id"), F.col("win"))
     )
-    # The group number, zero-padded, leads the sort key: groups stay in order.
-    keyed = keyed.withColumn(
-        "_key", F.concat(F.lpad(F.col("buffer_group").cast("string"), 12, "0"), "_md5")
+    inside = running_total(
+        keyed, "_md5", F.lit(1), "_inside", within=("buffer_group",), bucket=hex_bucket(F.col("_md5"))
+    )
+    groups = placed.groupBy("buffer_group").agg(F.sum("n_windows").alias("_n"))
+    starts = running_total(groups, "buffer_group", F.col("_n"), "_end").select(
+        F.col("buffer_group").alias("_group"), (F.col("_end") - F.col("_n")).alias("_start")
+    )
+    joined = inside.join(starts, F.col("buffer_group") == F.col("_group"))
+    return joined.withColumn("pos", F.col("_start") + F.col("_inside")).drop(
+        "_md5", "_inside", "_group", "_start"
     )
-    bucket = F.col("buffer_group") * 4096 + hex_bucket(F.col("_md5"))
-    return running_total(keyed, "_key", F.lit(1), "pos", bucket=bucket).drop("_md5", "_key")
 
 
 def assign_batches(

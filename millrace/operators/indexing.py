@@ -63,11 +63,13 @@ def running_total(
     within: tuple[str, ...] = (),
     bucket: Column | None = None,
     total: str | None = None,
+    bounded: bool = True,
 ) -> DataFrame:
     """Running sum of a BIGINT value up to and including each row, per group of ``within``.
 
     ``order`` must be unique inside a group. A group of any size is spread over its buckets.
-    ``total`` names a column for the group's whole sum.
+    ``total`` names a column for the group's whole sum. ``bounded`` says that the caller's buckets
+    are at most MAX_BUCKETS.
     """
     if bucket is None:
         bucket = bucket_of(F.col(order), quantile_bounds(df, order))
@@ -82,12 +84,15 @@ def running_total(
         F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
         F.sum("_sum").over(group).alias("_total"),
     )
-    if not within:
+    # Only a table of at most MAX_BUCKETS rows is broadcast by hint; a null key is a group too.
+    offsets = offsets.select(*(F.col(k).alias(f"_of_{k}") for k in keys), "_offset", "_total")
+    if not within and bounded:
         offsets = F.broadcast(offsets)
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
     inside = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    out = rows.join(offsets, keys).withColumn(
+    out = rows.join(offsets, same).withColumn(
         name, F.col("_offset") + F.sum("_value").over(inside)
-    )
+    ).drop(*(f"_of_{k}" for k in keys))
     if total:
         out = out.withColumn(total, F.col("_total"))
     return out.drop("_bucket", "_value", "_sum", "_offset", "_total")
@@ -100,13 +105,26 @@ def row_index(
     return running_total(df, order, F.lit(1), name, within, total=total)
 
 
+def digits_for(rows: int) -> int:
+    """Leading hex digits that cut so many rows into buckets of ROWS_PER_BUCKET."""
+    digits = 1
+    while 16**digits * ROWS_PER_BUCKET < rows:
+        digits += 1
+    return digits
+
+
 def shuffled_index(
-    df: DataFrame, seed, *ids: str, name: str = "pos", total: str | None = None, digits: int = 3
+    df: DataFrame, seed, *ids: str, name: str = "pos", total: str | None = None, digits: int | None = None
 ) -> DataFrame:
-    """1-based position of each row in a seeded random order of its id columns."""
+    """1-based position of each row in a seeded random order of its id columns.
+
+    The number of buckets follows the number of rows; one narrow pass counts them.
+    """
+    digits = digits or digits_for(df.count())
     keyed = df.withColumn("_md5", seeded_md5(seed, *[F.col(i) for i in ids]))
     bucket = hex_bucket(F.col("_md5"), digits)
-    return running_total(keyed, "_md5", F.lit(1), name, bucket=bucket, total=total).drop("_md5")
+    bounded = 16**digits <= MAX_BUCKETS
+    return running_total(keyed, "_md5", F.lit(1), name, bucket=bucket, total=total, bounded=bounded).drop("_md5")
 
 
 def by_key(df: DataFrame, key: str) -> DataFrame:

@@ -100,8 +100,8 @@ def elapsed_ms(stepped: DataFrame) -> DataFrame:
     chunks = overlapping_chunks(stepped.withColumn("_us", micros("ts")), "step", CHUNK_ROWS, 1)
     previous = F.lag("_us").over(W.partitionBy("run_id", "_chunk").orderBy("step"))
     own = chunks.withColumn("_before", previous).where("_own")
-    starts = stepped.groupBy("run_id").agg(F.min_by(micros("ts"), "step").alias("_start"))
-    return own.join(starts, "run_id").select(
+    starts = stepped.groupBy(F.col("run_id").alias("_run")).agg(F.min_by(micros("ts"), "step").alias("_start"))
+    return own.join(starts, F.col("run_id").eqNullSafe(F.col("_run"))).select(
         "run_id",
         "step",
         ((F.col("_us") - F.col("_before")) / 1000.0).alias("step_ms"),

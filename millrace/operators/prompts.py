@@ -61,14 +61,3 @@ def explode_choices(responses: DataFrame) -> DataFrame:
     return responses.select("response_id", F.posexplode("choices").alias("choice", "content")).select(
         "response_id", "choice", strip_ws(F.col("content")).alias("sample")
     )
-
-# Packages a prompt plan draws from.
-PACKAGES = (
-    "middleware models routes services utils transactions validation views controllers config db "
-    "handlers helpers migrations raft scripts templates ssh storage pathfinding tcp udp http "
-    "websocket rpc json xml yaml csv sql redis mongodb postgresql mysql sqlite cassandra aws gcp "
-    "azure kubernetes docker helm terraform ansible puppet chef saltstack git github gitlab "
-    "bitbucket jira slack discord zoom google sort search filter mapreduce zookeeper kafka "
-    "rabbitmq nats grpc protobuf jwt oauth prometheus grafana elasticsearch kibana logstash "
-    "fluentd datadog parser"
-).split()

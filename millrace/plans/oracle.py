@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from millrace.functions import gotokens as go
 from millrace.operators import codecs
-from millrace.operators.prompts import PACKAGES
 from millrace.plans.queries import GO_SIZE, LIMITS, PHASES, SEED, STRIDE, WIDTH
 
 # The lexer's rules once more, for an engine without possessive groups.
@@ -141,7 +140,7 @@ ORACLE: dict[str, str] = {
         count(*) as rows, sum(length(content))::bigint as chars from sh group by 1""",
     "token_shard_scan": f"with {SH} select shard_id, doc_id, content as text from sh",
     "token_summary": "select sum(len(string_split(text, ' ')))::bigint as num_tokens from documents",
-    "append_jsonl": "select text as sample from conversations where role in ('user', 'assistant')",
+    "append_jsonl": "select text as sample from conversations",
     "write_eval_summary": f"""with {CAND}, k as (select task_id, count(*)::int as n from outc group by 1)
         select task_id, n, num_compiled, num_passed from k join cnt using (task_id)""",
     "ascii_strip": "select doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') as content from documents",
@@ -255,7 +254,8 @@ ORACLE: dict[str, str] = {
     "resume_offset": """select conv_id, text as description, 'pkg' || conv_id as package from conversations where turn = 0
         and conv_id not in (select conv_id from conversations where turn = 5)""",
     "prompt_plan": f"""with d as (select conv_id as draw, {order(SEED, 'conv_id')} as h from conversations where turn = 0),
-        p as (select draw, h, list_value({", ".join(text(x) for x in PACKAGES)})[cast(floor({unit(0, 'h')} * {len(PACKAGES)}) as int) + 1] as name from d)
+        names as (select list(lower(n_name) order by lower(n_name)) as l from nation),
+        p as (select draw, h, l[cast(floor({unit(0, 'h')} * len(l)) as int) + 1] as name from d, names)
         select draw, case when {unit(1, 'h')} < 0.8 then name else name || '_test' end as package,
         round(0.3::double + (1.2::double - 0.3::double) * {unit(2, 'h')}, 9) as temperature, 2 as n_samples from p""",
     "explode_choices": """select conv_id || '-' || turn as response_id, 0 as choice,
@@ -324,7 +324,7 @@ ORACLE: dict[str, str] = {
         from fold f join s on s.run_id = f.run_id and s.step = f.cur + 1)
         select run_id, seq, epoch, cur as step, seconds from fold where fired""",
     "retention_keep_n": f"""with {MET}, p as (select run_id, seq, row_number() over (partition by run_id order by seq desc) as r
-        from m where name = 'purchase') select run_id, seq, case when r <= 3 then 'keep' else 'delete' end as action from p""",
+        from m) select run_id, seq, case when r <= 3 then 'keep' else 'delete' end as action from p""",
     "compute_budget": f"""with {PER_SOURCE} select source, docs * 8 * 64 as tokens_per_batch,
         tokens * 1000 // (docs * 8 * 64) as total_steps from ps""",
     "expected_loss": f"""with {PER_SOURCE} select source, round(1.69::double + 406::double / pow((chars * 100)::double, 0.34::double)

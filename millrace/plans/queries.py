@@ -146,8 +146,9 @@ def token_summary(spark, sf):
 def append_jsonl(spark, sf):
     path = fresh_path(spark, "appended")
     said = b.table(spark, sf, "conversations").select("role", F.col("text").alias("sample"))
-    src.append_samples(said.where(F.col("role") == "user"), path)
-    src.append_samples(said.where(F.col("role") == "assistant"), path)
+    is_user = F.coalesce(F.col("role") == "user", F.lit(False))
+    src.append_samples(said.where(is_user), path)
+    src.append_samples(said.where(~is_user), path)
     return src.read_samples(spark, path).select("sample")
 
 
@@ -646,7 +647,8 @@ def resume_offset(spark, sf):
 @query
 def prompt_plan(spark, sf):
     draws = b.prompts(spark, sf).select(F.col("conv_id").alias("draw"))
-    plan = prompts.prompt_plan(draws, prompts.PACKAGES, SEED)
+    names = b.table(spark, sf, "nation").select(F.lower("n_name").alias("name")).orderBy("name")
+    plan = prompts.prompt_plan(draws, [r["name"] for r in names.collect()], SEED)
     return plan.withColumn("temperature", F.round("temperature", 9))
 
 
@@ -841,7 +843,7 @@ def checkpoint_policy(spark, sf):
 
 @query
 def retention_keep_n(spark, sf):
-    fired = b.metrics(spark, sf).where(F.col("name") == "purchase").select("run_id", "seq")
+    fired = b.metrics(spark, sf).select("run_id", "seq")
     return metrics.keep_newest(fired, 3)
 
 
@@ -926,12 +928,23 @@ def stream_weighted_mean(spark, sf):
     return jobs.weighted_means(e).withColumn("mean", F.round("mean", 6))
 
 
+STREAM_FILES = 4
+
+
 @query
 def stream_checkpoint_policy(spark, sf):
-    path = fresh_path(spark, "steps")
-    run_steps(spark, sf).write.parquet(path)
-    schema = spark.read.parquet(path).schema
-    return jobs.checkpoint_policy(jobs.file_stream(spark, path, schema), *LIMITS)
+    """Steps arrive in files that follow each other, one file to a micro-batch."""
+    path, steps = fresh_path(spark, "steps"), materialise(run_steps(spark, sf), "run-steps")
+    shares = [i / STREAM_FILES for i in range(1, STREAM_FILES)]
+    bounds = steps.agg(F.percentile_approx("seq", shares).alias("q")).first()["q"] or []
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda q: q < F.col("seq"))) if bounds else F.lit(0)
+    for number in range(STREAM_FILES):
+        steps.where(place == number).coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.file_stream(spark, path, steps.schema, per_trigger=1)
+    fires, late = jobs.checkpoint_policy(stream, *LIMITS)
+    if not late.isEmpty():
+        raise ValueError("steps came out of order")
+    return fires
 
 
 @query

@@ -75,29 +75,43 @@ def weighted_means(metrics: DataFrame) -> DataFrame:
 
 def checkpoint_policy(
     steps: DataFrame, max_epochs: int, max_steps: int, max_seconds: float
-) -> DataFrame:
-    """The checkpoint chain with its last fire as state per run; rows of a batch are sorted."""
+) -> tuple[DataFrame, DataFrame]:
+    """The checkpoint chain with its last fire and last row as state per run: (fires, late rows).
+
+    Contract: files come in the order of ``seq`` within a run; inside a micro-batch rows may stand
+    in any order. A row at or below a ``seq`` that an earlier micro-batch has passed can no longer
+    take its place in the chain. It is not folded in but returned among the late rows.
+    """
     limits = (max_epochs, max_steps, max_seconds)
 
     def advance(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("seq")
-        last = state.get if state.exists else (0, 0, float(rows["seconds"].iloc[0]))
+        passed = state.get[3] if state.exists else None
+        late = rows["seq"] <= passed if state.exists else pd.Series(False, index=rows.index)
+        if late.any():
+            yield rows[late].assign(late=True)
+        rows = rows[~late]
+        if rows.empty:
+            return
+        last = state.get[:3] if state.exists else (0, 0, float(rows["seconds"].iloc[0]))
         hits, last = next_fires(
             rows["epoch"].to_numpy(), rows["step"].to_numpy(), rows["seconds"].to_numpy(), last, limits
         )
-        state.update((int(last[0]), int(last[1]), float(last[2])))
-        yield rows.iloc[hits]
+        state.update((int(last[0]), int(last[1]), float(last[2]), int(rows["seq"].iloc[-1])))
+        if hits:
+            yield rows.iloc[hits].assign(late=False)
 
     fired = steps.groupBy("run_id").applyInPandasWithState(
         advance,
-        FIRED,
-        "epoch bigint, step bigint, seconds double",
+        f"{FIRED}, late boolean",
+        "epoch bigint, step bigint, seconds double, seq bigint",
         "append",
         GroupStateTimeout.NoTimeout,
     )
-    return append_to_parquet(fired, "stream-checkpoints")
+    rows = append_to_parquet(fired, "stream-checkpoints")
+    return rows.where("not late").drop("late"), rows.where("late").drop("late")
 
 
 def context_requests(requests: DataFrame, words, context: int, max_new: int = MAX_NEW_TOKENS) -> DataFrame:

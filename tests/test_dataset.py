@@ -69,6 +69,18 @@ def test_buffered_shuffle_keeps_windows_within_reach(spark):
     assert all(len(g) == 1 for g in by_shard.values())
 
 
+def test_buffered_shuffle_of_many_groups_broadcasts_nothing_large(spark):
+    frame = spark.range(10_000).select((F.col("id") / 4).cast("int").alias("shard_id"), F.col("id").alias("win"))
+    found = dataset.buffered_shuffle(frame, 3, 5, buffer=5)
+    assert sorted(r.pos for r in found.collect()) == list(range(1, 10_001))
+
+
+def test_filled_decimals_of_any_width(spark):
+    frame = spark.createDataFrame([("{v:.9f}|{v:.1f}|{v}", 0.125), ("{v:.0f}{w:.2f}", 2.5)], "p string, v double")
+    got = [r[0] for r in frame.select(t.fill_filename(F.col("p"), {"v": F.col("v")})).collect()]
+    assert got == ["0.125000000|0.1|0.125", "2{w:.2f}"]
+
+
 def test_left_truncate(spark):
     row = documents(spark, [10])
 

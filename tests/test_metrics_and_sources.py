@@ -36,9 +36,30 @@ def test_checkpoint_policy_and_stream(spark, tmp_path, limits):
     found = checkpoints.checkpoint_policy(frame, *limits, scan_rows=17)
     assert {(r.run_id, r.seq) for r in found.collect()} == expected
     path = str(tmp_path / "steps")
-    frame.coalesce(1).write.parquet(path)
-    stream = jobs.file_stream(spark, path, frame.schema)
-    assert {(r.run_id, r.seq) for r in jobs.checkpoint_policy(stream, *limits).collect()} == expected
+    middle = sorted(r[1] for r in rows)[len(rows) // 2]
+    for part in (F.col("seq") <= middle, F.col("seq") > middle):
+        frame.where(part).coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.file_stream(spark, path, frame.schema, per_trigger=1)
+    fires, late = jobs.checkpoint_policy(stream, *limits)
+    assert {(r.run_id, r.seq) for r in fires.collect()} == expected and late.isEmpty()
+
+
+def test_stream_reports_late_steps(spark, tmp_path):
+    schema = "run_id bigint, seq bigint, epoch bigint, step bigint, seconds double"
+    path = str(tmp_path / "steps")
+    for part in ([(1, s, 0, s, 0.0) for s in (4, 5, 6)], [(1, s, 0, s, 0.0) for s in (2, 6, 7, 9)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.file_stream(spark, path, spark.read.parquet(path).schema, per_trigger=1)
+    fires, late = jobs.checkpoint_policy(stream, 9, 4, 1e9)
+    assert sorted(r.seq for r in fires.collect()) == [4, 9]
+    assert sorted(r.seq for r in late.collect()) == [2, 6]
+
+
+def test_null_groups_keep_their_rows(spark):
+    rows = [(None, 1), (None, 2), ("a", 3), ("a", 4)]
+    frame = spark.createDataFrame(rows, "run string, seq bigint")
+    found = row_index(frame, "seq", "rn", within=("run",), total="n").collect()
+    assert sorted((r.seq, r.rn, r.n) for r in found) == [(1, 1, 2), (2, 2, 2), (3, 1, 2), (4, 2, 2)]
 
 
 def test_rolling_mean_over_chunks(spark, monkeypatch):
