@@ -104,42 +104,69 @@ def forward_backward(
     return np.ascontiguousarray(p.T).ravel()[:n], counts
 
 
-def train(
-    words: list[list[str]], tags: list[np.ndarray], steps: int = 40, rate: float = 0.4, decay: float = 1e-5
-) -> Chain:
+class Lexicon:
+    """Distinct lower-case words of a sample, their features, and the texts as word numbers."""
+
+    def __init__(self, texts: list[str]):
+        known: dict[str, int] = {}
+        number = lambda w: known.setdefault(w.lower(), len(known))
+        self.texts = [np.array([number(w) for w in WORD.findall(t)], dtype=np.int32) for t in texts]
+        self.words = list(known)
+        # A row per word; BUCKETS stands for no feature.
+        self.features = np.full((len(self.words), 2 + len(PREFIXES)), BUCKETS, dtype=np.int32)
+        for row, word in zip(self.features, self.words, strict=True):
+            found = features(word)
+            row[: len(found)] = found
+
+
+def _stretches(sizes: list[int], most: int = 400_000) -> list[tuple[int, int]]:
+    """Runs of whole texts, of about ``most`` tokens each."""
+    out, begin, end = [], 0, 0
+    for size in sizes:
+        if end > begin and end + size - begin > most:
+            out.append((begin, end))
+            begin = end
+        end += size
+    return [*out, (begin, end)] if end > begin else out
+
+
+def train(lexicon: Lexicon, tags: list[np.ndarray], steps: int = 40, rate: float = 0.4, decay: float = 1e-5) -> Chain:
     """Maximum likelihood of the tags by full-batch Adagrad."""
-    known: dict[str, int] = {}
-    ids = np.array([known.setdefault(w, len(known)) for text in words for w in text], dtype=np.int64)
-    listed = [features(w) for w in known]
-    widths = np.array([len(f) for f in listed], dtype=np.int64)
-    flat = np.array([f for fs in listed for f in fs], dtype=np.int64)
-    owner = np.repeat(np.arange(len(listed)), widths)
-    y = np.concatenate([np.zeros(0), *tags]).astype(np.float64)
-    first = np.zeros(len(ids), dtype=bool)
-    sizes = np.array([len(t) for t in words if t], dtype=np.int64)
-    if not len(sizes):
+    sizes = [len(t) for t in lexicon.texts if len(t)]
+    if not sizes:
         return Chain(np.zeros(BUCKETS, dtype=np.float32), np.zeros((2, 2)), np.zeros(2))
-    first[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = True
-    chain = Chain(np.zeros(BUCKETS), np.zeros((2, 2)), np.zeros(2))
-    inner = ~first[1:]
-    whole = y.astype(int)
-    seen = np.bincount((2 * whole[:-1] + whole[1:])[inner], minlength=4).reshape(2, 2)
+    ids = np.concatenate(lexicon.texts)
+    y = np.concatenate(tags).astype(np.float32)
+    first = np.zeros(len(ids), dtype=bool)
+    first[np.cumsum([0, *sizes[:-1]])] = True
+    chain = Chain(np.zeros(BUCKETS + 1), np.zeros((2, 2)), np.zeros(2))
+    whole = y.astype(np.int8)
+    seen = np.bincount((2 * whole[:-1] + whole[1:])[~first[1:]], minlength=4).reshape(2, 2)
     begun = np.bincount(whole[first], minlength=2)
-    past = [np.full(BUCKETS, 1e-8), np.full((2, 2), 1e-8), np.full(2, 1e-8)]
-    total = len(ids)
+    past = [np.full(BUCKETS + 1, 1e-8), np.full((2, 2), 1e-8), np.full(2, 1e-8)]
+    total, words = len(ids), len(lexicon.words)
     for _ in range(steps):
-        by_word = np.bincount(owner, weights=chain.weights[flat], minlength=len(listed))
-        p, pair = forward_backward(by_word[ids], first, chain, pairs=True)
-        error = np.bincount(ids, weights=y - p, minlength=len(listed))
+        by_word = chain.weights[lexicon.features].sum(axis=1)
+        error, pair, opened = np.zeros(words), np.zeros((2, 2)), np.zeros(2)
+        for a, b in _stretches(sizes):
+            p, own = forward_backward(by_word[ids[a:b]], first[a:b], chain, pairs=True)
+            error += np.bincount(ids[a:b], weights=y[a:b] - p, minlength=words)
+            pair += own
+            start = p[first[a:b]]
+            opened += (1 - start).sum(), start.sum()
+        slope = np.zeros(BUCKETS + 1)
+        for column in lexicon.features.T:
+            slope += np.bincount(column, weights=error, minlength=BUCKETS + 1)
+        slope[BUCKETS] = 0
         slopes = [
-            np.bincount(flat, weights=error[owner], minlength=BUCKETS) / total - decay * chain.weights,
+            slope / total - decay * chain.weights,
             (seen - pair) / total - decay * chain.transition,
-            (begun - np.array([(1 - p[first]).sum(), p[first].sum()])) / total - decay * chain.start,
+            (begun - opened) / total - decay * chain.start,
         ]
-        for value, slope, square in zip((chain.weights, chain.transition, chain.start), slopes, past, strict=True):
-            square += slope * slope
-            value += rate * slope / np.sqrt(square)
-    chain.weights = chain.weights.astype(np.float32)
+        for value, gradient, square in zip((chain.weights, chain.transition, chain.start), slopes, past, strict=True):
+            square += gradient * gradient
+            value += rate * gradient / np.sqrt(square)
+    chain.weights = chain.weights[:BUCKETS].astype(np.float32)
     return chain
 
 

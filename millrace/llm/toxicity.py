@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import fold, slices
-from millrace.llm.crf import WORD, Chain, Tagger, features, train
+from millrace.llm.crf import BUCKETS, WORD, Chain, Lexicon, Tagger, train
 
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_ROWS = 1200
@@ -44,13 +43,19 @@ def summary(marginals: np.ndarray) -> np.ndarray:
     return np.array([np.log1p(total), float(marginals.max()), total / len(marginals), 1.0])
 
 
-def _sketch(words: list[str]) -> int:
+def _sketch(text: np.ndarray) -> int:
     """Smallest digest of the text's runs of five words: equal for most pairs of near copies."""
-    runs = (" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
-    return min(zlib.crc32(r.encode("utf-8", "replace")) for r in runs)
+    if len(text) < 5:
+        return zlib.crc32(text.tobytes())
+    runs = np.lib.stride_tricks.sliding_window_view(text.astype(np.uint64), 5)
+    mixed = np.zeros(len(runs), dtype=np.uint64)
+    for column in runs.T:
+        mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+    return int(mixed.min())
 
 
-def token_labels(texts: list[list[str]], labels: list[int]) -> list[np.ndarray]:
+def token_labels(lexicon: Lexicon, labels: list[int]) -> list[np.ndarray]:
     """Token labels from document labels.
 
     A token of a toxic document is toxic if one of its features occurs in toxic documents more
@@ -58,33 +63,26 @@ def token_labels(texts: list[list[str]], labels: list[int]) -> list[np.ndarray]:
     log of the number of words by five, and its odds must rise by MIN_LIFT. Near copies, told by a
     common sketch, count once.
     """
-    of_word: dict[str, list[int]] = {}
-    groups: dict[tuple[int, int], set[int]] = {}
-    for words, label in zip(texts, labels, strict=True):
-        found = groups.setdefault((_sketch(words), label), set())
-        for word in set(words):
-            if word not in of_word:
-                of_word[word] = features(word)
-            found.update(of_word[word])
-    seen, number = [Counter(), Counter()], [0, 0]
-    for (_, label), found in groups.items():
-        seen[label].update(found)
+    groups: dict[tuple[int, int], list[int]] = {}
+    for n, (text, label) in enumerate(zip(lexicon.texts, labels, strict=True)):
+        groups.setdefault((_sketch(text), label), []).append(n)
+    seen, number = np.zeros((2, BUCKETS + 1)), np.zeros(2)
+    for (_, label), members in groups.items():
+        words = np.unique(np.concatenate([lexicon.texts[n] for n in members]))
+        seen[label][np.unique(lexicon.features[words])] += 1
         number[label] += 1
-    number = [max(1, n) for n in number]
-    share = number[1] / sum(number)
-    strong = set()
-    for feature, toxic in seen[1].items():
-        clean = seen[0][feature]
-        n, q = toxic + clean, toxic / (toxic + clean)
-        rest = (1 - q) * np.log((1 - q) / (1 - share)) if q < 1 else 0.0
-        lift = (toxic + 0.5) / (number[1] + 1) / ((clean + 0.5) / (number[0] + 1))
-        if lift >= MIN_LIFT and n * (q * np.log(q / share) + rest) > np.log(len(of_word) + 1) + 5:
-            strong.add(feature)
-    toxic_word = {w: not strong.isdisjoint(f) for w, f in of_word.items()}
-    return [
-        np.array([bool(label) and toxic_word[w] for w in words], dtype=np.int8)
-        for words, label in zip(texts, labels, strict=True)
-    ]
+    number = np.maximum(number, 1)
+    share = number[1] / number.sum()
+    clean, toxic = seen
+    n = np.maximum(clean + toxic, 1)
+    q = toxic / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        divergence = np.where(q > 0, q * np.log(q / share), 0) + np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - share)), 0)
+    lift = (toxic + 0.5) / (number[1] + 1) / ((clean + 0.5) / (number[0] + 1))
+    strong = (lift >= MIN_LIFT) & (n * divergence > np.log(len(lexicon.words) + 1) + 5)
+    strong[BUCKETS] = False
+    toxic_word = strong[lexicon.features].any(axis=1)
+    return [toxic_word[text] & bool(label) for text, label in zip(lexicon.texts, labels, strict=True)]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -118,7 +116,7 @@ def fit(
     total = sum(number.values())
     if number.get(0, 0) == 0 or number.get(1, 0) == 0:
         odds = 0.0 if not total else (8.0 if number.get(1) else -8.0)
-        return Model(train([], []), np.array([0.0, 0.0, 0.0, odds]))
+        return Model(train(Lexicon([]), []), np.array([0.0, 0.0, 0.0, odds]))
     order = F.md5(F.col("_id").cast("string"))
     lengths = docs.select(F.col(id_col).alias("_id"), F.length(text_col).alias("_n"))
     usable = known.join(lengths.where(F.col("_n") <= SAMPLE_CHARS).select("_id").distinct(), "_id", "left_semi")
@@ -133,11 +131,16 @@ def fit(
     y = [r[1] for r in sample]
     if len(set(y)) < 2:
         share = number[1] / total
-        return Model(train([], []), np.array([0.0, 0.0, 0.0, np.log(share / (1 - share))]))
-    words = [[w.lower() for w in WORD.findall(r[2])] for r in sample]
-    chain = train(words, token_labels(words, y))
-    tagger = Tagger(chain)
-    x = np.stack([summary(m) for m in tagger.tag([r[2] for r in sample])])
+        return Model(train(Lexicon([]), []), np.array([0.0, 0.0, 0.0, np.log(share / (1 - share))]))
+    texts = [r[2] for r in sample]
+    del sample
+    lexicon = Lexicon(texts)
+    chain = train(lexicon, token_labels(lexicon, y))
+    del lexicon
+    tagger, x = Tagger(chain), []
+    for at in range(0, len(texts), 128):
+        x += [summary(m) for m in tagger.tag(texts[at : at + 128])]
+    x = np.stack(x)
     y = np.array(y, dtype=np.float64)
     shares = np.array([number[0], number[1]]) / total
     drawn = np.array([(y == 0).mean(), (y == 1).mean()])
