@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.functions.hashing import hex_to_unit
 from millrace.llm.common import fold, slices
 
 FOLDS, HELD_OUT = 4, 2
@@ -26,6 +27,7 @@ HASH_BITS = 15
 ORDERS = (2, 3, 4)
 SAMPLE_ROWS = 2400
 SAMPLE_CHARS = 20_000
+OVERSAMPLE = 4
 LANDMARKS = 192
 RIDGE = 1e-3
 SHARPNESS = 4.0
@@ -134,16 +136,21 @@ def fit(
     """Learn from a bounded sample outside the held-out fold.
 
     ``sample_rows`` are shared evenly by the languages: of each the first in the order of a digest
-    of the id, of texts of at most SAMPLE_CHARS characters. Null languages and texts are left out.
+    of the id (there are few languages: their counts come to the driver), of texts of at most SAMPLE_CHARS characters. Null languages and texts are left out.
     """
     rows = docs.select(
         F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang")
     ).where(fold(F.col("_id"), FOLDS) != HELD_OUT)
     rows = rows.where(F.col("_lang").isNotNull() & (F.length("_text") <= SAMPLE_CHARS) & F.col("_id").isNotNull())
-    number = rows.select("_lang").distinct().count()
-    each = max(8, sample_rows // max(1, number))
-    order = W.partitionBy("_lang").orderBy(F.md5(F.col("_id").cast("string")), "_id")
-    ids = rows.select("_id", "_lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each)
+    sizes = rows.groupBy(F.col("_lang").alias("_of")).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = rows.sparkSession.createDataFrame(sizes.collect(), "_of string, _size bigint")
+    each = max(8, sample_rows // max(1, sizes.count()))
+    # Of a common language only about OVERSAMPLE times its share of the sample is compared.
+    digest = F.md5(F.col("_id").cast("string"))
+    drawn = rows.select("_id", "_lang").join(F.broadcast(sizes), F.col("_lang") == F.col("_of"))
+    drawn = drawn.where(hex_to_unit(digest) * F.col("_size") < OVERSAMPLE * each)
+    order = W.partitionBy("_lang").orderBy(digest, "_id")
+    ids = drawn.select("_id", "_lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each)
     ids = ids.select("_id").distinct()
     sample = rows.join(F.broadcast(ids), "_id").select("_id", "_lang", "_text").collect()
     sample = sorted((r["_id"], r["_lang"], r["_text"]) for r in sample)
