@@ -73,14 +73,39 @@ def common_range(curves: DataFrame, index: str = "index") -> DataFrame:
     return curves.join(F.broadcast(shortest), "curve").where(F.col(index) <= F.col("_end")).drop("_end")
 
 
+# Phases whose metrics are kept step by step, and those that overwrite.
+APPENDED = ("step", "train_batch", "validation_batch", "test_batch")
+OVERWRITTEN = ("validation", "test")
+
+
 def metric_series(metrics: DataFrame, phase: Column) -> DataFrame:
-    return metrics.select(
+    """Values of the phases that are appended."""
+    return metrics.where(phase.isin(*APPENDED)).select(
         "run_id", metric_path(phase, F.col("name")).alias("path"), "step", "value", "seq"
     )
 
 
-def latest_values(series: DataFrame) -> DataFrame:
-    return series.groupBy("run_id", "path").agg(F.max_by("value", "seq").alias("value"))
+def latest_values(metrics: DataFrame, phase: Column) -> DataFrame:
+    """The latest value of each metric whose phase overwrites, and of the three counters.
+
+    ``metrics`` has step_idx, batch_idx and epoch_idx beside name, value and seq: every training
+    step moves train/steps, every training batch train/batches, and train/epochs is the last
+    epoch that a later one has followed or that ended the run's rows.
+    """
+    shown = metrics.where(phase.isin(*OVERWRITTEN)).select(
+        "run_id", metric_path(phase, F.col("name")).alias("path"), "value", "seq"
+    )
+    counters = [("step", "train/steps", "step_idx"), ("train_batch", "train/batches", "batch_idx")]
+    for moved, path, column in counters:
+        shown = shown.unionByName(
+            metrics.where(phase == moved).select(
+                "run_id", F.lit(path).alias("path"), F.col(column).cast("double").alias("value"), "seq"
+            )
+        )
+    epochs = metrics.select(
+        "run_id", F.lit("train/epochs").alias("path"), F.col("epoch_idx").cast("double").alias("value"), "seq"
+    )
+    return shown.unionByName(epochs).groupBy("run_id", "path").agg(F.max_by("value", "seq").alias("value"))
 
 
 def hyperparameters(calls: DataFrame, columns: list[str]) -> DataFrame:
@@ -96,16 +121,22 @@ def micros(ts: str) -> Column:
 
 
 def elapsed_ms(stepped: DataFrame) -> DataFrame:
-    """Milliseconds since the previous step of the run and since its first."""
+    """Milliseconds since the previous step of the run and since the first of the epoch.
+
+    ``stepped`` has run_id, epoch, step and ts. The starts have a row per run and epoch.
+    """
     chunks = overlapping_chunks(stepped.withColumn("_us", micros("ts")), "step", CHUNK_ROWS, 1)
     previous = F.lag("_us").over(W.partitionBy("run_id", "_chunk").orderBy("step"))
     own = chunks.withColumn("_before", previous).where("_own")
-    starts = stepped.groupBy(F.col("run_id").alias("_run")).agg(F.min_by(micros("ts"), "step").alias("_start"))
-    return own.join(starts, F.col("run_id").eqNullSafe(F.col("_run"))).select(
+    starts = stepped.groupBy(F.col("run_id").alias("_run"), F.col("epoch").alias("_epoch")).agg(
+        F.min_by(micros("ts"), "step").alias("_start")
+    )
+    same = F.col("run_id").eqNullSafe(F.col("_run")) & F.col("epoch").eqNullSafe(F.col("_epoch"))
+    return own.join(starts, same).select(
         "run_id",
         "step",
         ((F.col("_us") - F.col("_before")) / 1000.0).alias("step_ms"),
-        ((F.col("_us") - F.col("_start")) / 1000.0).alias("since_start_ms"),
+        ((F.col("_us") - F.col("_start")) / 1000.0).alias("since_epoch_ms"),
     )
 
 

@@ -209,6 +209,11 @@ ORACLE: dict[str, str] = {
         select * from (values ('[UNK]', 0, 'special'), ('[PAD]', 1, 'special'), ('[EOS]', 2, 'special'))""",
     "bpe_decode": """select doc_id, case when text like ' %' then substr(t, 2) else t end as decoded from (
         select doc_id, text, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') as t from documents)""",
+    "roundtrip_status": """with t as (select lang, text, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') as t from documents)
+        select lang, avg((case when text like ' %' then substr(t, 2) else t end = text)::int) as success_rate
+        from t group by 1""",
+    "special_token_lookup": """select token, id, 128 as metaspace_size, 231 as go_size, 240 as typed_size
+        from (values ('[UNK]', 0), ('[PAD]', 1), ('[EOS]', 2)) s(token, id)""",
     "id_to_token_name": f"""with {DIM} select event_id, case when g >= 92 then 'NL_INDENT_' || (g - 92)
         when tok_name in ({names_after}) then tok_name || '_'
         when tok_name in ({names_around}) then '_' || tok_name || '_' else tok_name end as name
@@ -300,17 +305,22 @@ ORACLE: dict[str, str] = {
         from events where event_type = 'error'), u as (select 'a' as curve, "index", loss from cc union all
         select 'b', "index", loss from e)
         select * from u where "index" <= least((select max("index") from cc), (select max("index") from e))""",
-    "metric_series": f"with {MET} select run_id, {phase_prefix('seq')} || name as path, step, value, seq from m",
-    "metric_latest": f"""with {MET} select run_id, {phase_prefix('seq')} || name as path, max_by(value, seq) as value
-        from m group by 1, 2""",
+    "metric_series": f"""with {MET} select run_id, {phase_prefix('seq')} || name as path, step, value, seq from m
+        where seq % 6 in (0, 1, 3, 5)""",
+    "metric_latest": f"""with {MET}, l as (
+        select run_id, {phase_prefix('seq')} || name as path, value, seq from m where seq % 6 in (2, 4)
+        union all select run_id, 'train/steps', step::double, seq from m where seq % 6 = 0
+        union all select run_id, 'train/batches', (step * 4)::double, seq from m where seq % 6 = 1
+        union all select run_id, 'train/epochs', (step // 400)::double, seq from m)
+        select run_id, path, max_by(value, seq) as value from l group by 1, 2""",
     "hyperparams_stringify": f"""with {MET}, kv as (select run_id, seq, 'name' as key, name as value from m union all
         select run_id, seq, 'value', cast(value as varchar) from m union all
         select run_id, seq, 'weight', cast(weight as varchar) from m)
         select run_id, key, max_by(value, seq) as value from kv group by 1, 2""",
     "step_elapsed_ms": f"""with {MET} select run_id, step,
         round((epoch_us(ts) - lag(epoch_us(ts)) over w) / 1000.0::double, 3) as step_ms,
-        round((epoch_us(ts) - first_value(epoch_us(ts)) over w) / 1000.0::double, 3) as since_start_ms
-        from m window w as (partition by run_id order by step)""",
+        round((epoch_us(ts) - first_value(epoch_us(ts)) over (partition by run_id, step // 400 order by step))
+        / 1000.0::double, 3) as since_epoch_ms from m window w as (partition by run_id order by step)""",
     "checkpoint_policy": f"""with recursive {MET}, s as (select run_id, seq, step // 400 as epoch, step,
         (epoch_us(ts) // 1000000)::double as seconds from m),
         fold as (select run_id, step as cur, seq, epoch, seconds, 0::bigint as le, 0::bigint as ls, seconds as lt,

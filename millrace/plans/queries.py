@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -793,21 +793,24 @@ def common_range(spark, sf):
     return metrics.common_range(a.unionByName(c))
 
 
-def series(spark, sf) -> DataFrame:
-    phase = F.element_at(F.lit(PHASES), (F.col("seq") % len(PHASES) + 1).cast("int"))
-    return metrics.metric_series(b.metric_steps(spark, sf), phase)
+def reporting_phase() -> Column:
+    return F.element_at(F.lit(PHASES), (F.col("seq") % len(PHASES) + 1).cast("int"))
 
 
 @query
 def metric_series(spark, sf):
-    return series(spark, sf)
+    return metrics.metric_series(b.metric_steps(spark, sf), reporting_phase())
 
 
 @query
 def metric_latest(spark, sf):
-    phase = F.element_at(F.lit(PHASES), (F.col("seq") % len(PHASES) + 1).cast("int"))
-    tagged = b.metrics(spark, sf).withColumn("step", F.lit(None).cast("bigint"))
-    return metrics.latest_values(metrics.metric_series(tagged, phase))
+    """Four batches to a step, four hundred steps to an epoch."""
+    counted = b.metric_steps(spark, sf).withColumns({
+        "step_idx": F.col("step"),
+        "batch_idx": F.col("step") * 4,
+        "epoch_idx": F.floor(F.col("step") / 400),
+    })
+    return metrics.latest_values(counted, reporting_phase())
 
 
 @query
@@ -818,8 +821,9 @@ def hyperparams_stringify(spark, sf):
 
 @query
 def step_elapsed_ms(spark, sf):
-    return metrics.elapsed_ms(b.metric_steps(spark, sf)).select(
-        "run_id", "step", F.round("step_ms", 3).alias("step_ms"), F.round("since_start_ms", 3).alias("since_start_ms")
+    stepped = b.metric_steps(spark, sf).withColumn("epoch", F.floor(F.col("step") / 400))
+    return metrics.elapsed_ms(stepped).select(
+        "run_id", "step", F.round("step_ms", 3).alias("step_ms"), F.round("since_epoch_ms", 3).alias("since_epoch_ms")
     )
 
 
