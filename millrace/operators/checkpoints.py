@@ -13,12 +13,18 @@ FIRED = "run_id bigint, seq bigint, epoch bigint, step bigint, seconds double"
 
 
 def next_fires(
-    epoch: np.ndarray, step: np.ndarray, seconds: np.ndarray, last: tuple, limits: tuple
+    epoch: np.ndarray,
+    step: np.ndarray,
+    seconds: np.ndarray,
+    last: tuple,
+    limits: tuple,
+    named: np.ndarray | None = None,
 ) -> tuple[list[int], tuple]:
     """Positions that fire, and the state left behind.
 
     A row fires when epoch, step or time since the last fire reaches its limit; a fire resets
-    all three.
+    all three. A row that is due but not ``named``, as its file name has a field that nothing
+    fills, is skipped and resets nothing.
     """
     fired, at = [], 0
     columns = (epoch, step, seconds)
@@ -26,6 +32,8 @@ def next_fires(
         due = np.zeros(len(step) - at, dtype=bool)
         for column, since, limit in zip(columns, last, limits):
             due |= column[at:] - since >= limit
+        if named is not None:
+            due &= named[at:]
         if not due.any():
             break
         hit = at + int(due.argmax())
@@ -42,7 +50,8 @@ def checkpoint_policy(
 
     Each fire depends on the one before, so a run is read in order by one task. It is streamed
     from the sorted partition in Arrow batches and only the last fire is kept in memory.
-    The first state is epoch 0, step 0 and the time of the run's first row.
+    The first state is epoch 0, step 0 and the time of the run's first row. A boolean column
+    ``named``, if there is one, is false for steps whose file name stays unfilled.
     """
     limits = (max_epochs, max_steps, max_seconds)
 
@@ -60,9 +69,10 @@ def checkpoint_policy(
                         part["seconds"].to_numpy(),
                         last,
                         limits,
+                        part["named"].to_numpy(),
                     )
                     if hits:
-                        yield part.iloc[hits]
+                        yield part.iloc[hits].drop(columns="named")
 
     narrow = steps.select(
         F.col("run_id").cast("bigint"),
@@ -70,6 +80,7 @@ def checkpoint_policy(
         F.col("epoch").cast("bigint"),
         F.col("step").cast("bigint"),
         F.col("seconds").cast("double"),
+        (F.col("named") if "named" in steps.columns else F.lit(True)).alias("named"),
     )
     return (
         narrow.repartition("run_id").sortWithinPartitions("run_id", "seq").mapInPandas(scan, FIRED)

@@ -44,6 +44,13 @@ def test_checkpoint_policy_and_stream(spark, tmp_path, limits):
     assert {(r.run_id, r.seq) for r in fires.collect()} == expected and late.isEmpty()
 
 
+def test_unfilled_names_are_skipped_without_a_reset(spark):
+    rows = [(1, s, 0, s, 0.0, s not in (3, 4, 8)) for s in range(1, 13)]
+    frame = spark.createDataFrame(rows, "run_id bigint, seq bigint, epoch bigint, step bigint, seconds double, named boolean")
+    found = checkpoints.checkpoint_policy(frame, 9, 3, 1e9).collect()
+    assert [r.seq for r in found] == [5, 9, 12]
+
+
 def test_stream_reports_late_steps(spark, tmp_path):
     schema = "run_id bigint, seq bigint, epoch bigint, step bigint, seconds double"
     path = str(tmp_path / "steps")
