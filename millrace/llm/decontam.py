@@ -1,12 +1,10 @@
 """Benchmark passages in documents, up to edits.
 
-Words are the symbols. A CGK walk reads a window from its first word: it emits the word under the
-pointer and moves on or stays by a random bit of (step, word), so that two windows at a small edit
-distance soon emit the same words at the same steps again. A probe samples a few steps of one walk;
-every window of every document takes every probe, and windows leave a probe at the first sampled
-word that no item has there. Half of the probes walk backwards from a window's last word, so edits
-at one end of a passage do not spoil all probes. Candidates are then checked by the exact edit
-distance of the whole item to the best place in its surroundings.
+Words are the symbols. An item that may differ in k words is cut into k + 1 pieces; k edits leave at
+least one piece whole, so every passage within the limit holds a piece unchanged, wherever its edits
+stand. All pieces of a block are looked up in one walk over the words: a place leaves it at the first
+word with which no piece goes on. Candidates are then checked by the exact edit distance of the whole
+item to the best place in its surroundings.
 """
 
 from __future__ import annotations
@@ -25,12 +23,8 @@ from millrace.llm.common import slices
 
 WORD = re.compile(r"\w+")
 SIMILARITY = 0.8
-PROBES = 16
-SAMPLED = 3
-MAX_STEPS = 64
-CLASS_GROWTH = 4
 ITEM_BLOCK = 2048
-BITMAP_BITS = 18
+BITMAP_BITS = 20
 MEMO_ENTRIES = 500_000
 LONG_CHUNK = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -47,86 +41,48 @@ def allowed(words: int, similarity: float = SIMILARITY) -> int:
     return int((1 - similarity) * words + 1e-9)
 
 
-@dataclass
-class Probe:
-    """One walk, its sampled steps, and where the items of a length class fall."""
-
-    multiplier: np.uint64
-    backward: bool
-    steps: list[int]
-    bitmaps: list[np.ndarray]
-    keys: np.ndarray
-    items: np.ndarray
-
-    def survivors(self, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and key of each window that agrees with some item at all sampled steps."""
-        moves = _moves(hashes, self.multiplier)
-        at, key = starts, np.zeros(len(starts), dtype=np.uint64)
-        begun, depth = starts, 0
-        for step in range(self.steps[-1] + 1):
-            while depth < len(self.steps) and step == self.steps[depth]:
-                key = _extend(key, hashes[at])
-                if depth < len(self.bitmaps):
-                    keep = self.bitmaps[depth][(key >> np.uint64(64 - BITMAP_BITS)).view(np.int64)]
-                    at, key, begun = at[keep], key[keep], begun[keep]
-                depth += 1
-            if not len(at):
-                break
-            at = at + ((moves[at] >> np.uint64(step)) & np.uint64(1)).view(np.int64)
-        return begun, key
-
-
-def _moves(hashes: np.ndarray, multiplier: np.uint64) -> np.ndarray:
-    mixed = hashes * multiplier
-    return (mixed ^ (mixed >> np.uint64(29))) * _ODD
-
-
 def _extend(key: np.ndarray, words: np.ndarray) -> np.ndarray:
     mixed = (key ^ words) * _ODD
     return mixed ^ (mixed >> np.uint64(32))
 
 
-def length_classes(sizes: list[int]) -> list[tuple[int, int]]:
-    """Ranges of item sizes, each from the shortest item left to below CLASS_GROWTH times it."""
-    out, left = [], sorted(set(sizes))
-    while left:
-        low = left[0]
-        out.append((low, low * CLASS_GROWTH))
-        left = [s for s in left if s >= low * CLASS_GROWTH]
-    return out
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint64(64 - BITMAP_BITS)).view(np.int64)
+
+
+def piece_edges(words: int, limit: int) -> list[int]:
+    """Where an item of that many words is cut into ``limit`` + 1 pieces, none empty."""
+    return [words * k // (limit + 1) for k in range(limit + 2)]
+
 
+@dataclass
+class Depth:
+    """What pieces hold at one number of words: all beginnings by bitmap, whole pieces by key."""
 
-def build_probes(items: list[np.ndarray], probes: int = PROBES, seed: int = 7) -> list[Probe]:
-    """Probes over all length classes; a walk takes as many steps as its shortest item has words."""
-    rng = np.random.default_rng(seed)
-    out = []
-    for low, high in length_classes([len(i) for i in items if len(i)]):
-        chosen = [n for n, i in enumerate(items) if low <= len(i) < high]
-        steps = min(MAX_STEPS, low)
-        sampled = min(SAMPLED, steps)
-        edges = [steps * k // sampled for k in range(sampled + 1)]
-        for number in range(probes):
-            multiplier = np.uint64(int(rng.integers(1 << 62)) * 2 + 1)
-            picks = [int(rng.integers(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
-            backward = bool(number % 2)
-            bitmaps = [np.zeros(1 << BITMAP_BITS, dtype=bool) for _ in picks]
-            keys, owners = [], []
-            for n in chosen:
-                words = items[n][::-1] if backward else items[n]
-                pad = np.full(steps + 1, n, dtype=np.uint64) * _ODD
-                words = np.concatenate([words, pad])
-                moves, at, key, depth = _moves(words, multiplier), 0, np.zeros(1, dtype=np.uint64), 0
-                for step in range(picks[-1] + 1):
-                    if step == picks[depth]:
-                        key = _extend(key, words[at : at + 1])
-                        bitmaps[depth][int(key[0]) >> (64 - BITMAP_BITS)] = True
-                        depth += 1
-                    at += int(moves[at]) >> step & 1
-                keys.append(int(key[0]))
-                owners.append(n)
-            keys = np.array(keys, dtype=np.uint64)
-            order = np.argsort(keys, kind="stable")
-            out.append(Probe(multiplier, backward, picks, bitmaps, keys[order], np.array(owners)[order]))
+    bitmap: np.ndarray
+    keys: np.ndarray
+    items: np.ndarray
+    offsets: np.ndarray
+
+
+def build_depths(items: list[np.ndarray], limits: list[int]) -> list[Depth]:
+    """The pieces of all items by their first word, their first two words and so on."""
+    pieces = []
+    for n, (item, limit) in enumerate(zip(items, limits, strict=True)):
+        edges = piece_edges(len(item), limit)
+        pieces += [(n, a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
+    owner, first, end = (np.array(c, dtype=np.int64) for c in zip(*pieces, strict=True)) if pieces else [np.empty(0, np.int64)] * 3
+    words = np.concatenate([*items, np.empty(0, dtype=np.uint64)])
+    begin = np.cumsum([0, *map(len, items)])[owner] + first
+    size, key, out = end - first, np.zeros(len(owner), dtype=np.uint64), []
+    for depth in range(1, int(size.max(initial=0)) + 1):
+        on = size >= depth
+        key[on] = _extend(key[on], words[begin[on] + depth - 1])
+        bitmap = np.zeros(1 << BITMAP_BITS, dtype=bool)
+        bitmap[_slot(key[on])] = True
+        whole = np.flatnonzero(size == depth)
+        whole = whole[np.argsort(key[whole], kind="stable")]
+        out.append(Depth(bitmap, key[whole], owner[whole], first[whole]))
     return out
 
 
@@ -161,14 +117,13 @@ def best_place(item: np.ndarray, words: np.ndarray, guess: int, limit: int) -> t
 class Finder:
     """Finds the items of one block in documents given as word hashes."""
 
-    def __init__(self, items: list[np.ndarray], similarity: float, probes: int):
+    def __init__(self, items: list[np.ndarray], similarity: float):
         self.items, self.limits = items, [allowed(len(i), similarity) for i in items]
-        self.probes = build_probes(items, probes)
-        reach = max((p.steps[-1] for p in self.probes), default=0)
-        self.gap = 2 + max([reach, *(len(i) + k for i, k in zip(items, self.limits, strict=True))])
+        self.depths = build_depths(items, self.limits)
+        self.gap = 2 + max((len(i) + k for i, k in zip(items, self.limits, strict=True)), default=0)
 
     def _line(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All words in one array with gaps that no walk can pass; where texts begin; word places."""
+        """All words in one array with gaps that no piece can pass; where texts begin; word places."""
         sizes = np.array([len(d) for d in docs], dtype=np.int64)
         begin = self.gap + np.concatenate([[0], np.cumsum(sizes + self.gap)[:-1]]).astype(np.int64)
         line = np.arange(int(begin[-1] + sizes[-1]) + self.gap, dtype=np.uint64) * _ODD
@@ -179,23 +134,22 @@ class Finder:
         return line, begin, np.flatnonzero(real)
 
     def _candidates(self, line: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (item, place of its first word on the line) that some probe proposes."""
-        flipped = np.ascontiguousarray(line[::-1])
-        backward = len(line) - 1 - places[::-1]
-        sizes = np.array([len(i) for i in self.items], dtype=np.int64)
-        items, starts = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-        for probe in self.probes:
-            at, keys = probe.survivors(*((flipped, backward) if probe.backward else (line, places)))
-            first = np.searchsorted(probe.keys, keys, "left")
-            number = np.searchsorted(probe.keys, keys, "right") - first
-            each = np.repeat(np.arange(len(at)), number)
-            place = np.arange(len(each)) - np.repeat(np.cumsum(number) - number, number)
-            item = probe.items[np.repeat(first, number) + place]
-            at = at[each]
-            items.append(item)
-            starts.append(len(line) - at - sizes[item] if probe.backward else at)
-        pairs = np.unique(np.stack([np.concatenate(items), np.concatenate(starts)]), axis=1)
-        return pairs[0], pairs[1]
+        """Distinct (item, place of its first word on the line) where some piece stands."""
+        at, key = places, np.zeros(len(places), dtype=np.uint64)
+        pairs = [np.empty(0, dtype=np.int64)]
+        for number, depth in enumerate(self.depths):
+            key = _extend(key, line[at + number])
+            keep = depth.bitmap[_slot(key)]
+            at, key = at[keep], key[keep]
+            if not len(at):
+                break
+            first = np.searchsorted(depth.keys, key, "left")
+            count = np.searchsorted(depth.keys, key, "right") - first
+            each = np.repeat(np.arange(len(at)), count)
+            which = np.repeat(first, count) + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+            pairs.append(depth.items[which] * len(line) + at[each] - depth.offsets[which])
+        distinct = np.unique(np.concatenate(pairs))
+        return distinct // len(line), distinct % len(line)
 
     def _plausible(self, number: int, starts: np.ndarray, line: np.ndarray) -> np.ndarray:
         """Starts with enough of the item's words around: fewer cannot be within the limit."""
@@ -218,7 +172,7 @@ class Finder:
 
     def find(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
         """Checked hits (document, item, distance, first word, end word), the nearest per pair."""
-        if not self.probes or not docs:
+        if not self.depths or not docs:
             return []
         line, begin, places = self._line(docs)
         if not len(places):
@@ -262,7 +216,6 @@ def contaminated(
     docs: DataFrame,
     items: DataFrame,
     similarity: float = SIMILARITY,
-    probes: int = PROBES,
     item_block: int = ITEM_BLOCK,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -271,7 +224,8 @@ def contaminated(
 ) -> DataFrame:
     """Rows (doc_id, item_id, distance, similarity, start, end): a document's nearest place to an item.
 
-    ``distance`` counts edited words of the whole item, at most (1 - similarity) of its words;
+    ``distance`` counts edited words of the whole item, at most (1 - similarity) of its words, and
+    every pair within that limit is found, up to equal digests of different words;
     ``start`` and ``end`` are character offsets. Items are taken in blocks of ``item_block``, each
     block a pass over the documents. Null and empty texts and items without words match nothing.
     Items of fewer than five words must be equal. Null ids stay null, repeated documents give a row
@@ -281,16 +235,16 @@ def contaminated(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
     for number, block in enumerate(_item_blocks(items, item_id_col, item_text_col, item_block)):
-        found = rows.mapInArrow(_finder_task(block, similarity, probes), schema)
+        found = rows.mapInArrow(_finder_task(block, similarity), schema)
         out = found if number == 0 else out.unionByName(found)
     return out
 
 
-def _finder_task(block: list[tuple], similarity: float, probes: int):
+def _finder_task(block: list[tuple], similarity: float):
     ids, items = [b[0] for b in block], [b[1] for b in block]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(items, similarity, probes)
+        finder = Finder(items, similarity)
         memo: dict[str, bytes] = {}
         for batch in slices(batches):
             texts, docs, new = batch.column(1).to_pylist(), [], []

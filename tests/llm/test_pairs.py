@@ -152,6 +152,29 @@ def test_decontamination_recall_and_exact_check(spark):
         assert decontam._last_row(item, near)[-1] == r["distance"] <= decontam.allowed(len(item))
 
 
+def test_decontamination_finds_every_passage_at_the_limit():
+    rng = np.random.default_rng(11)
+    fill = lambda n: rng.integers(1 << 20, 1 << 40, n).astype(np.uint64)
+    items, docs, planted = [rng.integers(1, 3000, n).astype(np.uint64) for n in range(5, 60)], [], set()
+    for number, item in enumerate(items):
+        size, k = len(item), decontam.allowed(len(item))
+        at, spread = rng.choice(size, k, replace=False), item.copy()
+        spread[at] = fill(k)
+        even = item.copy()
+        even[[size * (j + 1) // (k + 1) - 1 for j in range(k)]] = fill(k)
+        inner = item[k // 2 : size - (k - k // 2)]
+        replaced = np.concatenate([fill(k // 2), inner, fill(k - k // 2)])
+        middle = np.concatenate([item[: size // 2], fill(k), item[size // 2 :]])
+        for passage in (inner, replaced, spread, even, middle, item[k:], item[: size - k], np.delete(item, at)):
+            planted.add((len(docs), number))
+            docs.append(np.concatenate([fill(70), passage, fill(70)]))
+        over = np.concatenate([fill(k // 2), item[k // 2 : size - (k - k // 2) - 1], fill(k - k // 2 + 1)])
+        docs.append(np.concatenate([fill(70), over, fill(70)]))
+    hits = decontam.Finder(items, decontam.SIMILARITY).find(docs)
+    assert {h[:2] for h in hits} == planted
+    assert all(h[2] <= decontam.allowed(len(items[h[1]])) for h in hits)
+
+
 def test_decontamination_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, 0, 0), (2, "", 0, 0), (None, "so A-b c d", 0, 0), (3, "a b c d " * 20_000, 0, 0), (3, "q", 0, 0)], DOC)
     items = spark.createDataFrame([(1, "a b c d"), (2, None), (3, "  "), (4, "A B C D")], "item_id bigint, text string")
