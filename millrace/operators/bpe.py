@@ -6,6 +6,7 @@ Training works on the table of distinct words.
 from __future__ import annotations
 
 import heapq
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.session import materialise
+from millrace.session import discard, materialise
 
 # Special tokens and their ids, whatever a caller asks for.
 SPECIALS = ["[UNK]", "[PAD]", "[EOS]"]
@@ -31,8 +32,11 @@ BYTE_LEVEL = (
 SYMBOL_BASE = 0x10000
 SYMBOL_BYTES = 4
 SYMBOL_ROOM = 2**19
-PAIRS_PER_ROUND = 256
-ROUNDS_PER_CUT = 40
+# Hot pairs that a round begins with and may grow to, and symbols of runs that the driver may hold.
+HOT_PAIRS = 1024
+MAX_HOT_PAIRS = 2**16
+RUN_SYMBOLS = 1_000_000
+RUNS_PER_FLUSH = 200_000
 MEMO_WORDS = 500_000
 ENCODED_ROWS = 64
 SEPARATOR = chr(0x10FFFF)
@@ -148,6 +152,10 @@ def symbol(i: int) -> str:
     return chr(SYMBOL_BASE + i)
 
 
+def ids_of(symbols: str) -> list[int]:
+    return [ord(c) - SYMBOL_BASE for c in symbols]
+
+
 def alphabet_of(counts: DataFrame) -> list[str]:
     """Distinct characters in code point order. Training text holds at most the byte alphabet
     or ASCII; a larger set is refused when it does not fit the symbols."""
@@ -173,36 +181,136 @@ def pair_counts(words: DataFrame) -> DataFrame:
     )
 
 
-def independent_prefix(
-    ranked: list[tuple[int, int]], tokens: list[str], known: dict[str, int], room: int
-) -> list[tuple[int, int]]:
-    """The leading pairs that one-at-a-time training would take next, in this order.
+def hot_runs(words: DataFrame, hot: set[str]) -> DataFrame:
+    """Longest runs of symbols all of whose neighbours are hot pairs, with their occurrences."""
+    shared = words.sparkSession.sparkContext.broadcast(hot)
 
-    A pair's merge changes only counts of pairs that share a symbol with it, and a pair it
-    creates counts, and ranks, no higher than some pair that shared a symbol. Up to the first
-    shared symbol the ranking therefore stands. A pair of equal symbols, or one that spells a
-    token already known, can break that and ends the batch.
+    def rows(counter: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], ["run", "n"]
+        )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, counter = shared.value, Counter()
+        for batch in batches:
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                begin = 0
+                for i in range(1, len(word) + 1):
+                    if i == len(word) or word[i - 1 : i + 1] not in pairs:
+                        if i - begin > 1:
+                            counter[word[begin:i]] += n
+                        begin = i
+            if len(counter) >= RUNS_PER_FLUSH:
+                yield rows(counter)
+                counter = Counter()
+        yield rows(counter)
+
+    found = words.select("symbols", "n").mapInArrow(run, "run string, n bigint")
+    return found.groupBy("run").agg(F.sum("n").alias("n"))
+
+
+def merges_before(
+    runs: list[tuple[list[int], int]],
+    bound: tuple[int, tuple[int, int]],
+    tokens: list[str],
+    known: dict[str, int],
+    vocab_size: int,
+) -> list[tuple[int, int, int]]:
+    """One-at-a-time training while the leading pair ranks before ``bound``, as (-count, ids).
+
+    ``runs`` are those of all pairs before the bound. Between two symbols whose pair is not before
+    it no pair ever gets there: a token that is new has one spelling in older tokens, so a new pair
+    occurs no more often than the two old symbols that meet in it, and its ids are no smaller. All
+    other pairs stand inside the runs, with all their occurrences. A merge that spells a token
+    already known breaks the argument, so it is the last one. New tokens are added to ``tokens``
+    and ``known``.
     """
-    taken, used, spelled = [], set(), set()
-    for a, b in ranked:
-        text = tokens[a] + tokens[b]
-        special = a == b or text in known
-        if {a, b} & used or text in spelled or (taken and text in known):
-            break
-        taken.append((a, b))
-        used |= {a, b}
-        spelled.add(text)
-        if special or len(taken) >= room:
+    count: dict[tuple[int, int], int] = defaultdict(int)
+    where: dict[tuple[int, int], set[int]] = defaultdict(set)
+    for number, (ids, n) in enumerate(runs):
+        for pair in zip(ids, ids[1:], strict=False):
+            count[pair] += n
+            where[pair].add(number)
+    waiting = [(-n, pair) for pair, n in count.items() if (-n, pair) < bound]
+    heapq.heapify(waiting)
+    merges = []
+    while waiting and len(tokens) < vocab_size:
+        promised, pair = heapq.heappop(waiting)
+        if count[pair] != -promised:
+            if count[pair] < -promised and (-count[pair], pair) < bound:
+                heapq.heappush(waiting, (-count[pair], pair))
+            continue
+        text = tokens[pair[0]] + tokens[pair[1]]
+        again = text in known
+        if not again:
+            known[text] = len(tokens)
+            tokens.append(text)
+        merges.append((*pair, known[text]))
+        if again:
             break
-    return taken
+        risen = set()
+        for number in where.pop(pair):
+            ids, n = runs[number]
+            for old in zip(ids, ids[1:], strict=False):
+                count[old] -= n
+            ids = replaced(ids, *merges[-1])
+            runs[number] = ids, n
+            for new in zip(ids, ids[1:], strict=False):
+                count[new] += n
+                if known[text] in new:
+                    where[new].add(number)
+                    risen.add(new)
+        for new in risen:
+            if (-count[new], new) < bound:
+                heapq.heappush(waiting, (-count[new], new))
+    return merges
+
+
+def replaced(ids: list[int], left: int, right: int, merged: int) -> list[int]:
+    """One merge in one word, leftmost first."""
+    out, i = [], 0
+    while i < len(ids):
+        if ids[i] == left and ids[i + 1 : i + 2] == [right]:
+            out.append(merged)
+            i += 2
+        else:
+            out.append(ids[i])
+            i += 1
+    return out
+
+
+def apply_merges(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+    """(symbols, n) after merges in their order; words of one symbol are left out.
+
+    Only the last merge may give a token that an earlier pair can hold.
+    """
+    *early, last = merges
+    shared = words.sparkSession.sparkContext.broadcast(
+        ({(a, b): (r, m) for r, (a, b, m) in enumerate(early)}, {symbol(a) + symbol(b) for a, b, _ in early})
+    )
+    old, new = symbol(last[0]) + symbol(last[1]), symbol(last[2])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, pairs = shared.value
+        for batch in batches:
+            out = []
+            for word in batch.column(0).to_pylist():
+                if any(word[i : i + 2] in pairs for i in range(len(word) - 1)):
+                    word = "".join(map(symbol, merge_word(ids_of(word), ranks)))
+                out.append(word.replace(old, new))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column(1)], ["symbols", "n"])
+
+    return words.select("symbols", "n").mapInArrow(run, "symbols string, n bigint").where(F.length("symbols") > 1)
 
 
 def train(counts: DataFrame, vocab_size: int) -> Vocabulary:
     """Greedy byte-pair training on (word, n): most frequent pair first, ties by smaller ids.
 
-    Every round counts all pairs in one job and takes as many merges as are certain to follow
-    each other. Only the best PAIRS_PER_ROUND pairs come to the driver. The merged word table is
-    cached by the next round's count and written to the shared folder every ROUNDS_PER_CUT.
+    A round counts all pairs, brings the leading ones to the driver and there takes all merges
+    that rank before the first one left out, on the runs of these hot pairs (``merges_before``).
+    The number of hot pairs follows what their runs take, at most RUN_SYMBOLS symbols; a single
+    pair always fits. The merged word table is written to the shared folder, and the one before is
+    removed.
     """
     counts = materialise(counts, "word-counts")
     alphabet = alphabet_of(counts)
@@ -210,41 +318,42 @@ def train(counts: DataFrame, vocab_size: int) -> Vocabulary:
     known = {t: i for i, t in enumerate(tokens)}
     merges: list[tuple[int, int, int]] = []
     as_symbols = "".join(symbol(known[c]) for c in alphabet)
-    superseded: list[DataFrame] = []
     words = counts.select(
         F.translate("word", "".join(alphabet), as_symbols).alias("symbols"), "n"
     ).where(F.length("symbols") > 1)
-    current, rounds = materialise(words, "symbols"), 0
+    current, hot = materialise(words, "symbols"), HOT_PAIRS
+    discard(counts)
     while len(tokens) < vocab_size:
-        best = pair_counts(current).orderBy(F.desc("n"), "pair").limit(PAIRS_PER_ROUND).collect()
-        ranked = [tuple(ord(c) - SYMBOL_BASE for c in r["pair"].decode()) for r in best]
-        batch = independent_prefix(ranked, tokens, known, vocab_size - len(tokens))
-        if not batch:
+        best = pair_counts(current).orderBy(F.desc("n"), "pair").limit(hot + 1).collect()
+        if not best:
             break
-        symbols = F.col("symbols")
-        for a, b in batch:
-            text = tokens[a] + tokens[b]
-            if text not in known:
-                known[text] = len(tokens)
-                tokens.append(text)
-            merges.append((a, b, known[text]))
-            symbols = F.replace(
-                symbols, F.lit(symbol(a) + symbol(b)), F.lit(symbol(known[text]))
-            )
-        rounds += 1
-        merged = current.select(symbols.alias("symbols"), "n").where(
-            F.octet_length("symbols") > SYMBOL_BYTES
-        )
-        previous = current
-        current = materialise(merged, "symbols") if rounds % ROUNDS_PER_CUT == 0 else merged.persist()
-        superseded.append(previous)
-        if len(superseded) > 1:
-            superseded.pop(0).unpersist()
-    for frame in [*superseded, current]:
-        frame.unpersist()
+        ranked = [(-r["n"], tuple(ids_of(r["pair"].decode()))) for r in best]
+        runs, bound, hot = _runs_that_fit(current, ranked, hot)
+        batch = merges_before(runs, bound, tokens, known, vocab_size)
+        merges += batch
+        previous, current = current, materialise(apply_merges(current, batch), "symbols")
+        discard(previous)
+    discard(current)
     return Vocabulary(tokens, merges)
 
 
+def _runs_that_fit(
+    words: DataFrame, ranked: list[tuple[int, tuple[int, int]]], hot: int
+) -> tuple[list[tuple[list[int], int]], tuple[int, tuple[int, int]], int]:
+    """Runs of the first ``hot`` pairs or fewer, the first pair left out, and next round's ``hot``."""
+    while True:
+        pairs = {symbol(a) + symbol(b) for _, (a, b) in ranked[:hot]}
+        bound = ranked[hot] if hot < len(ranked) else (0, (0, 0))
+        runs = hot_runs(words, pairs).persist()
+        size = runs.agg(F.sum(F.length("run"))).first()[0]
+        if size <= RUN_SYMBOLS or hot == 1:
+            held = [(ids_of(r["run"]), r["n"]) for r in runs.collect()]
+            runs.unpersist()
+            return held, bound, min(hot * 4, MAX_HOT_PAIRS) if size < RUN_SYMBOLS // 4 else hot
+        runs.unpersist()
+        hot = max(1, hot // 4)
+
+
 def merge_word(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
     """Apply merges lowest rank first, leftmost first, to one word's symbol ids."""
     n = len(ids)

@@ -7,7 +7,8 @@ from pyspark.sql import SparkSession
 from millrace.operators import codecs
 from millrace.plans import bindings as b
 
-VOCABULARY = 128
+# All ids of a trained tokenizer; fewer where the corpus has no more pairs.
+VOCABULARY = 2**15
 KINDS = {
     "metaspace": codecs.MetaspaceTokenizer,
     "go": codecs.GoTokenizer,
@@ -21,5 +22,5 @@ def tokenizer(spark: SparkSession, sf_dir: str, kind: str = "metaspace"):
     if key not in _trained:
         cls = KINDS[kind]
         corpus = b.spread(b.corpus(spark, sf_dir), "doc_id")
-        _trained[key] = cls.train(corpus, VOCABULARY + cls.extra_ids)
+        _trained[key] = cls.train(corpus, VOCABULARY)
     return _trained[key]

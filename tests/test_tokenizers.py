@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import gotokens as go
 from millrace.operators import bpe, codecs, lexer
+from millrace.plans import bindings as b
+from millrace.plans import trained
 
 GO = (
     'package main\n\nimport (\n\t"fmt"\n)\n\n/* x\ny */ var s = `raw\nstr` +  "a\\"bé" // Buz\n'
@@ -30,6 +32,29 @@ def test_training_equals_one_merge_at_a_time(spark, seed):
     assert found.merges == merges
 
 
+@pytest.mark.parametrize(("hot", "room"), [(1, 10**6), (3, 10**6), (64, 60), (1024, 10**6)])
+def test_training_to_the_end_equals_one_merge_at_a_time(spark, monkeypatch, hot, room):
+    rng = random.Random(hot)
+    words = {"".join(rng.choices("abcd", [6, 3, 2, 1], k=rng.randint(1, 8))): rng.randint(1, 3) for _ in range(30)}
+    words.update({"aaaaa": 5, "ababab": 3, "abcabc": 3, "bcbc": 3})
+    monkeypatch.setattr(bpe, "HOT_PAIRS", hot)
+    monkeypatch.setattr(bpe, "RUN_SYMBOLS", room)
+    tokens, merges = greedy_bpe(words, 1000)
+    found = bpe.train(counts_frame(spark, words), 1000)
+    assert found.tokens == tokens and found.merges == merges
+
+
+def test_registered_training_is_whole_and_takes_many_merges_a_round(spark, small, monkeypatch):
+    rounds, apply = [], bpe.apply_merges
+    monkeypatch.setattr(bpe, "apply_merges", lambda words, merges: rounds.append(len(merges)) or apply(words, merges))
+    monkeypatch.setattr(trained, "_trained", {})
+    size = trained.tokenizer(spark, small).vocab_size()
+    counts = bpe.word_counts(codecs.MetaspaceTokenizer.training_words(b.corpus(spark, small)))
+    assert trained.VOCABULARY == 2**15
+    assert size == trained.VOCABULARY or sum(rounds) >= counts.count() / 2
+    assert size > 1000 and sum(rounds) >= 50 * len(rounds)
+
+
 def test_training_runs_out_of_pairs(spark):
     found = bpe.train(counts_frame(spark, {"ab": 2, "c": 1}), 100)
     assert found.tokens == [*bpe.SPECIALS, "a", "b", "c", "ab"]
