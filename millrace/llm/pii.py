@@ -46,7 +46,8 @@ DIGIT_WORDS = (
     "cero uno dos tres cuatro cinco seis siete ocho nueve",
 )
 DIGIT_OF = {w: str(d) for line in DIGIT_WORDS for d, w in enumerate(line.split())}
-LEAST_SPELLED = 4
+SURELY_SPELLED = 4
+DIGIT_HINTS = tuple(DIGIT_OF)
 _DIGIT = "|".join(sorted(DIGIT_OF, key=lambda w: (-len(w), w)))
 _UNIT = rf"(?:(?:{_DIGIT})(?!\w)|[0-9]+)"
 SPELLED = re.compile(
@@ -59,13 +60,14 @@ BRACKETED = re.compile(rf"[\[({{<]\s*(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.))\s*[\
 SPACED_AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?:\s+(?:{_AT})\s+|\s*@\s*)(?=[A-Za-z0-9-])", re.IGNORECASE)
 SPACED_DOMAIN = re.compile(
     rf"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:\s+(?:{_DOT})\s+[A-Za-z0-9-]+)+"
-    r"|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:com|org|net|edu|gov|info|io)(?![A-Za-z0-9-])",
+    r"|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:com|org|net|edu|gov|info|io|(?-i:[a-z]{2}|[A-Z]{2}))(?![A-Za-z0-9-])",
     re.IGNORECASE,
 )
+# After the sign itself any ending will do; after a word it could be a sentence without its blank.
+SIGN_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:[a-z]{2,24}|[A-Z]{2,24}|xn--[a-z0-9-]{1,59})(?![A-Za-z0-9-])")
 SPACED_DOT = re.compile(rf"\s+(?:{_DOT})\s+", re.IGNORECASE)
 NUMBER_DOTS = re.compile(rf"(?<!\w)[0-9]{{1,3}}(?:\s+(?:{_DOT})\s+[0-9]{{1,3}}){{3}}(?!\w)", re.IGNORECASE)
 DOT_HINTS = tuple(_DOT.split("|"))
-END_HINTS = (".com", ".org", ".net", ".edu", ".gov", ".info", ".io")
 
 
 def luhn(digits: str) -> bool:
@@ -161,6 +163,28 @@ def character_edits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _spelled_edits(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """Replacements that make a run of digits and digit words an identifier; none if it is none.
+
+    A digit word counts once the run as rewritten holds an address, a card or a telephone number.
+    Runs with four digit words or more are rewritten in any case, as they may go on outside.
+    """
+    parts, edits, spelled, place, out = list(SPELLED_PART.finditer(text, start, end)), [], 0, start, []
+    for part in parts:
+        word = (part["word"] or "").lower()
+        if part.group()[0].isdigit():
+            continue
+        spelled += word in DIGIT_OF
+        new = (DIGIT_OF.get(word) or ("+" if word == "plus" else ".")) if word else ""
+        edits.append((part.start(), part.end(), new))
+        out += [text[place : part.start()], new]
+        place = part.end()
+    if not spelled:
+        return []
+    before = "+" if text[start - 1 : start] == "+" else ""
+    return edits if spelled >= SURELY_SPELLED or plain_spans(before + "".join([*out, text[place:end]])) else []
+
+
 def word_edits(text: str) -> list[tuple[int, int, str]]:
     """Replacements of spelled digits and of at and dot in brackets, none overlapping another."""
     edits = []
@@ -169,22 +193,10 @@ def word_edits(text: str) -> list[tuple[int, int, str]]:
         while start and text[start - 1].isspace():
             start -= 1
         edits.append((start, match.end(), "@" if match["at"] else "."))
-    words = text.lower().replace(",", " ").replace("-", " ").split()
-    if sum(map(DIGIT_OF.__contains__, words)) >= LEAST_SPELLED:
+    low = text.lower()
+    if any(h in low for h in DIGIT_HINTS):
         for match in SPELLED.finditer(text):
-            parts = list(SPELLED_PART.finditer(text, match.start(), match.end()))
-            words = [p["word"].lower() for p in parts if p["word"]]
-            if sum(w in DIGIT_OF for w in words) < LEAST_SPELLED:
-                continue
-            for part in parts:
-                word = (part["word"] or "").lower()
-                if word:
-                    new = DIGIT_OF.get(word) or ("+" if word == "plus" else ".")
-                elif part.group()[0].isdigit():
-                    continue
-                else:
-                    new = ""
-                edits.append((part.start(), part.end(), new))
+            edits += _spelled_edits(text, match.start(), match.end())
     return _apart(edits)
 
 
@@ -201,9 +213,11 @@ def spaced_edits(text: str) -> list[tuple[int, int, str]]:
     """Replacements of at and dot that stand as words inside an address or between numbers."""
     low, edits = text.lower(), []
     dots = any(h in low for h in DOT_HINTS)
-    if dots or any(h in low for h in END_HINTS):
+    if dots or "." in low:
         for match in SPACED_AT.finditer(text):
             domain = SPACED_DOMAIN.match(text, match.end())
+            if not domain and "@" in match.group():
+                domain = SIGN_DOMAIN.match(text, match.end())
             if domain:
                 edits.append((*match.span(), "@"))
                 edits += [(*m.span(), ".") for m in SPACED_DOT.finditer(text, domain.start(), domain.end())]

@@ -197,6 +197,29 @@ def test_disguised_spans_map_back(text, found):
         assert listed == found
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("mail jane at example.de now", "email:5:23"),
+        ("mail jane @ example.fr, please", "email:5:22"),
+        ("jane @ mail.example.co.uk", "email:0:25"),
+        ("ana arroba ejemplo.es", "email:0:21"),
+        ("host 192 dot 168 dot one dot one up", "ip:5:32"),
+        ("host 10.0.0.one up", "ip:5:15"),
+        ("ip 192 dot 168 dot 1 dot one or", "ip:3:28"),
+        ("call +1 551 555 08 two six", "phone:5:18,phone:5:26"),
+        ("jane @ example.museum", "email:0:21"),
+        ("we met at work.It was late", ""),
+        ("4111 1111 1111 111 one", "card:0:22"),
+        ("one or two of the 3 at home. Three, 4", ""),
+        ("he looked at it.Then he left", ""),
+    ],
+)
+def test_disguised_national_domains_and_mixed_digits(text, found):
+    plain = pii.plain_spans(text)
+    assert pii.listed(sorted(plain + pii.disguised_spans(text, plain))) == found
+
+
 def test_pii_rows_and_mask(spark):
     rows = [(1, "a@b.cd and +1 (551) 555-0826"), (1, "a@b.cd and +1 (551) 555-0826"), (2, "x at y dot org")]
     docs = frame(spark, rows + ODD)
