@@ -201,7 +201,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, all columns; equal ids go together."""
-    rejected = score(docs, fit(docs, labels, id_col=id_col, text_col=text_col), id_col, text_col)
+    """The rows of ``docs`` that are not predicted toxic, all columns; equal ids go together.
+
+    All rows stay where texts of both classes were not to be had, so that nothing could be learnt.
+    """
+    model = fit(docs, labels, id_col=id_col, text_col=text_col)
+    if not model.weights[:-1].any():
+        return docs
+    rejected = score(docs, model, id_col, text_col)
     rejected = rejected.where("predicted = 1").select(F.col("doc_id").alias("_rejected")).distinct()
     return docs.join(rejected, docs[id_col].eqNullSafe(F.col("_rejected")), "left_anti")

@@ -85,6 +85,13 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), none)).count() == 0
 
 
+def test_toxicity_stage_keeps_all_without_both_classes(spark):
+    docs = frame(spark, [(0, "a clean text"), (1, "another one"), *ODD])
+    for marks in ([], [(0, 1), (1, 1)]):
+        kept = toxicity.drop_toxic(docs, spark.createDataFrame(marks, "doc_id bigint, toxic int"))
+        assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
 def test_language_held_out_accuracy(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     got = langid.identify(docs, langid.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
