@@ -35,8 +35,16 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
-def parts_for(df_bytes: int, part_bytes: int = 8 << 20) -> int:
-    return max(1, -(-df_bytes // part_bytes))
+def with_ids(docs: DataFrame, id_col: str, rows: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` whose id is (left_semi) or is not (left_anti) a ``doc_id`` of ``rows``.
+
+    Nulls equal each other. The joined column gets a name that ``docs`` does not have.
+    """
+    name, taken = "_id", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    ids = rows.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(ids, docs[id_col].eqNullSafe(ids[name]), how)
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import slices
+from millrace.llm.common import slices, with_ids
 
 WORD = re.compile(r"\w+")
 SIMILARITY = 0.8
@@ -280,7 +280,9 @@ def _finder_task(block: list[tuple], similarity: float):
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns; equal ids go together."""
-    hits = contaminated(docs, items, id_col=id_col, text_col=text_col)
-    hits = hits.select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, docs[id_col].eqNullSafe(F.col("_hit")), "left_anti")
+    """The rows of ``docs`` that hold no item, all columns; equal ids go together.
+
+    A null id goes if any row with a null id holds an item; null and empty texts hold none. Columns of
+    any name are kept as they are. No items keep all rows; no rows give no rows.
+    """
+    return with_ids(docs, id_col, contaminated(docs, items, id_col=id_col, text_col=text_col), "left_anti")

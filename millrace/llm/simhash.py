@@ -2,11 +2,13 @@
 
 A 64-bit fingerprint is cut into segments of 22, 21 and 21 bits. The perfect binary Golay code
 assigns each segment (filled up to 23 bits) to one of 4,096 codewords at distance three or less.
-Two fingerprints that differ in at most three bits have two segments that differ in at most one
-bit each: leaving out the segment with the most errors leaves 0+0, 0+1 or 1+1. So a fingerprint is
-stored under the codeword pairs of its three pairs of segments, and looked up under the codewords
-of these segments and of their one-bit neighbours (at most six each). Every pair within three bits
-meets, and meets only at three keys at most; the distance itself is then checked.
+Of two fingerprints that differ in at most three bits either one segment is equal and another differs
+in at most one bit, or all three segments differ in one bit each. For the first case a fingerprint is
+stored under each segment with the codeword of each other one, six keys of 33 or 34 bits, and looked up
+under the codewords of the other segment and of its one-bit neighbours (at most six). For the second
+case the key is the three codewords, 36 bits: stored under the near codewords of the first segment,
+looked up under those of the other two. Every pair within three bits meets, and the keys are so long
+that others hardly do; the distance itself is then checked.
 """
 
 from __future__ import annotations
@@ -22,14 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.blocks import LIGHT, block_pairs, blocks_of
-from millrace.llm.common import components, slices
+from millrace.llm.common import components, slices, with_ids
 from millrace.session import materialise
 
 SEED = 42
 SHINGLE_WORDS = 3
 MAX_BITS = 3
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-SEGMENT_PAIRS = ((0, 1), (0, 2), (1, 2))
+SEGMENT_PAIRS = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
+NEAR = 6
 GOLAY_POLYNOMIAL = 0b101011100011
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -96,13 +99,18 @@ def codeword(words: np.ndarray) -> np.ndarray:
     return (words ^ errors[syndrome]) >> 11
 
 
-def near_codewords(words: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each word the distinct codewords of it and of its one-bit neighbours."""
+def near_codewords(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the codewords of it and of its one-bit neighbours: NEAR columns, and which count.
+
+    A word at distance three from its codeword has neighbours at distance four, which share five others
+    at most; a nearer word has one.
+    """
     flips = np.array([0, *(1 << bit for bit in range(width))], dtype=np.int64)
     found = np.sort(codeword(words[:, None] ^ flips[None, :]), axis=1)
     fresh = np.ones(found.shape, dtype=bool)
     fresh[:, 1:] = found[:, 1:] != found[:, :-1]
-    return [row[keep] for row, keep in zip(found, fresh, strict=True)]
+    first = np.argsort(~fresh, axis=1, kind="stable")[:, :NEAR]
+    return np.take_along_axis(found, first, axis=1), np.take_along_axis(fresh, first, axis=1)
 
 
 def _segments(fps: np.ndarray) -> list[np.ndarray]:
@@ -113,39 +121,43 @@ def _segments(fps: np.ndarray) -> list[np.ndarray]:
     ]
 
 
-def stored_keys(fps: np.ndarray) -> np.ndarray:
-    """Three keys per fingerprint, one for each pair of segments."""
-    own = [codeword(s) for s in _segments(fps)]
-    keys = [(n << 24) + (own[i] << 12) + own[j] for n, (i, j) in enumerate(SEGMENT_PAIRS)]
-    return np.stack(keys, axis=1)
-
-
-def lookup_keys(fps: np.ndarray) -> list[np.ndarray]:
-    """All keys under which a fingerprint within three bits of each may be stored."""
-    near = [
-        near_codewords(s, width) for s, (_, width) in zip(_segments(fps), SEGMENTS, strict=True)
-    ]
-    out = []
-    for row in range(len(fps)):
-        keys = [
-            ((n << 24) + (near[i][row][:, None] << 12) + near[j][row][None, :]).ravel()
-            for n, (i, j) in enumerate(SEGMENT_PAIRS)
-        ]
-        out.append(np.concatenate(keys))
-    return out
+def golay_keys(fps: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Stored keys and lookup keys of each fingerprint, each as (keys, which count), a row apiece.
 
+    The number of the kind of key stands above its 36 bits.
+    """
+    raw = _segments(fps)
+    own = [codeword(s) for s in raw]
+    near = [near_codewords(s, width) for s, (_, width) in zip(raw, SEGMENTS, strict=True)]
+    stored, looked, counts = [], [], []
+    for kind, (i, j) in enumerate(SEGMENT_PAIRS):
+        base = (kind << 36) + (raw[i] << 12)
+        stored.append((base + own[j])[:, None])
+        looked.append(base[:, None] + near[j][0])
+        counts.append(near[j][1])
+    three = len(SEGMENT_PAIRS) << 36
+    stored.append(three + (near[0][0] << 24) + ((own[1] << 12) + own[2])[:, None])
+    pairs = (near[1][0][:, :, None] << 12) + near[2][0][:, None, :]
+    looked.append((three + (own[0] << 24))[:, None] + pairs.reshape(len(fps), -1))
+    counts.append((near[1][1][:, :, None] & near[2][1][:, None, :]).reshape(len(fps), -1))
+    kept = np.concatenate([np.ones((len(fps), len(SEGMENT_PAIRS)), dtype=bool), near[0][1]], axis=1)
+    return (np.concatenate(stored, axis=1), kept), (np.concatenate(looked, axis=1), np.concatenate(counts, axis=1))
+
+
+def keyed(fps: DataFrame) -> DataFrame:
+    """Rows (fp, key, stored): the keys under which fingerprints are stored and looked up."""
 
-def _keyed(fps: DataFrame, lookup: bool) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2048):
             own = batch.column(0).to_numpy()
-            keys = lookup_keys(own) if lookup else list(stored_keys(own))
-            sizes = [len(k) for k in keys]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(own, sizes)), pa.array(np.concatenate(keys))], ["fp", "key"]
-            )
+            for is_stored, (keys, counts) in zip((True, False), golay_keys(own), strict=True):
+                flat = keys[counts]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(own, counts.sum(axis=1))), pa.array(flat), pa.array(np.full(len(flat), is_stored))],
+                    ["fp", "key", "stored"],
+                )
 
-    return fps.select("fp").mapInArrow(run, "fp bigint, key bigint")
+    return fps.select("fp").mapInArrow(run, "fp bigint, key bigint, stored boolean")
 
 
 def _linked(group: pd.DataFrame) -> pd.DataFrame:
@@ -174,23 +186,25 @@ def _linked(group: pd.DataFrame) -> pd.DataFrame:
 def close_links(fps: DataFrame) -> DataFrame:
     """Links (a, b) whose components are those of all pairs within three bits.
 
-    ``fps`` holds distinct fingerprints, once written. Light buckets give their close pairs, heavy
-    ones a spanning forest per pair of blocks.
+    ``fps`` holds distinct fingerprints. Their keys are written once, some 11 stored and 61 looked up
+    each, whatever follows. Light buckets give their close pairs, heavy ones a spanning forest per pair
+    of blocks.
     """
-    stored = _keyed(fps, lookup=False)
-    sizes = materialise(stored.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "bucket-sizes")
-    heavy = sizes.where(F.col("n") > LIGHT)
-    light = stored.join(sizes.where(F.col("n") <= LIGHT), "key").select("key", F.col("fp").alias("b"))
-    looked = _keyed(fps, lookup=True).select("key", F.col("fp").alias("a"))
+    keys = materialise(keyed(fps), "golay-keys")
+    stored, looked = keys.where("stored").select("key", "fp"), keys.where("not stored").select("key", "fp")
+    sizes = stored.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    heavy = materialise(sizes.where(F.col("n") > LIGHT), "heavy-buckets")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
+    light = stored.join(heavy, "key", "left_anti").select("key", F.col("fp").alias("b"))
     links = (
-        looked.alias("x")
+        looked.select("key", F.col("fp").alias("a"))
+        .alias("x")
         .join(light.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("a") < F.col("b")) & near)
         .select("a", "b")
     )
     if heavy.isEmpty():
         return links
-    lookups = _keyed(fps, lookup=True).join(heavy.select("key"), "key", "left_semi")
+    lookups = looked.join(heavy.select("key"), "key", "left_semi")
     counts = lookups.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
     blocks = heavy.join(counts, "key").select(
         "key", blocks_of(F.col("m")).alias("left_blocks"), blocks_of(F.col("n")).alias("right_blocks")
@@ -227,9 +241,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` whose id is the smallest of its group; all columns stay.
 
     Of repeated rows with the same id all stay, as they cannot be told apart. Rows with a null id
-    stay only if their whole group has none.
+    stay only if their whole group has none. Null and empty texts are near copies of each other. Columns
+    of any name are kept as they are; no rows give no rows.
     """
     groups = near_duplicates(docs, id_col, text_col)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
+    return with_ids(docs, id_col, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))), "left_semi")

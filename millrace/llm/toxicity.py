@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold, slices
+from millrace.llm.common import fold, slices, with_ids
 from millrace.llm.crf import BUCKETS, WORD, Chain, Lexicon, Tagger, train
 
 FOLDS, HELD_OUT = 4, 2
@@ -203,11 +203,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns; equal ids go together.
 
-    All rows stay where texts of both classes were not to be had, so that nothing could be learnt.
+    All rows stay where texts of both classes were not to be had, so that nothing could be learnt. A
+    null id goes if any row with a null id is toxic; null and empty texts have no toxic token. Columns of
+    any name are kept as they are; no rows give no rows.
     """
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
     if not model.weights[:-1].any():
         return docs
-    rejected = score(docs, model, id_col, text_col)
-    rejected = rejected.where("predicted = 1").select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected, docs[id_col].eqNullSafe(F.col("_rejected")), "left_anti")
+    return with_ids(docs, id_col, score(docs, model, id_col, text_col).where("predicted = 1"), "left_anti")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from millrace.llm import blocks, decontam, embeddup, simhash
+from millrace.session import materialise
 
 DOC = "doc_id bigint, text string, fp int, key int"
 
@@ -41,9 +42,25 @@ def test_all_pairs_within_three_bits_meet():
     base = rng.integers(-(1 << 62), 1 << 62, 300)
     for bits in range(4):
         flips = np.array([sum(1 << int(b) for b in rng.choice(63, bits, replace=False)) for _ in base], dtype=np.int64)
-        stored, looked = simhash.stored_keys(base ^ flips), simhash.lookup_keys(base)
+        stored, looked = simhash.golay_keys(base ^ flips)[0], simhash.golay_keys(base)[1]
+        stored, looked = [[row[keep] for row, keep in zip(*side, strict=True)] for side in (stored, looked)]
         assert all(set(s.tolist()) & set(k.tolist()) for s, k in zip(stored, looked, strict=True))
-        assert max(map(len, looked)) <= 108
+        assert max(map(len, stored)) <= 12 and max(map(len, looked)) <= 72
+        assert all(len(set(k.tolist())) == len(k) for k in looked)
+
+
+def test_keys_are_written_once_with_and_without_a_heavy_bucket(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(simhash, "materialise", lambda df, label: written.append(label) or materialise(df, label))
+    rng = np.random.default_rng(9)
+    far = rng.integers(-(1 << 62), 1 << 62, 200).tolist()
+    for near in (0, 60):
+        written.clear()
+        fps = far + [far[0] ^ sum(1 << 43 + int(b) for b in rng.choice(20, 3, replace=False)) for _ in range(near)]
+        frame = spark.createDataFrame([(f,) for f in set(fps)], "fp bigint")
+        links = simhash.close_links(frame)
+        assert written.count("golay-keys") == 1 and ("blocks" in written) == bool(near)
+        assert "MapInArrow" not in links._jdf.queryExecution().executedPlan().toString()
 
 
 def close(fps):
