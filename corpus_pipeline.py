@@ -11,27 +11,47 @@ from millrace.session import materialise
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go; the model learns from the labelled ones among ``docs``."""
+    """Documents predicted toxic go; the model learns from the labelled ones among ``docs``.
+
+    Equal ids, null ones too, go together; null and empty texts are clean; without labels of both
+    classes all stay. Extra columns stay as they are, an empty table stays empty.
+    """
     return toxic.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document with the smallest id stays."""
+    """Of every group of near copies the document with the smallest id stays.
+
+    Rows that share that id all stay; a null id stays only in a group of nulls. Null and empty texts are
+    one group. Extra columns stay as they are, an empty table stays empty.
+    """
     return simhash.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go.
+
+    Equal ids, null ones too, go together; null and empty texts hold nothing; without items all stay.
+    Extra columns stay as they are, an empty table stays empty.
+    """
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is masked in the text; ``n_chars`` follows."""
+    """Personal data is masked in the text; ``n_chars`` follows.
+
+    Null texts stay null, every row stays, repeated rows are masked alike. Extra columns stay as they
+    are, an empty table stays empty.
+    """
     return pii.mask(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents' token pieces with their places in sequences."""
+    """Documents' token pieces with their places in sequences.
+
+    Null and empty texts are one token, their end. Null ids and repeated rows are packed like others.
+    Other columns are left out, no rows give no rows.
+    """
     return localpack.pack_documents(docs)
 
 
