@@ -73,11 +73,3 @@ _LITERAL_LIST = [literal for _, _, literal in dimension_rows()]
 def name_of(tok_id: Column) -> Column:
     """Name by position in the 92-entry list, for use inside array expressions."""
     return F.coalesce(F.get(F.lit(_NAME_LIST), tok_id.cast("int")), F.lit("UNKNOWN"))
-
-
-def literal_of(tok_id: Column) -> Column:
-    return F.coalesce(F.get(F.lit(_LITERAL_LIST), tok_id.cast("int")), F.lit(""))
-
-
-def is_one_of(tok_id: Column, spellings) -> Column:
-    return tok_id.isin([SPELLINGS[s] for s in spellings])

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.session import discard, materialise
+from millrace.operators.indexing import by_key
+from millrace.session import discard, exists, materialise
 
 # Special tokens and their ids, whatever a caller asks for.
 SPECIALS = ["[UNK]", "[PAD]", "[EOS]"]
@@ -93,6 +94,40 @@ def word_counts(words: DataFrame, column: str = "words") -> DataFrame:
     )
 
 
+def shard_word_counts(words: DataFrame, column: str = "words") -> DataFrame:
+    """Occurrences of each word in each shard, from (shard_id, words)."""
+    return (
+        words.select("shard_id", F.explode_outer(column).alias("word"))
+        .where(F.col("word").isNotNull())
+        .groupBy("shard_id", "word")
+        .agg(F.count("*").alias("n"))
+    )
+
+
+def store_shard_counts(words: DataFrame, path: str) -> None:
+    """Add the count tables of shards that the store does not have yet; none is counted twice.
+
+    A shard's table is a folder of its own and appears with the commit of the job that wrote it, so a
+    lost or repeated job neither loses nor repeats a shard. A shard without words has no folder and is
+    counted again, to nothing.
+    """
+    spark = words.sparkSession
+    if exists(spark, path):
+        words = words.join(spark.read.parquet(path).select("shard_id").distinct(), "shard_id", "left_anti")
+    by_key(shard_word_counts(words), "shard_id").write.mode("append").partitionBy("shard_id").parquet(path)
+
+
+def merged_counts(spark: SparkSession, path: str, train_shards: int | None = None) -> DataFrame:
+    """Word counts (word, n) of the first ``train_shards`` shards of a store, all without it.
+
+    Counts are sums, so no text is read again, whichever shards are chosen.
+    """
+    stored = spark.read.schema("word string, n bigint, shard_id int").parquet(path)
+    if train_shards is not None:
+        stored = stored.where(F.col("shard_id") < train_shards)
+    return stored.groupBy("word").agg(F.sum("n").alias("n"))
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Tokens by id, and merges (left id, right id, merged id) by rank.
@@ -106,6 +141,12 @@ class Vocabulary:
     def __len__(self) -> int:
         return len(self.tokens)
 
+    def first(self, merges: int) -> Vocabulary:
+        """The vocabulary that training would have reached after so many merges."""
+        kept = self.merges[:merges]
+        size = len(SPECIALS) + sum(len(t) == 1 for t in self.tokens[len(SPECIALS) :])
+        return Vocabulary(self.tokens[: max([size, *(m + 1 for _, _, m in kept)])], kept)
+
     def id_of(self, token: str) -> int | None:
         return self.tokens.index(token) if token in self.tokens else None
 

@@ -37,7 +37,7 @@ RUN_OPEN, RUN_CLOSE = "\ue000", "\ue001"
 class Tokenizer(Protocol):
     vocabulary: bpe.Vocabulary
 
-    def training_words(self, corpus: DataFrame) -> DataFrame: ...
+    def training_words(self, corpus: DataFrame, *keys: str) -> DataFrame: ...
 
     def vocab_size(self) -> int: ...
 
@@ -62,14 +62,33 @@ class MetaspaceTokenizer:
         self.vocabulary = vocabulary
 
     @staticmethod
-    def training_words(corpus: DataFrame) -> DataFrame:
-        return corpus.select(bpe.metaspace_words(ascii_strip(F.col("content"))).alias("words"))
+    def training_words(corpus: DataFrame, *keys: str) -> DataFrame:
+        return corpus.select(*keys, bpe.metaspace_words(ascii_strip(F.col("content"))).alias("words"))
 
     @classmethod
-    def train(cls, corpus: DataFrame, vocab_size: int) -> MetaspaceTokenizer:
-        counts = bpe.word_counts(cls.training_words(corpus))
+    def train(cls, corpus: DataFrame, vocab_size: int, train_shards: int | None = None) -> MetaspaceTokenizer:
+        """Train on the whole corpus, or on its first ``train_shards`` shards by ``shard_id``.
+
+        All chosen rows make one training, whatever the chunks in which they would be fed.
+        """
+        if train_shards is not None:
+            corpus = corpus.where(F.col("shard_id") < train_shards)
+        return cls.train_counts(bpe.word_counts(cls.training_words(corpus)), vocab_size)
+
+    @classmethod
+    def train_counts(cls, counts: DataFrame, vocab_size: int) -> MetaspaceTokenizer:
+        """Train on word counts (word, n), for instance merged from the tables of several shards."""
         return cls(bpe.train(counts, vocab_size - cls.extra_ids))
 
+    @classmethod
+    def count_shards(cls, corpus: DataFrame, path: str) -> None:
+        """Store the word counts of each shard of (shard_id, content) that is not stored yet."""
+        bpe.store_shard_counts(cls.training_words(corpus, "shard_id"), path)
+
+    def first(self, merges: int) -> MetaspaceTokenizer:
+        """The tokenizer after the first merges of its training."""
+        return type(self)(self.vocabulary.first(merges))
+
     def vocab_size(self) -> int:
         return len(self.vocabulary) + self.extra_ids
 
@@ -109,9 +128,9 @@ class GoTokenizer(MetaspaceTokenizer):
         )
 
     @classmethod
-    def training_words(cls, corpus: DataFrame) -> DataFrame:
+    def training_words(cls, corpus: DataFrame, *keys: str) -> DataFrame:
         literals = lexer.trainable_literals(lexer.lex(ascii_strip(F.col("content"))))
-        return corpus.select(cls.literal_counts_words(literals).alias("words"))
+        return corpus.select(*keys, cls.literal_counts_words(literals).alias("words"))
 
     @staticmethod
     def spell(text: Column) -> Column:
@@ -247,9 +266,9 @@ class TypedGoTokenizer(GoTokenizer):
         self.compat = compat
 
     @classmethod
-    def training_words(cls, corpus: DataFrame) -> DataFrame:
+    def training_words(cls, corpus: DataFrame, *keys: str) -> DataFrame:
         literals = lexer.typed_trainable_literals(lexer.lex(ascii_strip(F.col("content"))))
-        return corpus.select(cls.literal_counts_words(literals).alias("words"))
+        return corpus.select(*keys, cls.literal_counts_words(literals).alias("words"))
 
     def units(self, documents: DataFrame, *keys: str) -> DataFrame:
         blanks, types = list(go.WHITESPACE), list(go.BASIC_TYPES)

@@ -22,14 +22,20 @@ def token_counts(documents: DataFrame) -> DataFrame:
 def shard_offsets(documents: DataFrame) -> DataFrame:
     """Position of each document's first token in its shard, and the shard's length.
 
-    A shard holds a fixed number of documents, so its window is bounded.
+    The window sees only (shard_id, rn, number of ids); its offsets are joined back by shard and row,
+    which spreads a shard over tasks. ``rn`` is unique in its shard.
     """
+    n = F.col("_n")
     shard = W.partitionBy("shard_id")
     before = shard.orderBy("rn").rowsBetween(W.unboundedPreceding, -1)
-    n = F.size("ids").cast("bigint")
-    return documents.withColumn("doc_offset", F.coalesce(F.sum(n).over(before), F.lit(0))).withColumn(
-        "shard_tokens", F.sum(n).over(shard)
+    sized = documents.select("shard_id", "rn", F.size("ids").cast("bigint").alias("_n"))
+    offsets = sized.select(
+        "shard_id",
+        "rn",
+        F.coalesce(F.sum(n).over(before), F.lit(0)).alias("doc_offset"),
+        F.sum(n).over(shard).alias("shard_tokens"),
     )
+    return documents.join(offsets, ["shard_id", "rn"])
 
 
 def flatten_tokens(documents: DataFrame, max_id: int | None = None) -> DataFrame:
@@ -230,11 +236,11 @@ def validation_sets(named: DataFrame, trained: str, seed, *ids: str, share: floa
 
 
 def shard_progress(sharded: DataFrame) -> DataFrame:
-    """Rows and characters of the shard being filled, after each row."""
+    """Rows and characters of the shard being filled, after each row; lengths are shuffled, not texts."""
     so_far = W.partitionBy("shard_id").orderBy("rn").rowsBetween(W.unboundedPreceding, 0)
-    return sharded.select(
+    return sharded.select("shard_id", "doc_id", "rn", F.length("content").alias("_chars")).select(
         "shard_id",
         "doc_id",
         F.count("*").over(so_far).alias("rows_so_far"),
-        F.sum(F.length("content")).over(so_far).alias("chars_so_far"),
+        F.sum("_chars").over(so_far).alias("chars_so_far"),
     )

@@ -105,6 +105,16 @@ def row_index(
     return running_total(df, order, F.lit(1), name, within, total=total)
 
 
+def cut_points(df: DataFrame, key: str, every: int) -> list[int]:
+    """Keys that begin the second and each later group of ``every`` rows in the order of a unique key.
+
+    Only the key is shuffled, and one number per group reaches the driver. With ``bucket_of`` they
+    tell each row's group without moving the row.
+    """
+    placed = row_index(df.select(key), key, "_rn").where((F.col("_rn") > 1) & ((F.col("_rn") - 1) % every == 0))
+    return sorted(r[0] for r in placed.select(key).collect())
+
+
 def digits_for(rows: int) -> int:
     """Leading hex digits that cut so many rows into buckets of ROWS_PER_BUCKET."""
     digits = 1

@@ -169,17 +169,22 @@ def expected_loss(n: Column, d: Column) -> Column:
 def time_budget_factor(
     stepped: DataFrame, warmup: int, budget_seconds: float, min_factor: float
 ) -> DataFrame:
-    """Linear warm-up over steps, then decay with the time since the run's warm-up ended."""
-    at_warmup = stepped.where(F.col("step") == warmup).select(
-        "run_id", micros("ts").alias("_clock")
+    """Linear warm-up over steps, then decay with the time since the run's warm-up ended.
+
+    The clock of a run, one row from a partial aggregate, is handed to each chunk of its steps, so that
+    a run of any length is joined by run and chunk.
+    """
+    now, chunk = micros("ts"), F.floor(F.col("step") / CHUNK_ROWS)
+    clocks = stepped.groupBy(F.col("run_id").alias("_run")).agg(
+        F.max(F.when(F.col("step") == warmup, now)).alias("_clock"), F.min(chunk).alias("_low"), F.max(chunk).alias("_high")
     )
-    spent = (micros("ts") - F.col("_clock")) / 1e6 / budget_seconds
+    clocks = clocks.select("_run", "_clock", F.explode(F.sequence("_low", "_high")).alias("_of"))
+    spent = (now - F.col("_clock")) / 1e6 / budget_seconds
     factor = F.when(F.col("step") < warmup, F.col("step") / warmup).otherwise(
         F.greatest(F.lit(float(min_factor)), 1.0 - spent)
     )
-    return stepped.join(at_warmup, "run_id", "left").select(
-        "run_id", "step", factor.alias("lr_factor")
-    )
+    same = F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("_chunk") == F.col("_of"))
+    return stepped.withColumn("_chunk", chunk).join(clocks, same).select("run_id", "step", factor.alias("lr_factor"))
 
 
 def onecycle_rate(step: Column, total: Column, warmup: int, max_lr: float) -> Column:

@@ -26,6 +26,11 @@ def package_prompt(package: Column) -> Column:
     return F.concat(F.lit(PACKAGE_PROMPT), package)
 
 
+def temperature_range(described: bool) -> tuple[float, float]:
+    """Range of the temperatures for prompts with a description, or with a package only."""
+    return DESCRIBED_TEMPERATURE if described else PACKAGE_TEMPERATURE
+
+
 def conversation(system: str, example_user: str, example_answer: str, user: Column) -> Column:
     """System text, one worked example, and the request."""
 

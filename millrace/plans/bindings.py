@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.indexing import row_index, running_total
+from millrace.operators.indexing import bucket_of, cut_points, row_index, running_total
 
 ROWS_PER_SHARD = 64
 
@@ -29,19 +29,24 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 def shards(spark, sf_dir, *columns: str) -> DataFrame:
     """Documents in key order, cut into consecutive groups of ROWS_PER_SHARD.
 
-    Callers name the columns they need, so that narrow uses shuffle narrow rows.
+    A document's shard follows from its key and the shards' first keys, so the rows stay where they
+    are and no text is shuffled.
     """
     wanted = columns or ("content", "lang", "source")
-    indexed = row_index(corpus(spark, sf_dir).select("doc_id", *wanted), "doc_id")
-    return indexed.withColumn(
-        "shard_id", F.floor((F.col("rn") - 1) / ROWS_PER_SHARD).cast("int")
-    )
+    docs = corpus(spark, sf_dir).select("doc_id", *wanted)
+    return docs.withColumn("shard_id", bucket_of(F.col("doc_id"), cut_points(docs, "doc_id", ROWS_PER_SHARD)))
+
+
+def places(spark, sf_dir) -> DataFrame:
+    """Row number and shard of each document, keys only."""
+    indexed = row_index(corpus(spark, sf_dir).select("doc_id"), "doc_id")
+    return indexed.withColumn("shard_id", F.floor((F.col("rn") - 1) / ROWS_PER_SHARD).cast("int"))
 
 
 def word_tokens(spark, sf_dir) -> DataFrame:
-    """Blank-separated words as a stand-in for token ids."""
+    """Blank-separated words as a stand-in for token ids; the key gives the order in a shard."""
     return shards(spark, sf_dir, "content").select(
-        "shard_id", "rn", "doc_id", F.split("content", " ").alias("ids")
+        "shard_id", F.col("doc_id").alias("rn"), "doc_id", F.split("content", " ").alias("ids")
     )
 
 

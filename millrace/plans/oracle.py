@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.functions import gotokens as go
-from millrace.operators import codecs
-from millrace.plans.queries import GO_SIZE, LIMITS, PHASES, SEED, STRIDE, WIDTH
+# Parameters of the registered queries, written out.
+SEED, WIDTH, STRIDE = 42, 65, 64
+LIMITS = (1, 60, 36000.0)
+FIRST_MERGES = 24
 
 # The lexer's rules once more, for an engine without possessive groups.
 PIECES = (
@@ -21,11 +22,37 @@ def text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# Ids and names of tokens, written out here and not taken from the package under test.
+TOKEN_NAMES = """
+0 ILLEGAL  1 EOF  2 COMMENT  3 token(3)  4 IDENT  5 INT  6 FLOAT  7 IMAG  8 CHAR  9 STRING  10 token(10)
+11 token(11)  12 +  13 -  14 *  15 /  16 %  17 &  18 |  19 ^  20 <<  21 >>  22 &^  23 +=  24 -=  25 *=  26 /=
+27 %=  28 &=  29 |=  30 ^=  31 <<=  32 >>=  33 &^=  34 &&  35 ||  36 <-  37 ++  38 --  39 ==  40 <  41 >  42 =
+43 !  44 !=  45 <=  46 >=  47 :=  48 ...  49 (  50 [  51 {  52 ,  53 .  54 )  55 ]  56 }  57 ;  58 :
+59 token(59)  60 token(60)  61 break  62 case  63 chan  64 const  65 continue  66 default  67 defer  68 else
+69 fallthrough  70 for  71 func  72 go  73 goto  74 if  75 import  76 interface  77 map  78 package  79 range
+80 return  81 select  82 struct  83 switch  84 type  85 var  86 token(86)  87 token(87)  88 ~
+"""
+BLANKS = {89: ("SPACE", "' '"), 90: ("NEWLINE", "chr(10)"), 91: ("TAB", "chr(9)")}
+BASIC_TYPES = (
+    "int", "int8", "int16 ", "int32 ", "int64", "uint", "uint8", "uint16", "uint32", "uint64",
+    "uintptr", "float32", "float64", "complex64", "complex128", "string", "bool", "byte", "rune",
+)
+AFTER = (
+    ": , ; break default func interface select case defer go map struct chan else goto package "
+    "switch const fallthrough if range type continue for import return var"
+).split()
+AROUND = ":= = && || >= <= > < != == - + * / % += -= *= /= %= << >>".split()
+NAMED = [
+    (int(number), name)
+    for line in TOKEN_NAMES.split("\n")
+    for number, name in (entry.split() for entry in line.split("  ") if entry)
+]
+UNSPELLED = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 59, 60, 86, 87)
 DIM = "dim(tok_id, tok_name, tok_literal) as (values " + ", ".join(
-    f"({i}, {text(n)}, {text(l)})" for i, n, l in go.dimension_rows()
+    [f"({i}, {text(n)}, {text(n)})" for i, n in NAMED] + [f"({i}, {text(n)}, {l})" for i, (n, l) in BLANKS.items()]
 ) + ")"
 SPELLED = "spelled(lit, sid) as (values " + ", ".join(
-    f"({text(s)}, {i})" for s, i in go.SPELLINGS.items()
+    [f"({text(n)}, {i})" for i, n in NAMED if i not in UNSPELLED] + [f"({l}, {i})" for i, (_, l) in BLANKS.items()]
 ) + ")"
 TOKENS = f"""{DIM}, {SPELLED},
 split as (select doc_id, lang, unnest(l) as lit, unnest(range(len(l))) as pos0 from (
@@ -122,9 +149,94 @@ def literal_digest(where: str) -> str:
     where {where} group by 1) select d.doc_id, md5(coalesce(s, '')) as digest from documents d left join f using (doc_id)"""
 
 
-types = ", ".join(text(w) for w in go.BASIC_TYPES)
-names_after = ", ".join(text(w) for w in codecs.BLANK_AFTER)
-names_around = ", ".join(text(w) for w in codecs.BLANK_AROUND)
+types = ", ".join(text(w) for w in BASIC_TYPES)
+names_after = ", ".join(text(w) for w in AFTER)
+names_around = ", ".join(text(w) for w in AROUND)
+
+# Unicode white space, and the byte alphabet: printable bytes stand for themselves, others follow from U+0100.
+SPACES = r"\x09-\x0D \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+GAP = "\ue0ff"
+BYTE_SPLIT = (
+    rf"('s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}{GAP}]+|[{SPACES}]+)"
+)
+BYTES = """bytes as (select list(case when b between 33 and 126 or b between 161 and 172 or b >= 174 then chr(b)
+  else chr(256 + rank) end order by b) as letters from (select b, cast(row_number() over (
+  partition by b between 33 and 126 or b between 161 and 172 or b >= 174 order by b) - 1 as integer) as rank
+  from (select cast(unnest(range(256)) as integer) as b)))"""
+
+
+def byte_words(source: str) -> str:
+    """Words in byte symbols with their counts, from ``source(t)``.
+
+    The last blank of a run goes to the next word: a mark before it stands for the pattern's look-ahead.
+    """
+    return f"""{BYTES}, led as (select case when t like ' %' then t else ' ' || t end as t from {source} where t <> ''),
+    cut as (select regexp_replace(t, '([{SPACES}]+)([{SPACES}][^{SPACES}])', '\\1{GAP}\\2', 'g') as t from led),
+    raw as (select w, count(*) as n from (select unnest(regexp_extract_all(t, {text(BYTE_SPLIT)}, 1)) as w from cut) group by 1),
+    freq as (select array_to_string(list_transform(range(octet_length(encode(w))), lambda i:
+    letters[cast(('0x' || substr(hex(encode(w)), cast(2 * i + 1 as bigint), 2)) as integer) + 1]), '') as word, n from raw, bytes)"""
+
+
+def trained(merges: int = FIRST_MERGES, others: str = "select null as word where false") -> str:
+    """Byte-pair training on freq(word, n), one merge a step: the commonest pair, ties by smaller ids.
+
+    A symbol is one private character, so a merge is a replacement from the left. ``others`` are
+    words that are merged along without counting; runs of their unknown characters are one symbol 0.
+    """
+    return f"""letters as (select distinct unnest(string_split(word, '')) as token from freq),
+    alphabet as (select token, cast(2 + row_number() over (order by unicode(token)) as integer) as id from letters),
+    given as (select word, n from freq union all select word, 0 from ({others}) where word not in (select word from freq)),
+    spell as (select word, n, regexp_replace(translate(word, (select string_agg(token, '' order by id) from alphabet),
+      (select string_agg(chr(57344 + id), '' order by id) from alphabet)), '[^\\x{{E000}}-\\x{{F8FF}}]+', chr(57344), 'g') as s from given),
+    steps as (
+      select 0 as step, false as is_token, word, n, s, cast(null as integer) as l, cast(null as integer) as r, cast(null as integer) as m from spell
+      union all select 0, true, token, 0, chr(57344 + id), null, null, id from alphabet
+      union all (
+      with pairs as (select substr(s, i, 2) as pair, sum(n) as n from (select s, n, unnest(range(1, length(s))) as i
+          from steps where not is_token and n > 0) group by 1),
+        best as (select pair, unicode(pair) - 57344 as l, unicode(substr(pair, 2)) - 57344 as r
+          from pairs order by pairs.n desc, pair limit 1),
+        named as (select best.*, a.word || b.word as text from best join steps a on a.is_token and a.m = best.l
+          join steps b on b.is_token and b.m = best.r),
+        fresh as (select named.*, coalesce(k.m, (select max(m) from steps where is_token) + 1) as m, k.m is null as is_new
+          from named left join steps k on k.is_token and k.word = named.text)
+      select t.step + 1, t.is_token, t.word, t.n, case when t.is_token then t.s else replace(t.s, f.pair, chr(57344 + f.m)) end,
+        f.l, f.r, case when t.is_token then t.m else f.m end from steps t, fresh f where t.step < {merges}
+      union all select (select max(step) from steps) + 1, true, f.text, 0, chr(57344 + f.m), f.l, f.r, f.m
+        from fresh f where f.is_new and (select max(step) from steps) < {merges})),
+    last as (select * from steps where step = (select max(step) from steps)),
+    tok as (select m as id, word as token from last where is_token),
+    merges as (select distinct cast(step - 1 as integer) as rank, l, r, m from steps where step > 0 and not is_token),
+    spelled_ids as (select word, list_transform(string_split(s, ''), lambda c: unicode(c) - 57344) as ids from last where not is_token)"""
+
+
+MERGE_TABLE = """select rank, a.token as "left", b.token as "right", c.token as merged, l as left_id, r as right_id, m as merged_id
+    from merges join tok a on a.id = l join tok b on b.id = r join tok c on c.id = m"""
+ALL_WORDS = """raw_words as (select doc_id, unnest(w) as word, unnest(range(len(w))) as place from (select doc_id,
+  list_transform(case when text like ' %' then string_split(text, ' ')[2:] when text = '' then []
+  else string_split(text, ' ') end, lambda w: '▁' || w) as w from documents))"""
+ENCODED = f"""{META}, {ALL_WORDS}, {trained(others="select distinct word from raw_words")},
+  id_lists as (select doc_id, flatten(list(ids order by place)) as ids from raw_words join spelled_ids using (word) group by 1),
+  encoded as (select d.doc_id, coalesce(ids, []) as ids from documents d left join id_lists using (doc_id))"""
+
+
+BEFORE_CURSOR = ENCODED.replace(
+    "'▁' || w) as w from documents)", "'▁' || w) as w from (select doc_id, substr(text, 1, n_chars // 2) as text from documents))"
+)
+
+
+def lexed_words(where: str) -> str:
+    """Words of the trainable literals of ASCII texts, in byte symbols."""
+    stripped = "stripped as (select doc_id, lang, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') as text from documents)"
+    tokens = TOKENS.replace("from documents", "from stripped")
+    return f"{stripped}, {tokens}, lits as (select literal as t from tokens where {where}), {byte_words('lits')}"
+
+
+def shard_training(shards: int) -> str:
+    """Word counts of the first shards only."""
+    some = META.replace("from documents", f"from sh where shard_id < {shards}").replace("(text,", "(content,")
+    return f"{SH}, {some}, {trained()}"
+
 
 ORACLE: dict[str, str] = {
     "corpus_scan": "select text as content from documents",
@@ -134,7 +246,8 @@ ORACLE: dict[str, str] = {
     "eval_tasks_scan": """select cast(conv_id as varchar) as task_id, text as prompt, 'pkg' || conv_id as test_setup,
         lower(text) as test from conversations where turn = 0""",
     "loss_csv_scan": """select case event_type when 'click' then 0 else 1 end as file_ordinal,
-        cast(event_id as double) as step, epoch_us(ts) // 1000000 as timestamp, value as loss
+        cast(event_id as double) as step, epoch_us(ts) // 1000000 as timestamp, value as loss,
+        row_number() over (partition by event_type order by event_id) - 1 as "offset"
         from events where event_type in ('click', 'view')""",
     "write_row_shards": f"""with {SH} select shard_id, printf('shard-%03d.parquet', shard_id) as file,
         count(*) as rows, sum(length(content))::bigint as chars from sh group by 1""",
@@ -175,8 +288,12 @@ ORACLE: dict[str, str] = {
         select conv_id, 0 as pos, 'system' as role, 'Write code.' as content from p union all
         select conv_id, 1, 'user', 'Example request' from p union all
         select conv_id, 2, 'assistant', 'Example answer' from p union all select conv_id, 3, 'user', u from p""",
-    "char_token_ratio": """select doc_id, cast(printf('%.2f', length(text) / len(string_split(text, ' '))) as double)
-        as ratio from documents""",
+    "package_prompt_build": """with p as (select conv_id, 'New Snippet. Package: pkg' || conv_id as u from conversations where turn = 0)
+        select conv_id, 0 as pos, 'system' as role, 'Write code.' as content from p union all
+        select conv_id, 1, 'user', 'Example request' from p union all
+        select conv_id, 2, 'assistant', 'Example answer' from p union all select conv_id, 3, 'user', u from p""",
+    "char_token_ratio": f"""with recursive {ENCODED} select doc_id, cast(printf('%.2f', length(text) / nullif(len(ids), 0)) as double)
+        as ratio from documents join encoded using (doc_id)""",
     "tokens_of_type": f"""with {TOKENS}, f as (select doc_id, string_agg(literal, '|' order by pos) as s from tokens
         where tok_id = 5 group by 1)
         select d.doc_id, coalesce(s, '') as literals from documents d left join f using (doc_id)""",
@@ -203,23 +320,43 @@ ORACLE: dict[str, str] = {
     "word_freq": f"with {META} select word, n from freq",
     "bpe_top_pairs": f"""with {META}, pos as (select word, n, unnest(range(1, length(word))) as i from freq)
         select substr(word, i, 2) as pair, sum(n)::bigint as n from pos group by 1""",
-    "vocab_build": f"""with {META}, letters as (select distinct unnest(string_split(word, '')) as token from freq),
-        ranked as (select token, cast(2 + row_number() over (order by unicode(token)) as integer) as id from letters)
-        select token, id, 'alphabet' as kind from ranked union all
+    "vocab_build_first_merges": f"""with recursive {META}, {trained()} select token, id,
+        case when length(token) > 1 then 'merge' else 'alphabet' end as kind from tok union all
         select * from (values ('[UNK]', 0, 'special'), ('[PAD]', 1, 'special'), ('[EOS]', 2, 'special'))""",
     "bpe_decode": """select doc_id, case when text like ' %' then substr(t, 2) else t end as decoded from (
         select doc_id, text, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') as t from documents)""",
     "roundtrip_status": """with t as (select lang, text, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') as t from documents)
         select lang, avg((case when text like ' %' then substr(t, 2) else t end = text)::int) as success_rate
         from t group by 1""",
-    "special_token_lookup": """select token, id, 128 as metaspace_size, 231 as go_size, 240 as typed_size
+    "special_token_lookup": """select token, id, 0 as metaspace_extra, 103 as go_extra, 112 as typed_extra
         from (values ('[UNK]', 0), ('[PAD]', 1), ('[EOS]', 2)) s(token, id)""",
     "id_to_token_name": f"""with {DIM} select event_id, case when g >= 92 then 'NL_INDENT_' || (g - 92)
         when tok_name in ({names_after}) then tok_name || '_'
         when tok_name in ({names_around}) then '_' || tok_name || '_' else tok_name end as name
         from (select event_id, event_id % 100 as g from events) e left join dim on g = dim.tok_id""",
-    "train_first_shard": f"""with {SH} select shard_id, (rn - 1) % 64 // 16 as chunk, count(*) as rows,
+    "train_shard_chunks": f"""with {SH} select shard_id, (rn - 1) % 64 // 16 as chunk, count(*) as rows,
         shard_id < 1 as used from sh group by 1, 2""",
+    "train_first_shard_first_merges": f"with recursive {shard_training(1)} {MERGE_TABLE}",
+    "train_two_shards_first_merges": f"with recursive {shard_training(2)} {MERGE_TABLE}",
+    "shard_word_counts": f"""with {SH} select shard_id, word, count(*) as n from (select shard_id, unnest(list_transform(
+        case when t like ' %' then string_split(t, ' ')[2:] when t = '' then [] else string_split(t, ' ') end,
+        lambda w: '▁' || w)) as word from (select shard_id, regexp_replace(content, '[^\\x00-\\x7F]', '', 'g') as t from sh)) group by 1, 2""",
+    "bpe_train_first_merges": f"with recursive {META}, {trained()} {MERGE_TABLE}",
+    "bpe_train_lexed_first_merges": f"with recursive {lexed_words('tok_id in (2, 4, 5, 6, 7, 8, 9)')}, {trained()} {MERGE_TABLE}",
+    "bpe_train_typed_first_merges":
+        f"with recursive {lexed_words(f'tok_id in (2, 4, 9) and literal not in ({types})')}, {trained()} {MERGE_TABLE}",
+    "bpe_encode_first_merges": f"with recursive {ENCODED} select doc_id, array_to_string(ids, ' ') as ids from encoded",
+    "pretok_bytelevel": f"with {byte_words('(select text as t from documents)')} select word, n from freq",
+    "write_token_shards_first_merges": f"""with recursive {SH}, {ENCODED} select shard_id, count(*) as documents,
+        sum(len(ids))::bigint as num_tokens, (select sum(len(ids)) from encoded)::bigint as summary_tokens
+        from sh join encoded using (doc_id) group by 1""",
+    "stream_context_ids_first_merges": f"""with recursive {BEFORE_CURSOR}
+        select md5((n_chars // 2) || ':' || text) as request_id,
+        array_to_string(case when len(ids) > 40 then ids[len(ids) - 39 : len(ids)] else ids end, ' ') as context
+        from documents join encoded using (doc_id)""",
+    "stream_tokenize_first_merges": f"""with recursive {SH}, {ENCODED} select shard_id, count(*) as documents,
+        sum(len(ids))::bigint as num_tokens, (select sum(len(ids)) from encoded)::bigint as total_tokens
+        from sh join encoded using (doc_id) group by 1""",
     "doc_token_counts": f"""with {SH} select shard_id, doc_id, sum(len(string_split(content, ' ')))::bigint as num_tokens
         from sh group by rollup (shard_id, doc_id)""",
     "flatten_tokens": f"""with {WORDS} select shard_id, doc_id, min(gpos) as first_pos, max(gpos) as last_pos,
@@ -263,6 +400,11 @@ ORACLE: dict[str, str] = {
         p as (select draw, h, l[cast(floor({unit(0, 'h')} * len(l)) as int) + 1] as name from d, names)
         select draw, case when {unit(1, 'h')} < 0.8 then name else name || '_test' end as package,
         round(0.3::double + (1.2::double - 0.3::double) * {unit(2, 'h')}, 9) as temperature, 2 as n_samples from p""",
+    "described_prompt_plan": f"""with d as (select conv_id as draw, {order(SEED, 'conv_id')} as h from conversations where turn = 0),
+        names as (select list(lower(n_name) order by lower(n_name)) as l from nation),
+        p as (select draw, h, l[cast(floor({unit(0, 'h')} * len(l)) as int) + 1] as name from d, names)
+        select draw, case when {unit(1, 'h')} < 0.8 then name else name || '_test' end as package,
+        round(0.2::double + (0.6::double - 0.2::double) * {unit(2, 'h')}, 9) as temperature, 2 as n_samples from p""",
     "explode_choices": """select conv_id || '-' || turn as response_id, 0 as choice,
         trim(text, ' ' || chr(9) || chr(10) || chr(13)) as sample from conversations
         union all select conv_id || '-' || turn, 1, role from conversations""",
@@ -356,8 +498,6 @@ ORACLE: dict[str, str] = {
         when total < 1000000 then printf('%.1fk', total / 1e3::double)
         when total < 1000000000 then printf('%.1fM', total / 1e6::double)
         else printf('%.1fB', total / 1e9::double) end as total_text from a""",
-    "stream_tokenize_files": f"""with {SH} select shard_id, count(*) as documents,
-        sum(len(string_split(content, ' ')))::bigint as num_tokens from sh group by 1""",
     "stream_context_requests": """with r as (select md5((n_chars // 2) || ':' || text) as request_id,
         string_split(substr(text, 1, n_chars // 2), ' ') as w from documents)
         select request_id, array_to_string(case when len(w) > 40 then w[len(w) - 39 : len(w)] else w end, ' ') as context from r""",

@@ -22,7 +22,7 @@ from millrace.operators import (
 )
 from millrace.operators.indexing import row_index, shuffled_index
 from millrace.plans import bindings as b
-from millrace.plans.trained import tokenizer
+from millrace.plans.trained import FIRST_MERGES, first_merges, shard_counts, tokenizer
 from millrace.session import fresh_path, materialise
 from millrace.sources import corpus as src
 from millrace.streaming import jobs
@@ -96,50 +96,71 @@ def eval_tasks_scan(spark, sf):
     return src.read_tasks(spark, path)
 
 
+CURVE_FILES = 4
+
+
 @query
 def loss_csv_scan(spark, sf):
+    """Two curves, each a folder of several files whose names follow the steps."""
     paths = []
     for kind in ("click", "view"):
         paths.append(fresh_path(spark, "curve"))
-        b.curve(spark, sf, kind).select(
+        lines = b.curve(spark, sf, kind).select(
             F.col("step").cast("double"), F.floor(metrics.micros("ts") / 1000000), "loss"
-        ).write.csv(paths[-1])
-    return src.read_curve(spark, paths).select("file_ordinal", "step", "timestamp", "loss")
+        )
+        lines.repartitionByRange(CURVE_FILES, "step").sortWithinPartitions("step").write.csv(paths[-1])
+    return src.read_curve(spark, paths)
 
 
 @query
 def write_row_shards(spark, sf):
     path = fresh_path(spark, "shards")
-    src.write_shards(b.shards(spark, sf, "content"), path)
+    src.write_shards(b.shards(spark, sf, "content"), path, "doc_id")
     return src.shard_manifest(spark.read.parquet(path))
 
 
-def encoded_shards(spark, sf, kind: str = "metaspace") -> DataFrame:
-    """Encoded documents with their shard. Ids leave encoding partitioned by document, so the
-    join moves only the narrow index."""
-    encoded = tokenizer(spark, sf, kind).encode(spread_corpus(spark, sf), "doc_id")
-    return encoded.join(b.shards(spark, sf, "lang").select("doc_id", "rn", "shard_id"), "doc_id")
+def encoded_shards(spark, sf, kind: str = "metaspace", tok=None) -> DataFrame:
+    """Encoded documents with their shard, encoded and placed where they were read."""
+    tok = tok or tokenizer(spark, sf, kind)
+    docs = b.spread(b.shards(spark, sf, "content"), "doc_id")
+    return tok.encode(docs, "shard_id", "doc_id").withColumn("rn", F.col("doc_id"))
 
 
-@query
-def write_token_shards(spark, sf):
+def written_tokens(spark, sf, encoded: DataFrame) -> DataFrame:
+    """Documents and tokens of each written shard, beside the total of its summary."""
     path = fresh_path(spark, "token-shards")
-    src.write_token_shards(encoded_shards(spark, sf), path)
+    src.write_token_shards(encoded, path)
+    total = spark.read.schema("num_tokens bigint").json(f"{path}/summary.json").first()[0]
     return src.read_token_shards(spark, path).groupBy("shard_id").agg(
         F.count("*").alias("documents"), F.sum(F.size("ids")).alias("num_tokens")
-    )
+    ).withColumn("summary_tokens", F.lit(total).cast("bigint"))
+
+
+@query
+def write_token_shards(spark, sf):
+    return written_tokens(spark, sf, encoded_shards(spark, sf))
+
+
+@query
+def write_token_shards_first_merges(spark, sf):
+    """The same with ids that SQL can repeat: the first merges of the whole training."""
+    return written_tokens(spark, sf, encoded_shards(spark, sf, tok=first_merges(spark, sf)))
 
 
 @query
 def token_shard_scan(spark, sf):
-    path = fresh_path(spark, "token-shards")
-    src.write_token_shards(b.word_tokens(spark, sf), path)
+    path = fresh_path(spark, "word-shards")
+    src.write_shards(b.word_tokens(spark, sf), f"{path}/shards")
     return src.read_token_shards(spark, path).select("shard_id", "doc_id", joined("ids").alias("text"))
 
 
 @query
 def token_summary(spark, sf):
-    return src.token_summary(b.word_tokens(spark, sf))
+    """The number of tokens written as a summary and read again; no row numbers, no shards."""
+    path = fresh_path(spark, "summary")
+    words = b.corpus(spark, sf).select(F.split("content", " ").alias("ids"))
+    src.write_summary(src.token_summary(words), path)
+    return spark.read.schema("num_tokens bigint").json(path)
 
 
 @query
@@ -262,11 +283,23 @@ def chat_prompt_build(spark, sf):
     )
 
 
+@query
+def package_prompt_build(spark, sf):
+    """Prompts that name a package only."""
+    messages = prompts.conversation(
+        "Write code.", "Example request", "Example answer", prompts.package_prompt(F.col("package"))
+    )
+    return b.prompts(spark, sf).select("conv_id", F.posexplode(messages).alias("pos", "m")).select(
+        "conv_id", "pos", "m.role", "m.content"
+    )
+
+
 @query
 def char_token_ratio(spark, sf):
-    words = F.split("content", " ")
-    return b.corpus(spark, sf).select(
-        "doc_id", t.char_token_ratio(F.col("content"), words).alias("ratio")
+    """Characters per token id, with the first merges of the training so that SQL can count the ids."""
+    tok, docs = first_merges(spark, sf), spread_corpus(spark, sf)
+    return tok.encode(docs, "doc_id", "content").select(
+        "doc_id", t.char_token_ratio(F.col("content"), F.col("ids")).alias("ratio")
     )
 
 
@@ -413,19 +446,51 @@ def bpe_train_typed(spark, sf):
 
 @query
 def vocab_build(spark, sf):
-    vocab = tokenizer(spark, sf).vocabulary.vocab_table(spark)
-    return vocab.where(F.col("kind") != "merge")
+    """All entries of the trained vocabulary: special ones, the alphabet, and merges."""
+    return tokenizer(spark, sf).vocabulary.vocab_table(spark)
+
+
+@query
+def vocab_build_first_merges(spark, sf):
+    return first_merges(spark, sf).vocabulary.vocab_table(spark)
+
+
+def first_merge_table(spark, sf, kind: str) -> DataFrame:
+    return first_merges(spark, sf, kind).vocabulary.merge_table(spark)
+
+
+@query
+def bpe_train_first_merges(spark, sf):
+    """The first merges of the whole training, few enough for SQL to repeat them one at a time."""
+    return first_merge_table(spark, sf, "metaspace")
+
+
+@query
+def bpe_train_lexed_first_merges(spark, sf):
+    return first_merge_table(spark, sf, "go")
+
+
+@query
+def bpe_train_typed_first_merges(spark, sf):
+    return first_merge_table(spark, sf, "typed")
 
 
 @query
 def special_token_lookup(spark, sf):
-    sizes_of = {k: tokenizer(spark, sf, k).vocab_size() for k in ("metaspace", "go", "typed")}
-    vocab = tokenizer(spark, sf).vocabulary.vocab_table(spark)
+    """Special tokens, and the ids that each tokenizer has beside its trained vocabulary."""
+    toks = {k: tokenizer(spark, sf, k) for k in ("metaspace", "go", "typed")}
+    vocab = toks["metaspace"].vocabulary.vocab_table(spark)
     return vocab.where(F.col("kind") == "special").select(
-        "token", "id", *[F.lit(n).alias(f"{k}_size") for k, n in sizes_of.items()]
+        "token", "id", *[F.lit(t.vocab_size() - len(t.vocabulary)).alias(f"{k}_extra") for k, t in toks.items()]
     )
 
 
+@query
+def bpe_encode_first_merges(spark, sf):
+    ids = first_merges(spark, sf).encode(spread_corpus(spark, sf), "doc_id")
+    return ids.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
 @query
 def bpe_encode(spark, sf):
     return tokenizer(spark, sf).encode(spread_corpus(spark, sf), "doc_id")
@@ -484,8 +549,31 @@ def encode_batch_shards(spark, sf):
 
 @query
 def train_first_shard(spark, sf):
-    """Chunks in which a shard's documents would be fed, and whether training uses them."""
-    return b.shards(spark, sf, "lang").groupBy(
+    """The merges of a training on the first shard, from the stored word counts of that shard."""
+    return tokenizer(spark, sf, train_shards=1).vocabulary.merge_table(spark)
+
+
+@query
+def train_two_shards_first_merges(spark, sf):
+    return tokenizer(spark, sf, train_shards=2).first(FIRST_MERGES).vocabulary.merge_table(spark)
+
+
+@query
+def train_first_shard_first_merges(spark, sf):
+    return tokenizer(spark, sf, train_shards=1).first(FIRST_MERGES).vocabulary.merge_table(spark)
+
+
+@query
+def shard_word_counts(spark, sf):
+    """The stored word counts of all shards."""
+    stored = spark.read.schema("word string, n bigint, shard_id int").parquet(shard_counts(spark, sf, "metaspace"))
+    return stored.select("shard_id", "word", "n")
+
+
+@query
+def train_shard_chunks(spark, sf):
+    """Chunks in which a shard's documents would be fed, and whether training on one shard uses them."""
+    return b.places(spark, sf).groupBy(
         "shard_id", F.floor((F.col("rn") - 1) % b.ROWS_PER_SHARD / 16).alias("chunk")
     ).agg(F.count("*").alias("rows")).withColumn("used", F.col("shard_id") < 1)
 
@@ -644,14 +732,23 @@ def resume_offset(spark, sf):
     return dataset.resume_by_key(b.prompts(spark, sf), done, "conv_id")
 
 
-@query
-def prompt_plan(spark, sf):
+def planned_prompts(spark, sf, described: bool) -> DataFrame:
     draws = b.prompts(spark, sf).select(F.col("conv_id").alias("draw"))
     names = b.table(spark, sf, "nation").select(F.lower("n_name").alias("name")).orderBy("name")
-    plan = prompts.prompt_plan(draws, [r["name"] for r in names.collect()], SEED)
+    plan = prompts.prompt_plan(draws, [r["name"] for r in names.collect()], SEED, prompts.temperature_range(described))
     return plan.withColumn("temperature", F.round("temperature", 9))
 
 
+@query
+def prompt_plan(spark, sf):
+    return planned_prompts(spark, sf, described=False)
+
+
+@query
+def described_prompt_plan(spark, sf):
+    return planned_prompts(spark, sf, described=True)
+
+
 @query
 def explode_choices(spark, sf):
     responses = b.table(spark, sf, "conversations").select(
@@ -669,7 +766,7 @@ def validation_registry(spark, sf):
 
 @query
 def shard_progress(spark, sf):
-    return dataset.shard_progress(b.shards(spark, sf, "content"))
+    return dataset.shard_progress(b.shards(spark, sf, "content").withColumn("rn", F.col("doc_id")))
 
 
 # Evaluation
@@ -903,38 +1000,55 @@ def param_summary(spark, sf):
 # Streaming
 
 
-@query
-def stream_tokenize_files(spark, sf):
+SHARDS_PER_TRIGGER = 16
+
+
+def streamed_tokens(spark, sf, tok) -> DataFrame:
+    """The ledger of a stream over shard files: one entry per shard, and the total of all of them."""
     path = fresh_path(spark, "shards")
-    src.write_shards(b.shards(spark, sf, "content").withColumn("shard", F.col("shard_id")).select(
-        "shard_id", "shard", "rn", "doc_id", "content"), path)
+    rows = b.shards(spark, sf, "content").withColumn("shard", F.col("shard_id"))
+    src.write_shards(rows, path, "doc_id")
     schema = T.StructType([
         T.StructField("shard", T.IntegerType()), T.StructField("doc_id", T.LongType()),
         T.StructField("content", T.StringType()),
     ])
-    files = jobs.file_stream(spark, path, schema).withColumnRenamed("shard", "shard_id")
-    counted = jobs.tokenize_files(files, lambda c: F.split(c, " "))
-    return counted.groupBy("shard_id").agg(
-        F.count("*").alias("documents"), F.sum("num_tokens").alias("num_tokens")
-    )
+    files = jobs.file_stream(spark, path, schema, per_trigger=SHARDS_PER_TRIGGER).withColumnRenamed("shard", "shard_id")
+    ledger, _ = jobs.tokenize_files(files, lambda batch: tok.encode(batch, "shard_id", "doc_id"))
+    total = ledger.agg(F.max("running_tokens")).first()[0] or 0
+    return ledger.groupBy("shard_id").agg(
+        F.sum("documents").alias("documents"), F.sum("num_tokens").alias("num_tokens")
+    ).withColumn("total_tokens", F.lit(total).cast("bigint"))
+
+
+@query
+def stream_tokenize_files(spark, sf):
+    return streamed_tokens(spark, sf, tokenizer(spark, sf))
+
+
+@query
+def stream_tokenize_first_merges(spark, sf):
+    return streamed_tokens(spark, sf, first_merges(spark, sf))
+
+
+STREAM_FILES = 4
 
 
 def event_stream(spark, sf) -> DataFrame:
-    schema = b.table(spark, sf, "events").schema
-    return jobs.file_stream(spark, sf, schema, "events.parquet")
+    """The events in files that follow each other, one file to a micro-batch."""
+    path, events = fresh_path(spark, "events"), b.table(spark, sf, "events")
+    events.repartitionByRange(STREAM_FILES, "event_id").write.parquet(path)
+    return jobs.file_stream(spark, path, events.schema, per_trigger=1)
 
 
 @query
 def stream_weighted_mean(spark, sf):
+    """Sums of four micro-batches and more in the state store."""
     e = event_stream(spark, sf).select(
         F.col("event_type").alias("name"), "value", (1 + F.col("event_id") % 7).alias("weight")
     )
     return jobs.weighted_means(e).withColumn("mean", F.round("mean", 6))
 
 
-STREAM_FILES = 4
-
-
 @query
 def stream_checkpoint_policy(spark, sf):
     """Steps arrive in files that follow each other, one file to a micro-batch."""
@@ -951,15 +1065,33 @@ def stream_checkpoint_policy(spark, sf):
     return fires
 
 
-@query
-def stream_context_requests(spark, sf):
+CONTEXT = 64
+
+
+def streamed_contexts(spark, sf, encode) -> DataFrame:
     path = fresh_path(spark, "requests")
     b.requests(spark, sf).select(
         F.col("text").alias("fileContents"), F.col("cursor").alias("cursorOffset")
     ).write.json(path)
     stream = spark.readStream.schema(src.REQUEST).json(path)
-    found = jobs.context_requests(stream, lambda c: F.split(c, " "), 64)
-    return found.select("request_id", joined("context_ids").alias("context"))
+    found = jobs.context_requests(stream, encode, CONTEXT)
+    return found.select("request_id", joined(F.col("context_ids").cast("array<string>")).alias("context"))
+
+
+@query
+def stream_context_requests(spark, sf):
+    return streamed_contexts(spark, sf, lambda r: r.select("request_id", F.split("content", " ").alias("ids")))
+
+
+@query
+def stream_context_ids(spark, sf):
+    """Contexts cut in ids of the trained tokenizer."""
+    return streamed_contexts(spark, sf, lambda r: tokenizer(spark, sf).encode(r, "request_id"))
+
+
+@query
+def stream_context_ids_first_merges(spark, sf):
+    return streamed_contexts(spark, sf, lambda r: first_merges(spark, sf).encode(r, "request_id"))
 
 
 # The whole way

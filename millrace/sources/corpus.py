@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +48,8 @@ REQUEST = T.StructType(
     ]
 )
 ROWS_PER_SHARD = 64_000
+# Fixed value: the largest id that a token of a shard may have.
+MAX_TOKEN_ID = 65_535
 
 
 def read_corpus(spark: SparkSession, path: str, text_column: str = "content") -> DataFrame:
@@ -90,31 +93,48 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_curve(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Headerless CSV files as one curve, files in argument order.
+    """Headerless CSV files or folders of them as one curve, in argument order.
 
-    ``offset`` grows with the line inside a file, because the splits of a file are read in order.
+    ``offset`` is the line's 0-based number in its argument: files of a folder by name, the splits of a
+    file by where they start, the lines of a split as they are read. Only one row per split takes part
+    in the sums.
     """
     parts = [
         spark.read.schema(CURVE)
         .csv(p)
-        .withColumn("file_ordinal", F.lit(i))
-        .withColumn("offset", F.monotonically_increasing_id())
+        .select(
+            "*",
+            F.lit(i).alias("file_ordinal"),
+            F.col("_metadata.file_name").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_line"),
+        )
         for i, p in enumerate(paths)
     ]
-    out = parts[0]
+    lines = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        lines = lines.unionByName(p)
+    split = ["file_ordinal", "_file", "_start"]
+    sizes = lines.groupBy(*split).agg(F.count("*").alias("_n"), F.min("_line").alias("_first"))
+    before = W.partitionBy("file_ordinal").orderBy("_file", "_start").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(*split, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (
+        lines.join(starts, split)
+        .withColumn("offset", F.col("_before") + F.col("_line") - F.col("_first"))
+        .drop("_file", "_start", "_line", "_first", "_before")
+    )
 
 
-def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder per shard, rows in corpus order."""
-    (
-        by_key(sharded, "shard_id")
-        .sortWithinPartitions("shard_id", "rn")
-        .write.partitionBy("shard_id")
-        .parquet(path)
-    )
+def write_shards(sharded: DataFrame, path: str, order: str = "rn", watch: Observation | None = None, *sums) -> None:
+    """One folder per shard, rows in corpus order; the rows are shuffled once, by shard.
+
+    What is observed is counted behind that shuffle, in the tasks that write, so a repeated task does
+    not count twice.
+    """
+    placed = by_key(sharded, "shard_id").sortWithinPartitions("shard_id", order)
+    if watch is not None:
+        placed = placed.observe(watch, *sums)
+    placed.write.partitionBy("shard_id").parquet(path)
 
 
 def shard_manifest(sharded: DataFrame) -> DataFrame:
@@ -125,13 +145,35 @@ def shard_manifest(sharded: DataFrame) -> DataFrame:
     )
 
 
-def write_token_shards(documents: DataFrame, path: str) -> None:
-    """Encoded documents (shard_id, rn, doc_id, ids) by shard, in order."""
-    write_shards(documents.select("shard_id", "rn", "doc_id", "ids"), path)
+def write_token_shards(documents: DataFrame, path: str, order: str = "rn", max_id: int = MAX_TOKEN_ID) -> dict:
+    """Encoded documents (shard_id, doc_id, ids, ``order``) by shard, in order, and their summary.
+
+    The shards lie in ``path/shards``, ``path/summary.json`` holds the number of tokens. Documents,
+    tokens and the largest id are counted by the writing tasks themselves and returned. An id outside
+    [0, ``max_id``] stops the write, as a 16-bit array could not hold it, and no summary appears.
+    """
+    fits = F.forall("ids", lambda i: i.between(0, max_id))
+    fault = F.raise_error(F.concat(F.lit("token id out of range in document "), F.col("doc_id").cast("string")))
+    columns = dict.fromkeys(["shard_id", order, "doc_id"])
+    checked = documents.select(*columns, F.when(F.coalesce(fits, F.lit(True)), F.col("ids")).otherwise(fault).alias("ids"))
+    watch = Observation()
+    write_shards(
+        checked,
+        f"{path}/shards",
+        order,
+        watch,
+        F.count(F.lit(1)).alias("documents"),
+        F.sum(F.greatest(F.size("ids"), F.lit(0)).cast("bigint")).alias("num_tokens"),
+        F.max(F.array_max("ids")).alias("largest_id"),
+    )
+    counted = dict(watch.get)
+    counted["num_tokens"] = counted["num_tokens"] or 0
+    write_summary(documents.sparkSession.createDataFrame([(counted["num_tokens"],)], "num_tokens bigint"), f"{path}/summary.json")
+    return counted
 
 
 def read_token_shards(spark: SparkSession, path: str, shard_ids: list[int] | None = None) -> DataFrame:
-    stored = spark.read.parquet(path)
+    stored = spark.read.parquet(f"{path}/shards")
     return stored if shard_ids is None else stored.where(F.col("shard_id").isin(shard_ids))
 
 
@@ -140,7 +182,8 @@ def token_summary(documents: DataFrame) -> DataFrame:
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
-    summary.write.json(path)
+    """A summary of one row as one JSON file."""
+    summary.coalesce(1).write.json(path)
 
 
 def append_samples(samples: DataFrame, path: str) -> None:
@@ -159,7 +202,3 @@ def split_rejected(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
         judged.where(F.col("reason").isNull()).select("sample"),
         judged.where(F.col("reason").isNotNull()),
     )
-
-
-def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(REQUEST).json(path)

@@ -5,10 +5,11 @@ Progress and state live in the shared folder, so a restarted job goes on where i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -16,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from millrace.operators.checkpoints import FIRED, next_fires
 from millrace.operators.dataset import left_truncate
 from millrace.operators.metrics import weighted_mean
-from millrace.session import fresh_path
+from millrace.session import exists, fresh_path
 
 # Fixed value: tokens generated per completion request.
 MAX_NEW_TOKENS = 24
@@ -47,9 +48,13 @@ def append_to_parquet(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def latest_result(stream: DataFrame, label: str) -> DataFrame:
-    """Drain a complete-mode aggregate; every batch replaces the result table."""
-    spark, path = stream.sparkSession, fresh_path(stream.sparkSession, label)
+def latest_result(stream: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Drain a complete-mode aggregate; every batch replaces the result table.
+
+    With the ``path`` of an earlier run the state goes on from where it stopped.
+    """
+    spark = stream.sparkSession
+    path = path or fresh_path(spark, label)
 
     def replace(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/state")
@@ -58,19 +63,49 @@ def latest_result(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/state")
 
 
-def tokenize_files(shards: DataFrame, words) -> DataFrame:
-    """Token counts per document of shard files, each file taken once.
+LEDGER = "shard_id int, documents bigint, num_tokens bigint, running_tokens bigint"
 
-    ``words`` maps the text column to its tokens.
+
+def tokenize_files(
+    shards: DataFrame, encode: Callable[[DataFrame], DataFrame], path: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Encode each new shard file once: (ledger, encoded documents).
+
+    ``encode`` takes a micro-batch (shard_id, doc_id, content) and returns (shard_id, doc_id, ids). Its
+    rows and its entries in the ledger lie under the number of the micro-batch, which a restarted stream
+    repeats, so a micro-batch that is run again replaces what it has written and every shard counts
+    exactly once. An entry holds a shard's documents and tokens and the running total over all
+    micro-batches before it and the batch's shards up to it; ``path`` names the place of an earlier run
+    that is to go on.
     """
-    counted = shards.select(
-        "shard_id", "doc_id", F.size(words(F.col("content"))).cast("bigint").alias("num_tokens")
+    spark = shards.sparkSession
+    path = path or fresh_path(spark, "stream-tokens")
+    ledger, tokens = f"{path}/ledger", f"{path}/tokens"
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        encode(batch).select("shard_id", "doc_id", "ids").write.mode("overwrite").parquet(f"{tokens}/batch_id={batch_id}")
+        stored = spark.read.parquet(f"{tokens}/batch_id={batch_id}")
+        counted = stored.groupBy("shard_id").agg(
+            F.count("*").alias("documents"), F.sum(F.size("ids")).cast("bigint").alias("num_tokens")
+        )
+        before = 0
+        if exists(spark, ledger):
+            earlier = spark.read.schema(f"{LEDGER}, batch_id bigint").parquet(ledger).where(F.col("batch_id") < batch_id)
+            before = earlier.agg(F.sum("num_tokens")).first()[0] or 0
+        # One row per shard of this micro-batch, whose number of files is bounded.
+        up_to = W.partitionBy(F.lit(0)).orderBy("shard_id").rowsBetween(W.unboundedPreceding, 0)
+        entries = counted.withColumn("running_tokens", F.lit(before) + F.sum("num_tokens").over(up_to))
+        entries.write.mode("overwrite").parquet(f"{ledger}/batch_id={batch_id}")
+
+    run_to_end(shards.writeStream.foreachBatch(take), f"{path}/progress")
+    return (
+        spark.read.schema(f"{LEDGER}, batch_id bigint").parquet(ledger),
+        spark.read.schema("shard_id int, doc_id bigint, ids array<int>, batch_id bigint").parquet(tokens),
     )
-    return append_to_parquet(counted, "stream-tokens")
 
 
-def weighted_means(metrics: DataFrame) -> DataFrame:
-    return latest_result(weighted_mean(metrics), "stream-means")
+def weighted_means(metrics: DataFrame, path: str | None = None) -> DataFrame:
+    return latest_result(weighted_mean(metrics), "stream-means", path)
 
 
 def checkpoint_policy(
@@ -114,11 +149,17 @@ def checkpoint_policy(
     return rows.where("not late").drop("late"), rows.where("late").drop("late")
 
 
-def context_requests(requests: DataFrame, words, context: int, max_new: int = MAX_NEW_TOKENS) -> DataFrame:
-    """Truncated context of each completion request; the id is a digest of the request."""
-    ids = words(F.expr("substring(fileContents, 1, cursorOffset)"))
-    prepared = requests.select(
+def context_requests(
+    requests: DataFrame, encode: Callable[[DataFrame], DataFrame], context: int, max_new: int = MAX_NEW_TOKENS
+) -> DataFrame:
+    """Truncated context of each completion request; the id is a digest of the request.
+
+    ``encode`` takes (request_id, content), the text before the cursor, and returns (request_id, ids): a
+    tokenizer's encoding runs inside the stream.
+    """
+    before = requests.select(
         F.md5(F.concat_ws(":", F.col("cursorOffset").cast("string"), "fileContents")).alias("request_id"),
-        ids.alias("ids"),
-    ).select("request_id", left_truncate(F.col("ids"), context, max_new).alias("context_ids"))
+        F.expr("substring(fileContents, 1, cursorOffset)").alias("content"),
+    )
+    prepared = encode(before).select("request_id", left_truncate(F.col("ids"), context, max_new).alias("context_ids"))
     return append_to_parquet(prepared, "stream-requests")

@@ -1,10 +1,12 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as t
 from millrace.operators import dataset, indexing
+from millrace.plans import bindings as b
 
 
 def documents(spark, lengths, shard=0):
@@ -26,6 +28,35 @@ def test_strict_windows(spark, lengths, width, stride, keep_last):
     assert sorted((r.start, r.ids) for r in found.collect()) == expected
 
 
+def plan_of(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_windows_over_shards_read_narrow_columns(spark):
+    docs = documents(spark, [3, 4, 5])
+    for frame in (dataset.strict_windows(docs, 5, 4), dataset.flatten_tokens(docs)):
+        lines = plan_of(frame).split("\n")
+        at = max(n for n, line in enumerate(lines) if "Window [" in line)
+        assert re.search(r"Project \[shard_id#\d+, rn#\d+L?, cast\(size\(ids#\d+, \w+\) as bigint\) AS _n#\d+L\]", lines[at + 1]), lines[at + 1]
+
+
+def test_counts_move_no_text(spark, small):
+    docs = b.shards(spark, small, "content")
+    sized = dataset.token_counts(docs.withColumn("ids", F.split("content", " ")))
+    for frame in (sized, dataset.shard_progress(docs.withColumn("rn", F.col("doc_id")))):
+        plan = frame._jdf.queryExecution().sparkPlan().toString()
+        assert "text" in plan
+        moved = [line for line in plan_of(frame).split("\n") if "Window" in line or "Aggregate" in line]
+        assert moved and not any("content#" in line or "ids#" in line for line in moved)
+    assert "Exchange" not in docs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cut_points(spark):
+    frame = spark.range(1000).select((F.col("id") * 3).alias("key"))
+    assert indexing.cut_points(frame, "key", 300) == [900, 1800, 2700]
+    assert indexing.cut_points(frame, "key", 1000) == [] and indexing.cut_points(frame.limit(0), "key", 5) == []
+
+
 def test_padded_windows(spark):
     width, stride = 5, 4
     lengths = [0, 1, 4, 5, 6, 9]

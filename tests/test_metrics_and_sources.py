@@ -116,7 +116,7 @@ def test_shard_files_and_pruning(spark, tmp_path):
     docs = spark.createDataFrame(
         [(i // 3, i + 1, i, [i]) for i in range(10)], "shard_id int, rn bigint, doc_id bigint, ids array<int>"
     )
-    src.write_token_shards(docs, path)
+    counted = src.write_token_shards(docs, path)
     assert src.read_token_shards(spark, path).count() == 10
     one = src.read_token_shards(spark, path, [2])
     assert [r.doc_id for r in one.orderBy("rn").collect()] == [6, 7, 8]
@@ -126,6 +126,116 @@ def test_shard_files_and_pruning(spark, tmp_path):
     assert len(names) == 4
 
 
+def test_token_shards_have_a_summary_and_a_limit(spark, tmp_path):
+    schema = "shard_id int, rn bigint, doc_id bigint, ids array<int>"
+    docs = spark.createDataFrame([(0, 1, 1, [3, 65_535]), (0, 2, 2, []), (1, 3, 3, None), (1, 4, 4, [7])], schema)
+    counted = src.write_token_shards(docs, str(tmp_path / "good"))
+    assert counted == {"documents": 4, "num_tokens": 3, "largest_id": 65_535}
+    stored = [json.loads(f.read_text()) for f in (tmp_path / "good" / "summary.json").glob("part-*.json")]
+    assert stored == [{"num_tokens": 3}]
+    for bad in (65_536, -1):
+        path = tmp_path / f"bad{bad}"
+        with pytest.raises(Exception, match="out of range in document 9"):
+            src.write_token_shards(docs.unionByName(spark.createDataFrame([(1, 5, 9, [bad])], schema)), str(path))
+        assert not (path / "summary.json").exists()
+    assert src.write_token_shards(docs.limit(0), str(tmp_path / "none")) == {
+        "documents": 0, "num_tokens": 0, "largest_id": None,
+    }
+
+
+def test_curve_of_a_folder_keeps_the_order_of_files_and_lines(spark, tmp_path):
+    lines = [f"{i},1,0.5" for i in range(500)]
+    for k in range(5):
+        (tmp_path / f"part-{k}.csv").write_text("\n".join(lines[100 * k : 100 * k + 100]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        # Several splits to a file, so that no file is read by one task.
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        found = src.read_curve(spark, [str(tmp_path), str(tmp_path / "part-3.csv")])
+        rows = sorted((r.file_ordinal, r.offset, r.step) for r in found.collect())
+        assert found.rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows == [(0, i, float(i)) for i in range(500)] + [(1, i, 300.0 + i) for i in range(100)]
+
+
+def shard_files(spark, path, shards):
+    for shard, texts in shards:
+        rows = [(shard, shard * 100 + i, text) for i, text in enumerate(texts)]
+        frame = spark.createDataFrame(rows, "shard_id int, doc_id bigint, content string")
+        frame.coalesce(1).write.mode("append").parquet(path)
+    return frame.schema
+
+
+class Crash(Exception):
+    pass
+
+
+def test_token_stream_counts_once_over_restarts(spark, tmp_path):
+    path, place = str(tmp_path / "shards"), str(tmp_path / "place")
+    shards = [(k, ["a b c", "d", "e f"][: k + 1]) for k in range(3)] + [(3, ["a b c d e f g h"])]
+    schema = shard_files(spark, path, shards)
+    words = lambda d: d.select("shard_id", "doc_id", F.transform(F.split("content", " "), lambda w: F.ascii(w)).alias("ids"))
+    seen = []
+
+    def crashing(at):
+        def encode(batch):
+            seen.append(1)
+            if len(seen) == at:
+                raise Crash("stopped")
+            return words(batch)
+
+        return encode
+
+    stream = lambda: jobs.file_stream(spark, path, schema, per_trigger=1)
+    with pytest.raises(Exception, match="stopped"):
+        jobs.tokenize_files(stream(), crashing(3), place)
+    half = spark.read.parquet(f"{place}/ledger").orderBy("batch_id").collect()
+    assert [r.running_tokens for r in half] == [3, 7]
+    # As if the last batch had been written but not committed: its number comes again and replaces it.
+    spark.read.parquet(f"{place}/ledger/batch_id=1").withColumn("num_tokens", F.lit(999).cast("bigint")).write.parquet(
+        f"{place}/ledger/batch_id=2"
+    )
+    ledger, tokens = jobs.tokenize_files(stream(), words, place)
+    rows = ledger.orderBy("batch_id").collect()
+    assert [(r.batch_id, r.shard_id, r.documents, r.num_tokens, r.running_tokens) for r in rows] == [
+        (0, 0, 1, 3, 3), (1, 1, 2, 4, 7), (2, 2, 3, 6, 13), (3, 3, 1, 8, 21),
+    ]
+    assert tokens.count() == 7 and tokens.select("doc_id").distinct().count() == 7
+    # A later run takes new files only.
+    shard_files(spark, path, [(9, ["x y"])])
+    ledger, _ = jobs.tokenize_files(stream(), words, place)
+    assert ledger.agg(F.max("running_tokens"), F.sum("num_tokens")).first() == (23, 23)
+
+
+def test_weighted_means_go_on_after_a_restart(spark, tmp_path):
+    path, place = str(tmp_path / "rows"), str(tmp_path / "place")
+    rows = [(f"m{i % 3}", float(i), 1 + i % 4) for i in range(40)]
+    frame = lambda part: spark.createDataFrame(part, "name string, value double, weight bigint")
+    stream = lambda: jobs.file_stream(spark, path, frame(rows).schema, per_trigger=1)
+    for at in range(0, 20, 5):
+        frame(rows[at : at + 5]).coalesce(1).write.mode("append").parquet(path)
+    jobs.weighted_means(stream(), place)
+    for at in range(20, 40, 5):
+        frame(rows[at : at + 5]).coalesce(1).write.mode("append").parquet(path)
+    found = {r["name"]: r["mean"] for r in jobs.weighted_means(stream(), place).collect()}
+    expected = {r["name"]: r["mean"] for r in metrics.weighted_mean(frame(rows)).collect()}
+    assert found == pytest.approx(expected)
+
+
+def test_time_budget_joins_by_run_and_chunk(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "CHUNK_ROWS", 7)
+    rows = [(run, s, s * 1_000_000) for run in (1, None) for s in range(1, 40)] + [(2, s, s) for s in range(1, 5)]
+    frame = spark.createDataFrame(rows, "run_id bigint, step bigint, us bigint").withColumn("ts", F.timestamp_micros("us"))
+    found = metrics.time_budget_factor(frame, 10, 100.0, 0.8)
+    got = {(r.run_id, r.step): r.lr_factor for r in found.collect()}
+    assert len(got) == len(rows)
+    for run, s, _ in rows:
+        assert got[run, s] == pytest.approx(s / 10 if s < 10 else max(0.8, 1 - (s - 10) / 100)), (run, s)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_chunk" in [line for line in plan.split("\n") if "Join" in line][0]
+
+
 def test_outcomes(spark):
     rows = [
         (1, 0, 0, 0, False, "warn"),  # passes
@@ -171,5 +281,7 @@ def test_onecycle_ends(spark):
 def test_request_stream(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps({"fileContents": "a b c d", "cursorOffset": 5}) + "\n")
     stream = spark.readStream.schema(src.REQUEST).json(str(tmp_path))
-    found = jobs.context_requests(stream, lambda c: F.split(c, " "), context=26)
+    found = jobs.context_requests(
+        stream, lambda r: r.select("request_id", F.split("content", " ").alias("ids")), context=26
+    )
     assert [r.context_ids for r in found.collect()] == [["b", "c"]]

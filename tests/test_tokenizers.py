@@ -55,6 +55,42 @@ def test_registered_training_is_whole_and_takes_many_merges_a_round(spark, small
     assert size > 1000 and sum(rounds) >= 50 * len(rounds)
 
 
+@pytest.mark.parametrize("kind", ["metaspace", "go"])
+def test_training_on_shards_sums_their_tables(spark, small, kind, tmp_path):
+    cls = trained.KINDS[kind]
+    docs = b.shards(spark, small, "content").where(F.col("doc_id") < 150).select("shard_id", "content")
+    path = str(tmp_path / "counts")
+    # Shards come one after another; those that are there are not counted again.
+    cls.count_shards(docs.where("shard_id < 2"), path)
+    cls.count_shards(docs, path)
+    cls.count_shards(docs, path)
+    assert spark.read.parquet(path).groupBy("shard_id", "word").count().where("count > 1").isEmpty()
+    for n in (1, 2):
+        expected = bpe.word_counts(cls.training_words(docs.where(F.col("shard_id") < n)))
+        found = bpe.merged_counts(spark, path, n)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+    every = bpe.word_counts(cls.training_words(docs))
+    assert bpe.merged_counts(spark, path).exceptAll(every).isEmpty() and bpe.merged_counts(spark, path, 0).isEmpty()
+    # Training from the tables equals training from the text, and the model that takes one merge at a time.
+    few = 40
+    counts = {r.word: r.n for r in bpe.merged_counts(spark, path, 1).collect()}
+    size = len({c for w in counts for c in w}) + len(bpe.SPECIALS) + few
+    tokens, merges = greedy_bpe(counts, size)
+    direct = cls.train(docs, size + cls.extra_ids, train_shards=1).vocabulary
+    merged = cls.train_counts(bpe.merged_counts(spark, path, 1), size + cls.extra_ids).vocabulary
+    assert (direct.tokens, direct.merges) == (merged.tokens, merged.merges) == (tokens, merges)
+
+
+def test_first_merges_are_a_shorter_training(spark):
+    rng = random.Random(5)
+    words = {"".join(rng.choices("abc", k=rng.randint(1, 9))): rng.randint(1, 4) for _ in range(40)}
+    whole = bpe.train(counts_frame(spark, words), 60)
+    for n in (0, 1, 5, 20):
+        tokens, merges = greedy_bpe(words, 6 + n)
+        assert whole.first(n) == bpe.Vocabulary(tokens, merges)
+    assert whole.first(10**6) == whole
+
+
 def test_training_runs_out_of_pairs(spark):
     found = bpe.train(counts_frame(spark, {"ab": 2, "c": 1}), 100)
     assert found.tokens == [*bpe.SPECIALS, "a", "b", "c", "ab"]
