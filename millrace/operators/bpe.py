@@ -36,7 +36,7 @@ SYMBOL_ROOM = 2**19
 # Hot pairs that a round begins with and may grow to, and symbols of runs that the driver may hold.
 HOT_PAIRS = 1024
 MAX_HOT_PAIRS = 2**16
-RUN_SYMBOLS = 1_000_000
+RUN_SYMBOLS = 8_000_000
 RUNS_PER_FLUSH = 200_000
 MEMO_WORDS = 500_000
 ENCODED_ROWS = 64
@@ -250,8 +250,85 @@ def hot_runs(words: DataFrame, hot: set[str]) -> DataFrame:
     return found.groupBy("run").agg(F.sum("n").alias("n"))
 
 
+class RunTable:
+    """Distinct runs of symbols on the driver as flat arrays, with the places of every pair.
+
+    A run's symbols stand in order and are linked to their neighbours; a merge rewrites all places of
+    its pair at once. Places of pairs that have changed meanwhile are left in the lists and dropped when
+    they are read.
+    """
+
+    def __init__(self, runs: pa.ChunkedArray, numbers: np.ndarray):
+        symbols = "".join(runs.to_pylist()).encode("utf-32-le")
+        self.at = np.frombuffer(symbols, dtype="<u4").astype(np.int32) - np.int32(SYMBOL_BASE)
+        sizes = pc.utf8_length(runs).to_numpy().astype(np.int64)
+        self.weight = np.repeat(numbers, sizes)
+        places = np.arange(len(self.at), dtype=np.int32)
+        ends = np.cumsum(sizes) - 1
+        self.after, self.before = places + np.int32(1), places - np.int32(1)
+        self.after[ends], self.before[ends - sizes + 1] = -1, -1
+        self.live = np.ones(len(self.at), dtype=bool)
+        self.count: dict[tuple[int, int], int] = defaultdict(int)
+        self.where: dict[tuple[int, int], list[np.ndarray]] = defaultdict(list)
+        self._add(places[self.after >= 0])
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray, places: np.ndarray) -> Iterator[tuple]:
+        """Each distinct pair with its places."""
+        codes = left.astype(np.int64) << 32 | right
+        order = np.argsort(codes, kind="stable")
+        codes, places = codes[order], places[order]
+        cuts = np.flatnonzero(np.diff(codes, prepend=-1))
+        for code, found in zip(codes[cuts].tolist(), np.split(places, cuts[1:]), strict=True):
+            yield (code >> 32, code & 0xFFFFFFFF), found
+
+    def _add(self, places: np.ndarray) -> set[tuple[int, int]]:
+        """Count the pairs that begin at these places and remember where they are."""
+        risen = set()
+        if len(places):
+            for pair, found in self._pairs(self.at[places], self.at[self.after[places]], places):
+                self.count[pair] += int(self.weight[found].sum())
+                self.where[pair].append(found)
+                risen.add(pair)
+        return risen
+
+    def _remove(self, left: np.ndarray, right: np.ndarray, places: np.ndarray) -> None:
+        if len(places):
+            for pair, found in self._pairs(left, right, places):
+                self.count[pair] -= int(self.weight[found].sum())
+
+    def merge(self, left: int, right: int, merged: int) -> set[tuple[int, int]]:
+        """Replace a pair from the left in every run; the pairs with the new symbol."""
+        places = np.unique(np.concatenate(self.where.pop((left, right))))
+        ends = self.after[places]
+        real = self.live[places] & (self.at[places] == left) & (ends >= 0)
+        real &= self.at[ends] == right
+        places, ends = places[real], ends[real]
+        if left == right:
+            # In a chain of places that touch each other every second one is taken.
+            head = np.ones(len(places), dtype=bool)
+            head[1:] = places[1:] != ends[:-1]
+            numbers = np.arange(len(places))
+            odd = (numbers - np.maximum.accumulate(np.where(head, numbers, 0))) % 2
+            places, ends = places[odd == 0], ends[odd == 0]
+        lefts, rights = self.before[places], self.after[ends]
+        has_right = rights >= 0
+        # The pair between two places that touch is the right one of the first.
+        taken = np.zeros(len(self.at), dtype=bool) if len(places) * 16 > len(self.at) else None
+        if taken is not None:
+            taken[ends] = True
+            free = (lefts >= 0) & ~taken[lefts]
+        else:
+            free = (lefts >= 0) & ~np.isin(lefts, ends)
+        self.count[left, right] -= int(self.weight[places].sum())
+        self._remove(self.at[ends[has_right]], self.at[rights[has_right]], ends[has_right])
+        self._remove(self.at[lefts[free]], self.at[places[free]], places[free])
+        self.at[places], self.after[places], self.live[ends] = merged, rights, False
+        self.before[rights[has_right]] = places[has_right]
+        return self._add(places[has_right]) | self._add(lefts[free])
+
+
 def merges_before(
-    runs: list[tuple[list[int], int]],
+    table: RunTable,
     bound: tuple[int, tuple[int, int]],
     tokens: list[str],
     known: dict[str, int],
@@ -259,19 +336,14 @@ def merges_before(
 ) -> list[tuple[int, int, int]]:
     """One-at-a-time training while the leading pair ranks before ``bound``, as (-count, ids).
 
-    ``runs`` are those of all pairs before the bound. Between two symbols whose pair is not before
+    ``table`` holds the runs of all pairs before the bound. Between two symbols whose pair is not before
     it no pair ever gets there: a token that is new has one spelling in older tokens, so a new pair
     occurs no more often than the two old symbols that meet in it, and its ids are no smaller. All
     other pairs stand inside the runs, with all their occurrences. A merge that spells a token
     already known breaks the argument, so it is the last one. New tokens are added to ``tokens``
     and ``known``.
     """
-    count: dict[tuple[int, int], int] = defaultdict(int)
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for number, (ids, n) in enumerate(runs):
-        for pair in zip(ids, ids[1:], strict=False):
-            count[pair] += n
-            where[pair].add(number)
+    count = table.count
     waiting = [(-n, pair) for pair, n in count.items() if (-n, pair) < bound]
     heapq.heapify(waiting)
     merges = []
@@ -289,56 +361,63 @@ def merges_before(
         merges.append((*pair, known[text]))
         if again:
             break
-        risen = set()
-        for number in where.pop(pair):
-            ids, n = runs[number]
-            for old in zip(ids, ids[1:], strict=False):
-                count[old] -= n
-            ids = replaced(ids, *merges[-1])
-            runs[number] = ids, n
-            for new in zip(ids, ids[1:], strict=False):
-                count[new] += n
-                if known[text] in new:
-                    where[new].add(number)
-                    risen.add(new)
-        for new in risen:
+        for new in table.merge(*merges[-1]):
             if (-count[new], new) < bound:
                 heapq.heappush(waiting, (-count[new], new))
     return merges
 
 
-def replaced(ids: list[int], left: int, right: int, merged: int) -> list[int]:
-    """One merge in one word, leftmost first."""
-    out, i = [], 0
-    while i < len(ids):
-        if ids[i] == left and ids[i + 1 : i + 2] == [right]:
-            out.append(merged)
-            i += 2
-        else:
-            out.append(ids[i])
-            i += 1
-    return out
+def replayed(word: list[int], rules: dict[tuple[int, int], list[tuple[int, int]]]) -> list[int]:
+    """One word after merges in their order, each applied once, from the left.
 
+    ``rules`` holds each pair's (time, merged id) in order. A pair is merged at the first time after both
+    its symbols came up: a token that is spelled anew does not go back to an earlier merge.
+    """
+    n = len(word)
+    word, born = list(word), [-1] * n
+    following, preceding = list(range(1, n + 1)), list(range(-1, n - 1))
+    waiting: list[tuple[int, int, int, int, int]] = []
 
-def apply_merges(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
-    """(symbols, n) after merges in their order; words of one symbol are left out.
+    def offer(i: int) -> None:
+        if i >= 0 and following[i] < n:
+            j = following[i]
+            since = max(born[i], born[j])
+            for time, merged in rules.get((word[i], word[j]), ()):
+                if time > since:
+                    heapq.heappush(waiting, (time, i, word[i], word[j], merged))
+                    break
 
-    Only the last merge may give a token that an earlier pair can hold.
-    """
-    *early, last = merges
-    shared = words.sparkSession.sparkContext.broadcast(
-        ({(a, b): (r, m) for r, (a, b, m) in enumerate(early)}, {symbol(a) + symbol(b) for a, b, _ in early})
-    )
-    old, new = symbol(last[0]) + symbol(last[1]), symbol(last[2])
+    for i in range(n - 1):
+        offer(i)
+    while waiting:
+        time, i, left, right, merged = heapq.heappop(waiting)
+        j = following[i]
+        if word[i] != left or j >= n or word[j] != right or max(born[i], born[j]) >= time:
+            continue
+        word[i], born[i], word[j] = merged, time, -1
+        following[i] = following[j]
+        if following[j] < n:
+            preceding[following[j]] = i
+        offer(preceding[i])
+        offer(i)
+    return [t for t in word if t >= 0]
+
+
+def apply_merges(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+    """(symbols, n) after merges in their order; words of one symbol are left out."""
+    rules: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    for time, (left, right, merged) in enumerate(merges):
+        rules[left, right].append((time, merged))
+    shared = words.sparkSession.sparkContext.broadcast((dict(rules), {symbol(x) + symbol(y) for x, y in rules}))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, pairs = shared.value
+        rules, pairs = shared.value
         for batch in batches:
             out = []
             for word in batch.column(0).to_pylist():
                 if any(word[i : i + 2] in pairs for i in range(len(word) - 1)):
-                    word = "".join(map(symbol, merge_word(ids_of(word), ranks)))
-                out.append(word.replace(old, new))
+                    word = "".join(map(symbol, replayed(ids_of(word), rules)))
+                out.append(word)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column(1)], ["symbols", "n"])
 
     return words.select("symbols", "n").mapInArrow(run, "symbols string, n bigint").where(F.length("symbols") > 1)
@@ -369,8 +448,8 @@ def train(counts: DataFrame, vocab_size: int) -> Vocabulary:
         if not best:
             break
         ranked = [(-r["n"], tuple(ids_of(r["pair"].decode()))) for r in best]
-        runs, bound, hot = _runs_that_fit(current, ranked, hot)
-        batch = merges_before(runs, bound, tokens, known, vocab_size)
+        table, bound, hot = _runs_that_fit(current, ranked, hot)
+        batch = merges_before(table, bound, tokens, known, vocab_size)
         merges += batch
         previous, current = current, materialise(apply_merges(current, batch), "symbols")
         discard(previous)
@@ -380,7 +459,7 @@ def train(counts: DataFrame, vocab_size: int) -> Vocabulary:
 
 def _runs_that_fit(
     words: DataFrame, ranked: list[tuple[int, tuple[int, int]]], hot: int
-) -> tuple[list[tuple[list[int], int]], tuple[int, tuple[int, int]], int]:
+) -> tuple[RunTable, tuple[int, tuple[int, int]], int]:
     """Runs of the first ``hot`` pairs or fewer, the first pair left out, and next round's ``hot``."""
     while True:
         pairs = {symbol(a) + symbol(b) for _, (a, b) in ranked[:hot]}
@@ -388,9 +467,9 @@ def _runs_that_fit(
         runs = hot_runs(words, pairs).persist()
         size = runs.agg(F.sum(F.length("run"))).first()[0]
         if size <= RUN_SYMBOLS or hot == 1:
-            held = [(ids_of(r["run"]), r["n"]) for r in runs.collect()]
+            held = runs.select("run", "n").toArrow()
             runs.unpersist()
-            return held, bound, min(hot * 4, MAX_HOT_PAIRS) if size < RUN_SYMBOLS // 4 else hot
+            return RunTable(held["run"], held["n"].to_numpy()), bound, min(hot * 4, MAX_HOT_PAIRS) if size < RUN_SYMBOLS // 4 else hot
         runs.unpersist()
         hot = max(1, hot // 4)
 
