@@ -1,14 +1,23 @@
-"""Benchmark passages in documents, up to edits.
-
-Words are the symbols. An item that may differ in k words is cut into k + 1 pieces; k edits leave at
-least one piece whole, so every passage within the limit holds a piece unchanged, wherever its edits
-stand. All pieces of a block are looked up in one walk over the words: a place leaves it at the first
-word with which no piece goes on. Candidates are then checked by the exact edit distance of the whole
-item to the best place in its surroundings.
+"""Benchmark passages in documents, up to edits, by CGK random walks and bit sampling.
+
+Words are the symbols. A CGK walk reads a string from a place on: at each step it puts out the word it
+stands on, and a random function of the step and that word tells whether it goes on to the next one. The
+outputs of two walks by the same function agree as long as the strings do, stay behind an edit for a few
+steps at most and meet again: edits become differing outputs. A key is made of the outputs of the first
+steps only, the coordinates of the embedding that edits elsewhere in an item-sized window cannot reach.
+
+Every word of an item is the start of a window and so an anchor of walks, by several functions. An item
+that may differ in k words keeps a run of (n - k) / (k + 1) words, rounded up, wherever its edits stand;
+anchors store the walk that reads most words of a run so long, and documents are looked up from every
+place under all functions. So one edit pattern is as good as another, and the number of functions follows
+from the share of anchors that shall have a walk over most of the run. Candidates are then checked by the
+exact edit distance of the whole item to the best place in its surroundings.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -23,8 +32,11 @@ from millrace.llm.common import slices, with_ids
 
 WORD = re.compile(r"\w+")
 SIMILARITY = 0.8
+RECALL = 0.99
 ITEM_BLOCK = 2048
-BITMAP_BITS = 20
+ITEMS_PER_PASS = 65_536
+BITMAP_BITS = 22
+SEED = 9
 MEMO_ENTRIES = 500_000
 LONG_CHUNK = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -50,40 +62,76 @@ def _slot(key: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(64 - BITMAP_BITS)).view(np.int64)
 
 
-def piece_edges(words: int, limit: int) -> list[int]:
-    """Where an item of that many words is cut into ``limit`` + 1 pieces, none empty."""
-    return [words * k // (limit + 1) for k in range(limit + 2)]
+def run_length(words: int, limit: int) -> int:
+    """Words in a row that ``limit`` edits of an item leave whole at least."""
+    return -(-(words - limit) // (limit + 1))
+
+
+def steps_for(run: int) -> int:
+    """Steps of a walk over a run: so many that it reads most of the run and seldom leaves it."""
+    return 2 * run - 2 if run > 2 else run
+
+
+def functions_for(recall: float = RECALL, run: int = 4) -> int:
+    """Walk functions, so that an anchor has one that reads all of a run or all but a word."""
+    moves = steps_for(run) - 1
+    good = sum(math.comb(moves, m) for m in (run - 2, run - 1)) / 2**moves
+    return math.ceil(math.log(1 - recall) / math.log(1 - good))
+
+
+def walk(line: np.ndarray, at: np.ndarray, function: int, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, places) of the walks that begin at ``at``, after each step."""
+    salts = np.random.default_rng((SEED, function)).integers(0, 1 << 63, steps + 1, dtype=np.uint64)
+    key, place = np.full(len(at), salts[0]), at
+    for step in range(steps):
+        word = line[place]
+        key = _extend(key, word)
+        yield key, place
+        mixed = (word ^ salts[step + 1]) * _ODD
+        place = place + ((mixed ^ (mixed << np.uint64(21))) >> np.uint64(63)).view(np.int64)
 
 
 @dataclass
-class Depth:
-    """What pieces hold at one number of words: all beginnings by bitmap, whole pieces by key."""
+class Keys:
+    """Stored walks of one function after one number of steps: by bitmap and by sorted key."""
 
+    function: int
+    steps: int
     bitmap: np.ndarray
     keys: np.ndarray
     items: np.ndarray
     offsets: np.ndarray
 
 
-def build_depths(items: list[np.ndarray], limits: list[int]) -> list[Depth]:
-    """The pieces of all items by their first word, their first two words and so on."""
-    pieces = []
-    for n, (item, limit) in enumerate(zip(items, limits, strict=True)):
-        edges = piece_edges(len(item), limit)
-        pieces += [(n, a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
-    owner, first, end = (np.array(c, dtype=np.int64) for c in zip(*pieces, strict=True)) if pieces else [np.empty(0, np.int64)] * 3
-    words = np.concatenate([*items, np.empty(0, dtype=np.uint64)])
-    begin = np.cumsum([0, *map(len, items)])[owner] + first
-    size, key, out = end - first, np.zeros(len(owner), dtype=np.uint64), []
-    for depth in range(1, int(size.max(initial=0)) + 1):
-        on = size >= depth
-        key[on] = _extend(key[on], words[begin[on] + depth - 1])
-        bitmap = np.zeros(1 << BITMAP_BITS, dtype=bool)
-        bitmap[_slot(key[on])] = True
-        whole = np.flatnonzero(size == depth)
-        whole = whole[np.argsort(key[whole], kind="stable")]
-        out.append(Depth(bitmap, key[whole], owner[whole], first[whole]))
-    return out
+def build_keys(items: list[np.ndarray], limits: list[int], recall: float) -> list[Keys]:
+    """The walks that the anchors of all items store, by function and steps."""
+    runs = np.array([min(4, run_length(len(i), k)) for i, k in zip(items, limits, strict=True)], dtype=np.int64)
+    sizes = np.array([len(i) for i in items], dtype=np.int64)
+    words = np.concatenate([*items, np.zeros(8, dtype=np.uint64)])
+    begin = np.cumsum(sizes) - sizes
+    out = []
+    for run in np.unique(runs).tolist():
+        chosen, steps = np.flatnonzero(runs == run), steps_for(run)
+        owner = np.repeat(chosen, sizes[chosen])
+        offset = np.arange(len(owner)) - np.repeat(np.cumsum(sizes[chosen]) - sizes[chosen], sizes[chosen])
+        at, room = begin[owner] + offset, np.minimum(run, sizes[owner] - offset)
+        keys, read = [], []
+        for function in range(functions_for(recall)):
+            *_, (key, place) = walk(words, at, function, steps)
+            keys.append(key)
+            read.append(place - at + 1)
+        read = np.stack(read)
+        read[read > room] = 0
+        best = read.argmax(axis=0)
+        for function in range(functions_for(recall)):
+            mine = np.flatnonzero((best == function) & (read[function] > 0))
+            mine = mine[np.argsort(keys[function][mine], kind="stable")]
+            if len(mine):
+                key = keys[function][mine]
+                bitmap = np.zeros(1 << BITMAP_BITS, dtype=bool)
+                bitmap[_slot(key)] = True
+                out.append(Keys(function, steps, bitmap, key, owner[mine], offset[mine]))
+    return sorted(out, key=lambda k: (k.function, k.steps))
 
 
 def _last_row(item: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -117,16 +165,16 @@ def best_place(item: np.ndarray, words: np.ndarray, guess: int, limit: int) -> t
 class Finder:
     """Finds the items of one block in documents given as word hashes."""
 
-    def __init__(self, items: list[np.ndarray], similarity: float):
+    def __init__(self, items: list[np.ndarray], similarity: float, recall: float = RECALL):
         self.items, self.limits = items, [allowed(len(i), similarity) for i in items]
-        self.depths = build_depths(items, self.limits)
+        self.keys = build_keys(items, self.limits, recall)
         self.gap = 2 + max((len(i) + k for i, k in zip(items, self.limits, strict=True)), default=0)
 
     def _line(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All words in one array with gaps that no piece can pass; where texts begin; word places."""
+        """All words in one array with gaps that no item has; where texts begin; word places."""
         sizes = np.array([len(d) for d in docs], dtype=np.int64)
         begin = self.gap + np.concatenate([[0], np.cumsum(sizes + self.gap)[:-1]]).astype(np.int64)
-        line = np.arange(int(begin[-1] + sizes[-1]) + self.gap, dtype=np.uint64) * _ODD
+        line = np.arange(int(begin[-1] + sizes[-1]) + self.gap + 8, dtype=np.uint64) * _ODD
         real = np.zeros(len(line), dtype=bool)
         for at, words in zip(begin, docs, strict=True):
             line[at : at + len(words)] = words
@@ -134,20 +182,21 @@ class Finder:
         return line, begin, np.flatnonzero(real)
 
     def _candidates(self, line: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (item, place of its first word on the line) where some piece stands."""
-        at, key = places, np.zeros(len(places), dtype=np.uint64)
+        """Distinct (item, place of its first word on the line) where a stored walk is met."""
         pairs = [np.empty(0, dtype=np.int64)]
-        for number, depth in enumerate(self.depths):
-            key = _extend(key, line[at + number])
-            keep = depth.bitmap[_slot(key)]
-            at, key = at[keep], key[keep]
-            if not len(at):
-                break
-            first = np.searchsorted(depth.keys, key, "left")
-            count = np.searchsorted(depth.keys, key, "right") - first
-            each = np.repeat(np.arange(len(at)), count)
-            which = np.repeat(first, count) + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
-            pairs.append(depth.items[which] * len(line) + at[each] - depth.offsets[which])
+        for function in range(max((k.function for k in self.keys), default=-1) + 1):
+            stored = {k.steps: k for k in self.keys if k.function == function}
+            for number, (key, _) in enumerate(walk(line, places, function, max(stored, default=0)), 1):
+                if number not in stored:
+                    continue
+                entry = stored[number]
+                met = np.flatnonzero(entry.bitmap[_slot(key)])
+                at, key = places[met], key[met]
+                first = np.searchsorted(entry.keys, key, "left")
+                count = np.searchsorted(entry.keys, key, "right") - first
+                each = np.repeat(np.arange(len(at)), count)
+                which = np.repeat(first, count) + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+                pairs.append(entry.items[which] * len(line) + at[each] - entry.offsets[which])
         distinct = np.unique(np.concatenate(pairs))
         return distinct // len(line), distinct % len(line)
 
@@ -172,7 +221,7 @@ class Finder:
 
     def find(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
         """Checked hits (document, item, distance, first word, end word), the nearest per pair."""
-        if not self.depths or not docs:
+        if not self.keys or not docs:
             return []
         line, begin, places = self._line(docs)
         if not len(places):
@@ -224,27 +273,31 @@ def contaminated(
 ) -> DataFrame:
     """Rows (doc_id, item_id, distance, similarity, start, end): a document's nearest place to an item.
 
-    ``distance`` counts edited words of the whole item, at most (1 - similarity) of its words, and
-    every pair within that limit is found, up to equal digests of different words;
-    ``start`` and ``end`` are character offsets. Items are taken in blocks of ``item_block``, each
-    block a pass over the documents. Null and empty texts and items without words match nothing.
+    ``distance`` counts edited words of the whole item, at most (1 - similarity) of its words, and a pair
+    within that limit is found with at least RECALL;
+    ``start`` and ``end`` are character offsets. A task searches its documents for the items in blocks of
+    ``item_block``; a pass over the documents takes ITEMS_PER_PASS items, some 30 MB of word hashes. Null and empty texts and items without words match nothing.
     Items of fewer than five words must be equal. Null ids stay null, repeated documents give a row
     each, equal items a row each. Other columns are left out. Empty tables give an empty table.
     """
     schema = "doc_id bigint, item_id bigint, distance int, similarity double, start bigint, end bigint"
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = docs.sparkSession.createDataFrame([], schema)
-    for number, block in enumerate(_item_blocks(items, item_id_col, item_text_col, item_block)):
-        found = rows.mapInArrow(_finder_task(block, similarity), schema)
-        out = found if number == 0 else out.unionByName(found)
-    return out
+    out, blocks = None, _item_blocks(items, item_id_col, item_text_col, item_block)
+    while held := list(itertools.islice(blocks, -(-ITEMS_PER_PASS // item_block))):
+        found = rows.mapInArrow(_finder_task([spark.sparkContext.broadcast(b) for b in held], similarity), schema)
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
-def _finder_task(block: list[tuple], similarity: float):
-    ids, items = [b[0] for b in block], [b[1] for b in block]
-
+def _finder_task(blocks: list, similarity: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(items, similarity)
+        ids = [b[0] for block in blocks for b in block.value]
+        words = [b[1] for block in blocks for b in block.value]
+        finders, first_item = [], []
+        for block in blocks:
+            first_item.append(sum(len(f.items) for f in finders))
+            finders.append(Finder([b[1] for b in block.value], similarity))
         memo: dict[str, bytes] = {}
         for batch in slices(batches):
             texts, docs, new = batch.column(1).to_pylist(), [], []
@@ -259,14 +312,18 @@ def _finder_task(block: list[tuple], similarity: float):
             for chunk in new:
                 if full or len(chunk) > LONG_CHUNK:
                     memo.pop(chunk, None)
-            hits = finder.find(docs)
+            hits = sorted(
+                (doc, first + item, *place)
+                for finder, first in zip(finders, first_item, strict=True)
+                for doc, item, *place in finder.find(docs)
+            )
             keys = batch.column(0).to_pylist()
             spans: dict[int, list] = {}
             columns: list[list] = [[] for _ in range(6)]
             for doc, item, distance, first, end in hits:
                 if doc not in spans:
                     spans[doc] = [m.span() for m in WORD.finditer(texts[doc])]
-                size = len(items[item])
+                size = len(words[item])
                 values = (keys[doc], ids[item], distance, 1 - distance / size)
                 for column, value in zip(columns, (*values, spans[doc][first][0], spans[doc][end - 1][1]), strict=True):
                     column.append(value)

@@ -187,11 +187,93 @@ def test_decontamination_finds_every_passage_at_the_limit():
             docs.append(np.concatenate([fill(70), passage, fill(70)]))
         over = np.concatenate([fill(k // 2), item[k // 2 : size - (k - k // 2) - 1], fill(k - k // 2 + 1)])
         docs.append(np.concatenate([fill(70), over, fill(70)]))
-    hits = decontam.Finder(items, decontam.SIMILARITY).find(docs)
-    assert {h[:2] for h in hits} == planted
+    finder = decontam.Finder(items, decontam.SIMILARITY)
+    hits = finder.find(docs)
+    assert pigeonhole(items, docs) == planted
+    found = {h[:2] for h in hits}
+    # Recall in each of the eight edit patterns, and nothing beyond the limit.
+    assert found <= planted
+    for pattern in range(8):
+        cases = {(doc, item) for doc, item in planted if doc % 9 == pattern}
+        assert len(cases) == len(items) and len(found & cases) >= 0.99 * len(cases), pattern
     assert all(h[2] <= decontam.allowed(len(items[h[1]])) for h in hits)
 
 
+def edit_distance(item, words):
+    """Of the item to the best stretch of the words, in plain Python."""
+    row = [0] * (len(words) + 1)
+    for i, a in enumerate(item, 1):
+        before, row = row, [i] + [0] * len(words)
+        for j, b in enumerate(words, 1):
+            row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (a != b))
+    return min(row)
+
+
+def pigeonhole(items, docs):
+    """Pairs within the limit: k edits leave one of k + 1 pieces whole, so all pieces are looked up."""
+    pieces, longest = {}, 0
+    for number, item in enumerate(items):
+        k = decontam.allowed(len(item))
+        edges = [len(item) * p // (k + 1) for p in range(k + 2)]
+        for first, end in itertools.pairwise(edges):
+            pieces.setdefault(tuple(item[first:end].tolist()), []).append((number, first))
+            longest = max(longest, end - first)
+    found = set()
+    for doc, words in enumerate(docs):
+        words = words.tolist()
+        for at in range(len(words)):
+            for size in range(1, longest + 1):
+                for number, first in pieces.get(tuple(words[at : at + size]), ()):
+                    k = decontam.allowed(len(items[number]))
+                    around = words[max(0, at - first - k) : at - first + len(items[number]) + k]
+                    if (doc, number) not in found and edit_distance(items[number].tolist(), around) <= k:
+                        found.add((doc, number))
+    return found
+
+
+@pytest.mark.parametrize("size", [4, 7, 12, 19, 38, 59])
+def test_random_edits_at_the_limit_are_found(size):
+    rng = np.random.default_rng(size)
+    # Common words as in prose: a third of all words are one of ten.
+    draw = lambda n: np.where(rng.random(n) < 0.33, rng.integers(1, 11, n), rng.integers(1, 5000, n)).astype(np.uint64)
+    items, docs = [draw(size) for _ in range(150)], []
+    for item in items:
+        words, k = item.tolist(), decontam.allowed(size)
+        for _ in range(k):
+            at = int(rng.integers(0, len(words)))
+            kind = rng.integers(3)
+            if kind == 0:
+                words[at] = int(rng.integers(1 << 20, 1 << 40))
+            elif kind == 1:
+                words.insert(at, int(rng.integers(1 << 20, 1 << 40)))
+            else:
+                del words[at]
+        docs.append(np.concatenate([draw(40), np.array(words, dtype=np.uint64), draw(40)]))
+    finder = decontam.Finder(items, decontam.SIMILARITY)
+    found = {h[:2] for h in finder.find(docs)}
+    expected = pigeonhole(items, docs)
+    assert {(n, n) for n in range(150)} <= expected and found <= expected
+    assert len(found) >= 0.99 * len(expected)
+
+
+def test_walks_agree_until_an_edit_and_meet_again():
+    rng = np.random.default_rng(4)
+    words = rng.integers(1, 1 << 40, 60).astype(np.uint64)
+    other = words.copy()
+    other[10] = 7
+    at = np.arange(30)
+    met = 0
+    for function in range(decontam.functions_for()):
+        for (key, place), (key2, place2) in zip(
+            decontam.walk(words, at, function, 24), decontam.walk(other, at, function, 24), strict=True
+        ):
+            # No difference while a walk has not come to the edit, and for walks that begin behind it.
+            clear = (place < 10) | (at > 10)
+            assert (key[clear] == key2[clear]).all() and (place[clear] == place2[clear]).all()
+        met += (place[:10] == place2[:10]).mean()
+    assert met / decontam.functions_for() > 0.5
+
+
 def test_decontamination_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, 0, 0), (2, "", 0, 0), (None, "so A-b c d", 0, 0), (3, "a b c d " * 20_000, 0, 0), (3, "q", 0, 0)], DOC)
     items = spark.createDataFrame([(1, "a b c d"), (2, None), (3, "  "), (4, "A B C D")], "item_id bigint, text string")
