@@ -88,6 +88,60 @@ TEMPLATES = (
         "this is free and unencumbered software released into the public domain",
         ("unencumbered software released into the public domain",),
     ),
+    # Standard notices at the head of files.
+    *(
+        Template(
+            label,
+            f"gnu {kind} license as published by the free software foundation either version {version} of the license",
+            (f"gnu {kind} license as published by the free software foundation", f"version {version} of the license"),
+        )
+        for label, kind, version in (
+            ("gpl-2", "general public", "2"),
+            ("gpl-3", "general public", "3"),
+            ("lgpl", "library general public", "2"),
+            ("lgpl", "lesser general public", "2 1"),
+            ("lgpl", "lesser general public", "3"),
+            ("agpl-3", "affero general public", "3"),
+        )
+    ),
+    Template(
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in "
+        "compliance with the license you may obtain a copy of the license at",
+        ("apache license version 2 0", "you may not use this file except in compliance with the license"),
+    ),
+    Template(
+        "bsd",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission",
+        ("may be used to endorse or promote products derived from this software",),
+    ),
+    Template(
+        "mpl-2",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl "
+        "was not distributed with this file you can obtain one at",
+        ("mozilla public license v 2 0", "if a copy of the mpl was not distributed with this file"),
+    ),
+    *(
+        Template(label, f"spdx license identifier {name}", (f"spdx license identifier {name}",))
+        for label, name in (
+            ("mit", "mit"),
+            ("apache-2", "apache 2 0"),
+            ("gpl-2", "gpl 2 0"),
+            ("gpl-3", "gpl 3 0"),
+            ("lgpl", "lgpl 2 1"),
+            ("lgpl", "lgpl 3 0"),
+            ("agpl-3", "agpl 3 0"),
+            ("bsd", "bsd 2 clause"),
+            ("bsd", "bsd 3 clause"),
+            ("mpl-2", "mpl 2 0"),
+            ("isc", "isc"),
+            ("cc0", "cc0 1 0"),
+            ("cc-by-sa", "cc by sa 4 0"),
+            ("cc-by-nc", "cc by nc 4 0"),
+            ("unlicense", "unlicense"),
+        )
+    ),
 )
 
 

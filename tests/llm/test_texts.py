@@ -132,6 +132,64 @@ def base_licenses(text):
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+FSF = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU {kind} License as published by
+the Free Software Foundation, either version {version} of the License, or
+(at your option) any later version."""
+NOTICES = [
+    ("gpl-3", FSF.format(kind="General Public", version="3")),
+    ("gpl-2", FSF.format(kind="General Public", version="2")),
+    ("lgpl", FSF.format(kind="Lesser General Public", version="2.1")),
+    ("lgpl", FSF.format(kind="Lesser General Public", version="3")),
+    ("agpl-3", FSF.format(kind="Affero General Public", version="3")),
+    (
+        "apache-2",
+        """Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0""",
+    ),
+    (
+        "mpl-2",
+        """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    ),
+    (
+        "bsd",
+        """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    ),
+    (
+        "bsd",
+        """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:""",
+    ),
+    ("mit", "// SPDX-License-Identifier: MIT"),
+    ("apache-2", "# SPDX-License-Identifier: Apache-2.0"),
+    ("gpl-2", "/* SPDX-License-Identifier: GPL-2.0-only */"),
+    ("gpl-3", "/* SPDX-License-Identifier: GPL-3.0-or-later */"),
+    ("bsd", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("mpl-2", "SPDX-License-Identifier: MPL-2.0"),
+]
+
+
+def test_standard_notices_have_their_labels_and_no_others(spark):
+    rows = [(n, f"package x\n\n/* {notice} */\nfunc main() {{}}") for n, (_, notice) in enumerate(NOTICES)]
+    plain = [
+        (100, "the gnu general public has a license as published, either version 3 or 4 of something free"),
+        (101, "a license identifier is a name; spdx lists them: mit, isc"),
+    ]
+    docs = spark.createDataFrame(rows + plain, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    for n, (label, _) in enumerate(NOTICES):
+        assert got[n]["labels"] == label and 0 < got[n]["score"] <= 1, NOTICES[n]
+    assert got[100]["labels"] == got[101]["labels"] == ""
+
+
 def test_licenses_equal_brute_force_and_add_labels(spark):
     texts = [t.text for t in licenses.TEMPLATES]
     rows = [(i, f"Ünïted {t.upper()}; MIT and the-license. {t}") for i, t in enumerate(texts)]
