@@ -6,6 +6,7 @@ Training works on the table of distinct words.
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -528,6 +529,17 @@ class WordEncoder:
         return found
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(job: str, vocabulary: Vocabulary, first_id: int) -> WordEncoder:
+    """The encoder of a job in this worker process: its tasks share the words that they have met."""
+    if job not in _encoders:
+        _encoders.clear()
+        _encoders[job] = WordEncoder(vocabulary, first_id)
+    return _encoders[job]
+
+
 def _placed(words: pa.ListArray, fixed: pa.ListArray, encoder: WordEncoder) -> pa.ListArray:
     """Ids of each row: those of its words, or the fixed id where there is no word."""
     entries = words.flatten().dictionary_encode()
@@ -548,13 +560,13 @@ def _placed(words: pa.ListArray, fixed: pa.ListArray, encoder: WordEncoder) -> p
 def place_ids(units: DataFrame, vocabulary: Vocabulary, letters, first_id: int, *keys: str) -> DataFrame:
     """Documents' ids from their units (ARRAY<STRUCT<word STRING, fixed INT>>), without a shuffle.
 
-    The vocabulary travels to the tasks once, each task remembers the words that it has met, and
+    The vocabulary travels to the tasks once, each worker remembers the words that it has met, and
     a document never leaves its row. ``letters`` spells a word in the vocabulary's alphabet.
     """
-    shared = units.sparkSession.sparkContext.broadcast(vocabulary)
+    shared, job = units.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(shared.value, first_id)
+        encoder = encoder_of(job, shared.value, first_id)
         for batch in batches:
             for start in range(0, batch.num_rows, ENCODED_ROWS):
                 part = batch.slice(start, ENCODED_ROWS)
