@@ -41,6 +41,7 @@ RUN_SYMBOLS = 8_000_000
 RUNS_PER_FLUSH = 200_000
 MEMO_WORDS = 500_000
 ENCODED_ROWS = 64
+SHARED_VOCABULARIES = 16
 SEPARATOR = chr(0x10FFFF)
 
 
@@ -532,12 +533,27 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
+_shared: dict[int, tuple] = {}
+
+
+def shared_vocabulary(spark: SparkSession, vocabulary: Vocabulary) -> tuple:
+    """A vocabulary's broadcast and the name of its encoders, the same for every job of a session."""
+    app = spark.sparkContext.applicationId
+    held = _shared.get(id(vocabulary))
+    if held is None or held[0] is not vocabulary or held[1] != app:
+        if len(_shared) >= SHARED_VOCABULARIES:
+            _shared.clear()
+        held = _shared[id(vocabulary)] = (vocabulary, app, spark.sparkContext.broadcast(vocabulary), uuid.uuid4().hex)
+    return held[2:]
+
+
 def encoder_of(job: str, vocabulary: Vocabulary, first_id: int) -> WordEncoder:
     """The encoder of a job in this worker process: its tasks share the words that they have met."""
-    if job not in _encoders:
+    key = f"{job}-{first_id}"
+    if key not in _encoders:
         _encoders.clear()
-        _encoders[job] = WordEncoder(vocabulary, first_id)
-    return _encoders[job]
+        _encoders[key] = WordEncoder(vocabulary, first_id)
+    return _encoders[key]
 
 
 def _placed(words: pa.ListArray, fixed: pa.ListArray, encoder: WordEncoder) -> pa.ListArray:
@@ -563,7 +579,7 @@ def place_ids(units: DataFrame, vocabulary: Vocabulary, letters, first_id: int,
     The vocabulary travels to the tasks once, each worker remembers the words that it has met, and
     a document never leaves its row. ``letters`` spells a word in the vocabulary's alphabet.
     """
-    shared, job = units.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
+    shared, job = shared_vocabulary(units.sparkSession, vocabulary)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(job, shared.value, first_id)

@@ -23,7 +23,8 @@ def shard_offsets(documents: DataFrame) -> DataFrame:
     """Position of each document's first token in its shard, and the shard's length.
 
     The window sees only (shard_id, rn, number of ids); its offsets are joined back by shard and row,
-    which spreads a shard over tasks. ``rn`` is unique in its shard.
+    which spreads a shard over tasks. ``rn`` is unique in its shard. Documents are read twice: encoded
+    ones should come from a table.
     """
     n = F.col("_n")
     shard = W.partitionBy("shard_id")

@@ -1100,7 +1100,9 @@ def stream_context_ids_first_merges(spark, sf):
 @query
 def training_windows(spark, sf):
     """Documents, tokens and training windows of each shard after Go-aware encoding."""
-    found = dataset.strict_windows(encoded_shards(spark, sf, "go"), WIDTH, STRIDE)
+    # Windows read the ids twice, once for their number, so they are stored first.
+    encoded = materialise(encoded_shards(spark, sf, "go"), "encoded")
+    found = dataset.strict_windows(encoded, WIDTH, STRIDE)
     return found.groupBy("shard_id").agg(
         F.count("*").alias("num_windows"),
         F.max("start").alias("last_start"),
