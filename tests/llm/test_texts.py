@@ -297,6 +297,34 @@ def test_pii_rows_and_mask(spark):
     assert pii.mask(docs).columns == docs.columns and pii.find(docs.limit(0)).count() == 0
 
 
+def test_language_scores_equal_the_kernel_solution_written_out():
+    rng = np.random.default_rng(8)
+    stems = {"xx": ["ban", "kol", "tir", "sum"], "yy": ["öl", "grü", "kol", "mei"], "zz": ["que", "ban", "oix", "ell"]}
+    draw = lambda y: " ".join("".join(rng.choice(stems[y], 2)) for _ in range(6))
+    labels = [("xx", "yy", "zz", "xx")[n % 4] for n in range(40)]
+    texts, fresh = [draw(y) for y in labels], [draw(y) for y in ("xx", "yy", "zz") * 5]
+    sets = lambda group: [set(langid.grams(langid.letter_codes(t)).tolist()) for t in group]
+    own, other = sets(texts), sets(fresh)
+    kernel = lambda a, b: np.array([[len(s & t) / math.sqrt(len(s) * len(t)) for t in b] for s in a])
+    names = sorted(stems)
+    y = np.array([[1.0 if label == n else -1.0 for n in names] for label in labels])
+    weight = np.array([1.0 / labels.count(label) for label in labels])
+    ridge = 0.01 * len(names)
+    alpha = np.linalg.solve(weight[:, None] * kernel(own, own) + ridge * np.eye(40), weight[:, None] * y)
+    values = np.exp(langid.SHARPNESS * kernel(other, own) @ alpha)
+    expected = values.max(axis=1) / values.sum(axis=1)
+    got, scores = langid.predict(langid.train(texts, labels, landmarks=40, ridge=0.01), fresh)
+    assert got == [names[k] for k in values.argmax(axis=1)]
+    assert np.allclose(scores, expected, atol=2e-3)
+
+
+def test_language_model_gains_over_counts_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [r for r in lblm.score(docs, steps=300).collect() if r["held_out"]]
+    tokens = sum(r["n_tokens"] for r in rows)
+    assert len(rows) > 10 and (sum(r["score"] for r in rows) - sum(r["base_score"] for r in rows)) / tokens > 0.02
+
+
 def test_language_model_scores(spark):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(300)]
