@@ -1,18 +1,23 @@
 """Log-bilinear language model with noise-contrastive estimation.
 
-The commonest words and the text's end are classes of their own; all other words share one class,
-inside which they follow their counts. A token's class is predicted from the two classes before it:
-a linear map of their vectors is compared with every class vector, and a softmax over all classes
-normalises. What the model learns from is counted over all training texts: word counts (a table
-that grows with the corpus and stays distributed) and counts of class triples, of which there are
-at most CLASSES * (CLASSES + 1)^2, so that they may come to the driver, where numpy trains.
+The softmax has two levels. The commonest words and the text's end are classes of their own, the
+other hot words are grouped into learnt classes, and the words that are not hot share the last one;
+inside a class words follow their counts. A token's class is predicted from the two classes before
+it: a linear map of their vectors is compared with every class vector, and a softmax over all
+classes normalises.
+
+What the model learns from is counted over all training texts: word counts (a table that grows
+with the corpus and stays distributed), how often the PILLARS commonest words stand within REACH
+tokens of each hot word (a row of PILLARS numbers per hot word), and counts of class triples, at
+most CLASSES * (CLASSES + 1)^2. The last two are bounded by their kind and come to the driver, where
+numpy groups the words and trains; the number of steps grows with the training tokens.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +30,18 @@ from millrace.session import materialise
 
 FOLDS, HELD_OUT = 7, 2
 CLASSES = 128
+OWN = 62
 HOT_WORDS = 49_152
+PILLARS = 96
+REACH = 8
+GROUP_ROUNDS = 12
 SIZE = 32
 NOISE = 16
 BATCH = 4096
-STEPS = 1200
+STEPS_A_DOUBLING = 60
 RATE = 0.3
 FLUSH = 400_000
+PENDING = 2_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -43,8 +53,9 @@ def tokens(text: bytes | None) -> list[bytes]:
 class Vocabulary:
     """Hot words by falling count, and totals over all training tokens, ends included.
 
-    Word n of ``hot`` has class n below CLASSES - 2; CLASSES - 2 is the end, CLASSES - 1 every
-    other word, CLASSES (as context only) the text's start.
+    Word n of ``hot`` has class n below OWN and a learnt class from there on; CLASSES - 2 is the end,
+    CLASSES - 1 every word that is not hot, CLASSES (as context only) the text's start. ``classes``
+    holds the class of each hot word and, last, of a word that is not hot.
     """
 
     hot: dict[bytes, int]
@@ -55,14 +66,12 @@ class Vocabulary:
     n_rare: int
     rare_distinct: int
     least_hot: int
+    classes: np.ndarray
 
-    @property
-    def classes(self) -> np.ndarray:
-        """Class of each hot word and, last, of a word that is not hot."""
-        out = np.full(len(self.counts) + 1, CLASSES - 1)
-        own = min(len(self.counts), CLASSES - 2)
-        out[:own] = np.arange(own)
-        return out
+    def shares(self) -> np.ndarray:
+        """Log10 share of each hot word in its class and, last, 0 for a word that is not hot."""
+        whole = np.bincount(self.classes[:-1], weights=self.counts, minlength=CLASSES)
+        return np.append(np.log10(self.counts / whole[self.classes[:-1]]), 0.0)
 
 
 def _sum_rows(counter: Counter) -> pa.RecordBatch:
@@ -103,16 +112,16 @@ def vocabulary(counts: DataFrame, n_texts: int, hot_words: int = HOT_WORDS) -> V
     hot = sorted((-r["c"], bytes(r["word"])) for r in counts.where(F.col("c") >= least).collect())
     numbers = np.array([-c for c, _ in hot], dtype=np.int64)
     total, distinct = sum(r["c"] for r in found), sum(r["n"] for r in found)
-    own = min(len(hot), CLASSES - 2)
     return Vocabulary(
         {w: n for n, (_, w) in enumerate(hot)},
         numbers,
         n_texts,
         total + n_texts,
         distinct + (n_texts > 0),
-        total - int(numbers[:own].sum()),
-        distinct - own,
+        total - int(numbers.sum()),
+        distinct - len(hot),
         least,
+        np.append(np.minimum(np.arange(len(hot)), OWN), CLASSES - 1),
     )
 
 
@@ -138,6 +147,92 @@ class Reader:
         return context[real], target[real]
 
 
+def neighbour_counts(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Rows (word, p0, p1, ...): how often each pillar stands near a hot word, over all texts.
+
+    A task adds up a table of hot words by pillars and returns its rows that are not all zero.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(vocab)
+    names = [f"p{n}" for n in range(PILLARS)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(shared.value)
+        total = np.zeros((reader.cold + 1) * PILLARS, dtype=np.int64)
+        pending: list[np.ndarray] = []
+
+        def add(least: int) -> None:
+            if sum(map(len, pending)) > least:
+                total[:] += np.bincount(np.concatenate(pending), minlength=len(total))
+                pending.clear()
+
+        gap = np.full(REACH, -1)
+        for batch in slices(batches):
+            _, numbers = reader.read(batch.column(0).to_pylist())
+            line = np.concatenate([gap, *(part for n in numbers for part in (n, gap))])
+            places = np.flatnonzero((line >= 0) & (line < PILLARS))
+            for step in [*range(-REACH, 0), *range(1, REACH + 1)]:
+                near = line[places + step]
+                pending.append(near[near >= 0] * PILLARS + line[places[near >= 0]])
+                add(PENDING)
+        add(0)
+        table = total.reshape(-1, PILLARS)[:-1]
+        seen = np.flatnonzero(table.any(axis=1))
+        for at in range(0, len(seen), 8192):
+            part = seen[at : at + 8192]
+            columns = [pa.array(part), *(pa.array(np.ascontiguousarray(table[part, n])) for n in range(PILLARS))]
+            yield pa.RecordBatch.from_arrays(columns, ["word", *names])
+
+    rows = texts.select("text").mapInArrow(run, "word bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return rows.groupBy("word").agg(*(F.sum(n).alias(n) for n in names))
+
+
+def group_words(table: np.ndarray, groups: int, seed: int = 3) -> np.ndarray:
+    """Group the rows of a table of neighbour counts, commonest words first: a number per row.
+
+    Each group is a distribution over pillars, each row goes where its counts are likeliest, in
+    turns. Rows without counts form the last group. The first centres are drawn from the first 4,096
+    rows, each by its squared distance to the nearest centre before it.
+    """
+    out = np.full(len(table), groups - 1)
+    filled = np.flatnonzero(table.any(axis=1))
+    if not len(filled) or groups < 2:
+        return out
+    rng = np.random.default_rng(seed)
+    counts = table[filled].astype(np.float32)
+    roots = np.sqrt(counts[:4096] / counts[:4096].sum(axis=1, keepdims=True))
+    chosen = [0]
+    far = np.maximum(1 - roots @ roots[0], 0).astype(np.float64)
+    while len(chosen) < groups - 1 and far.sum() > 1e-9:
+        mass = np.cumsum(far)
+        chosen.append(min(int(np.searchsorted(mass, rng.random() * mass[-1], "right")), len(far) - 1))
+        far = np.minimum(far, np.maximum(1 - roots @ roots[chosen[-1]], 0))
+    overall = counts.sum(axis=0, dtype=np.float64) + 1e-9
+    overall /= overall.sum()
+    centres = counts[chosen].astype(np.float64)
+    for _ in range(GROUP_ROUNDS):
+        smooth = centres + 20 * overall
+        smooth /= smooth.sum(axis=1, keepdims=True)
+        own = (counts @ np.log(smooth).astype(np.float32).T).argmax(axis=1)
+        centres = np.stack([counts[own == k].sum(axis=0, dtype=np.float64) for k in range(len(chosen))])
+    out[filled] = own
+    return out
+
+
+def with_classes(vocab: Vocabulary, texts: DataFrame) -> Vocabulary:
+    """The vocabulary with its hot words beyond OWN in learnt classes."""
+    more = len(vocab.counts) - OWN
+    if more <= 0:
+        return vocab
+    found = neighbour_counts(texts, vocab).toArrow()
+    table = np.zeros((len(vocab.counts), PILLARS), dtype=np.int64)
+    places = found.column(0).to_numpy()
+    for n in range(PILLARS):
+        table[places, n] = found.column(n + 1).to_numpy()
+    classes = vocab.classes.copy()
+    classes[OWN:-1] = OWN + group_words(table[OWN:], CLASSES - 2 - OWN)
+    return replace(vocab, classes=classes)
+
+
 def triple_counts(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
     """Rows (code, n): how often a class follows two others, over all texts."""
     shared = texts.sparkSession.sparkContext.broadcast(vocab)
@@ -172,7 +267,7 @@ class Model:
         return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
 
 
-def train(codes: np.ndarray, numbers: np.ndarray, steps: int = STEPS, seed: int = 5) -> Model:
+def train(codes: np.ndarray, numbers: np.ndarray, steps: int, seed: int = 5) -> Model:
     """Noise-contrastive estimation: each drawn triple against NOISE classes drawn by frequency."""
     rng = np.random.default_rng(seed)
     unigram = np.bincount(codes % CLASSES, weights=numbers, minlength=CLASSES) + 1.0
@@ -222,7 +317,7 @@ def _parts(rows: DataFrame, vocab: Vocabulary, model: Model) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast((vocab, model))
     schema = (
         "doc_id bigint, held_out boolean, row bigint, n_tokens bigint, n_known bigint, hot_log double, "
-        "n_rare bigint, rare_log double, class_log double, cold array<struct<word:binary,n:bigint>>"
+        "n_cold bigint, share_log double, class_log double, cold array<struct<word:binary,n:bigint>>"
     )
     cold_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
@@ -231,7 +326,7 @@ def _parts(rows: DataFrame, vocab: Vocabulary, model: Model) -> DataFrame:
         reader = Reader(vocab)
         log_count = np.append(np.log10(vocab.counts + 1.0), 0.0)
         end_log = float(np.log10(vocab.ends + 1.0))
-        rare = vocab.classes == CLASSES - 1
+        share_log = vocab.shares()
         row = TaskContext.get().partitionId() << 36
         for batch in slices(batches):
             words, numbers = reader.read(batch.column(2).to_pylist())
@@ -243,13 +338,12 @@ def _parts(rows: DataFrame, vocab: Vocabulary, model: Model) -> DataFrame:
             columns: list[list] = [[] for _ in range(6)]
             for ws, own in zip(words, numbers, strict=True):
                 hot = own < reader.cold
-                strange = rare[own]
                 cold = Counter(w for w, h in zip(ws, hot.tolist(), strict=True) if not h) if not hot.all() else {}
                 values = (
                     int(hot.sum()) + (vocab.ends > 0),
                     float(log_count[own].sum()) + end_log,
-                    int(strange.sum()),
-                    float(log_count[own[strange]].sum()),
+                    len(own) - int(hot.sum()),
+                    float(share_log[own].sum()),
                     [{"word": w, "n": n} for w, n in cold.items()],
                 )
                 for column, value in zip(columns, values, strict=False):
@@ -267,7 +361,7 @@ def _parts(rows: DataFrame, vocab: Vocabulary, model: Model) -> DataFrame:
                     pa.array(np.add.reduceat(logs, cuts), pa.float64()),
                     pa.array(columns[4], cold_type),
                 ],
-                ["doc_id", "held_out", "row", "n_tokens", "n_known", "hot_log", "n_rare", "rare_log", "class_log", "cold"],
+                ["doc_id", "held_out", "row", "n_tokens", "n_known", "hot_log", "n_cold", "share_log", "class_log", "cold"],
             )
             row += batch.num_rows
 
@@ -279,11 +373,12 @@ def score(
     id_col: str = "doc_id",
     text_col: str = "text",
     hot_words: int = HOT_WORDS,
-    steps: int = STEPS,
+    steps: int | None = None,
 ) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one per row.
 
-    Training texts are those outside the held-out fold. ``base_score`` is the add-one unigram
+    Training texts are those outside the held-out fold. Without ``steps`` there are STEPS_A_DOUBLING for
+    each doubling of the training tokens. ``base_score`` is the add-one unigram
     model's log10 probability of the text, ``score`` this model's. Null and empty texts are an end
     token only. Null ids are in no held-out fold. Repeated rows are scored each (and counted each),
     other columns are left out, no rows give no rows; without training texts all words are unknown
@@ -296,10 +391,12 @@ def score(
     )
     training = rows.where("not held_out")
     counts = materialise(word_counts(training), "word-counts")
-    vocab = vocabulary(counts, training.count(), hot_words)
-    triples = np.array(triple_counts(training, vocab).collect(), dtype=np.int64).reshape(-1, 2)
-    triples = triples[np.argsort(triples[:, 0])]
-    model = train(triples[:, 0], triples[:, 1], steps)
+    vocab = with_classes(vocabulary(counts, training.count(), hot_words), training)
+    triples = triple_counts(training, vocab).toArrow()
+    codes, numbers = triples.column(0).to_numpy(), triples.column(1).to_numpy()
+    order = np.argsort(codes)
+    steps = round(STEPS_A_DOUBLING * np.log2(vocab.n_tokens + 1)) if steps is None else steps
+    model = train(codes[order], numbers[order], steps)
     parts = materialise(_parts(rows, vocab, model), "scored-parts")
     cold = parts.select("row", F.explode("cold").alias("w")).select("row", "w.word", "w.n")
     rest = counts.where(F.col("c") < vocab.least_hot)
@@ -323,5 +420,5 @@ def score(
         (F.col("n_known") + known).alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
         (F.col("hot_log") + cold_log - F.col("n_tokens") * per_token).alias("base_score"),
-        (F.col("class_log") + F.col("rare_log") + cold_log - F.col("n_rare") * per_rare).alias("score"),
+        (F.col("class_log") + F.col("share_log") + cold_log - F.col("n_cold") * per_rare).alias("score"),
     )

@@ -325,6 +325,49 @@ def test_language_model_gains_over_counts_on_held_out_texts(spark):
     assert len(rows) > 10 and (sum(r["score"] for r in rows) - sum(r["base_score"] for r in rows)) / tokens > 0.02
 
 
+def test_language_model_gains_more_with_more_hot_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    gains = []
+    for hot_words in (lblm.OWN, 4000, lblm.HOT_WORDS):
+        rows = [r for r in lblm.score(docs, hot_words=hot_words, steps=400).collect() if r["held_out"]]
+        gains.append(sum(r["score"] - r["base_score"] for r in rows) / sum(r["n_tokens"] for r in rows))
+    assert gains[0] < gains[1] < gains[2] and gains[2] > 0.25
+
+
+def test_neighbours_of_hot_words_are_counted_over_all_texts(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(260)]
+    share = 1 / np.arange(1, 261)
+    texts = [" ".join(rng.choice(words, int(n), p=share / share.sum())) for n in rng.integers(0, 60, 80)] + ["", None]
+    frame_ = frame(spark, list(enumerate(texts))).select(F.col("text").cast("binary").alias("text"))
+    vocab = lblm.vocabulary(lblm.word_counts(frame_), len(texts), 150)
+    expected: Counter = Counter()
+    for text in texts:
+        line = [vocab.hot.get(w, -1) for w in lblm.tokens((text or "").encode())]
+        for i, a in enumerate(line):
+            for j in range(max(0, i - lblm.REACH), min(len(line), i + lblm.REACH + 1)):
+                if i != j and a >= 0 and 0 <= line[j] < lblm.PILLARS:
+                    expected[a, line[j]] += 1
+    got = {}
+    for row in lblm.neighbour_counts(frame_.repartition(3), vocab).collect():
+        got.update({(row["word"], n): row[f"p{n}"] for n in range(lblm.PILLARS) if row[f"p{n}"]})
+    assert len(vocab.hot) > lblm.PILLARS and got == expected
+
+
+def test_words_with_the_same_neighbours_are_grouped():
+    rng = np.random.default_rng(7)
+    kinds = rng.integers(0, 3, 200)
+    shares = np.array([[8, 1, 1, 1], [1, 8, 1, 1], [1, 1, 8, 1]]) / 11
+    table = np.stack([rng.multinomial(60, shares[k]) for k in kinds])
+    table[::50] = 0
+    got = lblm.group_words(table, 4)
+    assert (got[::50] == 3).all()
+    filled = table.any(axis=1)
+    assert len({(a, b) for a, b in zip(got[filled].tolist(), kinds[filled].tolist(), strict=True)}) == 3
+    assert (lblm.group_words(np.zeros((5, 4), dtype=np.int64), 4) == 3).all()
+    assert lblm.group_words(table[:0], 4).shape == (0,)
+
+
 def test_language_model_scores(spark):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(300)]
@@ -352,5 +395,7 @@ def test_language_model_is_normalised():
     model = lblm.train(codes, rng.integers(1, 9, len(codes)), steps=20)
     logs = model.log_probabilities(np.arange((lblm.CLASSES + 1) ** 2))
     assert np.allclose(np.exp(logs).sum(axis=1), 1, atol=1e-4)
-    many = lblm.Vocabulary({}, np.arange(200)[::-1] + 1, 0, 0, 0, 0, 0, 0)
-    assert many.classes[125] == 125 and many.classes[126] == many.classes[-1] == 127
+    classes = np.append(np.arange(200) % 50 + 40, lblm.CLASSES - 1)
+    many = lblm.Vocabulary({}, np.arange(200)[::-1] + 1, 0, 0, 0, 0, 0, 0, classes)
+    inside = np.bincount(classes[:-1], weights=10 ** many.shares()[:-1], minlength=lblm.CLASSES)
+    assert np.allclose(inside[inside > 0], 1) and many.shares()[-1] == 0
