@@ -939,7 +939,7 @@ LIMITS = (1, 60, 36000.0)
 
 @query
 def checkpoint_policy(spark, sf):
-    return checkpoints.checkpoint_policy(run_steps(spark, sf), *LIMITS)
+    return checkpoints.checkpoint_policy(materialise(run_steps(spark, sf), "run-steps"), *LIMITS)
 
 
 @query
@@ -1051,15 +1051,16 @@ def stream_weighted_mean(spark, sf):
 
 @query
 def stream_checkpoint_policy(spark, sf):
-    """Steps arrive in files that follow each other, one file to a micro-batch."""
-    path, steps = fresh_path(spark, "steps"), materialise(run_steps(spark, sf), "run-steps")
+    """Steps arrive in STREAM_FILES parts that follow each other; the stream is started again for each."""
+    path, progress = fresh_path(spark, "steps"), fresh_path(spark, "stream-checkpoints")
+    steps = materialise(run_steps(spark, sf), "run-steps")
     shares = [i / STREAM_FILES for i in range(1, STREAM_FILES)]
     bounds = steps.agg(F.percentile_approx("seq", shares).alias("q")).first()["q"] or []
     place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda q: q < F.col("seq"))) if bounds else F.lit(0)
     for number in range(STREAM_FILES):
-        steps.where(place == number).coalesce(1).write.mode("append").parquet(path)
-    stream = jobs.file_stream(spark, path, steps.schema, per_trigger=1)
-    fires, late = jobs.checkpoint_policy(stream, *LIMITS)
+        steps.where(place == number).write.mode("append").parquet(path)
+        stream = jobs.file_stream(spark, path, steps.schema, per_trigger=None)
+        fires, late = jobs.checkpoint_policy(stream, *LIMITS, path=progress)
     if not late.isEmpty():
         raise ValueError("steps came out of order")
     return fires

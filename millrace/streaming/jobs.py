@@ -5,34 +5,31 @@ Progress and state live in the shared folder, so a restarted job goes on where i
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from millrace.operators.checkpoints import FIRED, next_fires
+from millrace.operators.checkpoints import FIRED
+from millrace.operators.checkpoints import checkpoint_policy as policy
 from millrace.operators.dataset import left_truncate
 from millrace.operators.metrics import weighted_mean
-from millrace.session import exists, fresh_path
+from millrace.session import discard, exists, fresh_path, materialise
 
 # Fixed value: tokens generated per completion request.
 MAX_NEW_TOKENS = 24
 
 
 def file_stream(
-    spark: SparkSession, folder: str, schema: T.StructType, name: str = "*.parquet", per_trigger: int = 64
+    spark: SparkSession, folder: str, schema: T.StructType, name: str = "*.parquet", per_trigger: int | None = 64
 ) -> DataFrame:
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", name)
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", per_trigger)
-        .parquet(folder)
-    )
+    """New files of a folder, ``per_trigger`` to a micro-batch; None takes all that have arrived."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", name).option("recursiveFileLookup", "true")
+    if per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", per_trigger)
+    return reader.parquet(folder)
 
 
 def run_to_end(writer, checkpoint: str) -> None:
@@ -108,45 +105,55 @@ def weighted_means(metrics: DataFrame, path: str | None = None) -> DataFrame:
     return latest_result(weighted_mean(metrics), "stream-means", path)
 
 
+STATE = "run_id bigint, epoch bigint, step bigint, seconds double, seq bigint"
+
+
 def checkpoint_policy(
-    steps: DataFrame, max_epochs: int, max_steps: int, max_seconds: float
+    steps: DataFrame, max_epochs: int, max_steps: int, max_seconds: float, path: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """The checkpoint chain with its last fire and last row as state per run: (fires, late rows).
+    """The checkpoint chain over micro-batches: (fires, late rows).
 
     Contract: files come in the order of ``seq`` within a run; inside a micro-batch rows may stand
     in any order. A row at or below a ``seq`` that an earlier micro-batch has passed can no longer
     take its place in the chain. It is not folded in but returned among the late rows.
+
+    A micro-batch is decided by the batch operator, whose tasks are chunks and not runs, from the states
+    (last fire and last row of each run) that the one before has written. Fires and states lie under the
+    number of the micro-batch, which a restarted stream repeats, so each is decided once; ``path`` names
+    the place of an earlier run that is to go on.
     """
-    limits = (max_epochs, max_steps, max_seconds)
-
-    def advance(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq")
-        passed = state.get[3] if state.exists else None
-        late = rows["seq"] <= passed if state.exists else pd.Series(False, index=rows.index)
-        if late.any():
-            yield rows[late].assign(late=True)
-        rows = rows[~late]
-        if rows.empty:
-            return
-        last = state.get[:3] if state.exists else (0, 0, float(rows["seconds"].iloc[0]))
-        hits, last = next_fires(
-            rows["epoch"].to_numpy(), rows["step"].to_numpy(), rows["seconds"].to_numpy(), last, limits
-        )
-        state.update((int(last[0]), int(last[1]), float(last[2]), int(rows["seq"].iloc[-1])))
-        if hits:
-            yield rows.iloc[hits].assign(late=False)
-
-    fired = steps.groupBy("run_id").applyInPandasWithState(
-        advance,
-        f"{FIRED}, late boolean",
-        "epoch bigint, step bigint, seconds double, seq bigint",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
-    rows = append_to_parquet(fired, "stream-checkpoints")
-    return rows.where("not late").drop("late"), rows.where("late").drop("late")
+    spark = steps.sparkSession
+    path = path or fresh_path(spark, "stream-checkpoints")
+    rows, states = f"{path}/rows", f"{path}/states"
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        earlier = f"{states}/batch_id={batch_id - 1}"
+        before = session.read.schema(STATE).parquet(earlier) if exists(session, earlier) else session.createDataFrame([], STATE)
+        passed = before.select(F.col("run_id").alias("_run"), F.col("seq").alias("_passed"))
+        late = F.coalesce(F.col("seq") <= F.col("_passed"), F.lit(False)).alias("late")
+        kept = [c for c in ("run_id", "seq", "epoch", "step", "seconds", "named") if c in batch.columns]
+        tagged = batch.join(passed, F.col("run_id").eqNullSafe(F.col("_run")), "left").select(*kept, late)
+        tagged = materialise(tagged, "micro-batch")
+        timely = tagged.where("not late")
+        fired = policy(timely, max_epochs, max_steps, max_seconds, states=before).withColumn("late", F.lit(False))
+        out = fired.unionByName(tagged.where("late").select(*fired.columns))
+        out.write.mode("overwrite").parquet(f"{rows}/batch_id={batch_id}")
+        # The latest of: the run's first row, the state before, a fire of this micro-batch.
+        fires = session.read.schema(f"{FIRED}, late boolean").parquet(f"{rows}/batch_id={batch_id}").where("not late")
+        first = timely.groupBy("run_id").agg(F.min_by("seconds", "seq").alias("seconds"), F.max("seq").alias("seq"))
+        first = first.select("run_id", F.lit(0).alias("epoch"), F.lit(0).alias("step"), "seconds", "seq")
+        found = first.withColumn("_age", F.lit(0))
+        found = found.unionByName(before.withColumn("_age", F.lit(1))).unionByName(fires.drop("late").withColumn("_age", F.lit(2)))
+        last = F.max_by(F.struct("epoch", "step", "seconds"), F.struct("_age", "seq")).alias("_last")
+        after = found.groupBy("run_id").agg(last, F.max("seq").alias("seq")).select("run_id", "_last.*", "seq")
+        after.write.mode("overwrite").parquet(f"{states}/batch_id={batch_id}")
+        discard(fired)
+        discard(tagged)
+
+    run_to_end(steps.writeStream.foreachBatch(take), f"{path}/progress")
+    decided = spark.read.schema(f"{FIRED}, late boolean").parquet(rows).drop("batch_id")
+    return decided.where("not late").drop("late"), decided.where("late").drop("late")
 
 
 def context_requests(

@@ -2,6 +2,7 @@ import json
 import random
 import re
 
+import numpy as np
 import pytest
 from models import checkpoint_chain
 from pyspark.sql import functions as F
@@ -51,6 +52,79 @@ def test_unfilled_names_are_skipped_without_a_reset(spark):
     assert [r.seq for r in found] == [5, 9, 12]
 
 
+def due_by_scan(column, named, start, since, limit):
+    return [
+        next((j for j in range(i, len(column)) if named[j] and column[j] - s >= limit), len(column))
+        for i, s in zip(start, since)
+    ]
+
+
+def test_first_due_row_of_any_column():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 8, 17, 64, 65):
+        column = rng.integers(0, 9, n).astype(float)
+        column[rng.random(n) < 0.1] = np.nan
+        named, start = rng.random(n) < 0.8, rng.integers(0, n + 1, 40)
+        since = np.append(rng.integers(-3, 9, 38).astype(float), [np.nan, np.inf])
+        for limit in (-2, 0, 3, 7.5):
+            found = checkpoints.first_due(column, named, start, since, limit)
+            assert found.tolist() == due_by_scan(column, named, start, since, limit)
+
+
+def chain_with_gaps(rows, limits):
+    """rows of (seq, epoch, step, seconds, named) in order; nulls are never due."""
+    last, fired = (0, 0, rows[0][3]), []
+    for seq, *now, named in rows:
+        due = any(a is not None and b is not None and a - b >= limit for a, b, limit in zip(now, last, limits))
+        if named and due:
+            fired.append(seq)
+            last = tuple(now)
+    return fired
+
+
+@pytest.mark.parametrize("scan_rows", [1, 7, 40, 1000])
+def test_chunks_of_a_run_give_the_whole_chain(spark, scan_rows):
+    rng, rows = random.Random(scan_rows), []
+    for run in (None, 1, 2, 3, 4):
+        step, limit_of_nulls = 0, 0.1 if run in (2, 3) else 0
+        for seq in range(rng.choice([1, 50, 120])):
+            step = step + 1 if run != 4 else rng.randint(0, 40)
+            clocks = [seq // 40, step, float(rng.choice([seq, seq, 3 * seq]))]
+            clocks = [None if rng.random() < limit_of_nulls else c for c in clocks]
+            rows.append((run, seq, *clocks, rng.random() < 0.8))
+    frame = spark.createDataFrame(
+        rows, "run_id bigint, seq bigint, epoch bigint, step bigint, seconds double, named boolean"
+    ).repartition(3)
+    for limits in ((2, 9, 60.0), (9, 35, 1e9)):
+        expected = set()
+        for run in {r[0] for r in rows}:
+            expected |= {(run, s) for s in chain_with_gaps(sorted(r[1:] for r in rows if r[0] == run), limits)}
+        found = checkpoints.checkpoint_policy(frame, *limits, scan_rows=scan_rows).collect()
+        assert {(r.run_id, r.seq) for r in found} == expected and len(found) == len(expected)
+
+
+def test_entries_are_few_where_chunks_are_long(spark):
+    rows = [(1, s, 0, s, 0.0) for s in range(4000)]
+    frame = spark.createDataFrame(rows, "run_id bigint, seq bigint, epoch bigint, step bigint, seconds double")
+    placed = frame.select(
+        F.lit("1").alias("key"), F.floor(F.col("seq") / 1000).alias("chunk"), (F.col("seq") + 1).alias("rn"), "*", F.lit(True).alias("named")
+    )
+    entries = checkpoints._entries(placed, checkpoints._starts(placed, None), (9, 25, 1e9))
+    assert entries.count() == 1 + 3 * 25
+
+
+def test_checkpoint_stream_goes_on_after_a_stop(spark, tmp_path):
+    rows = chain_rows()
+    frame = spark.createDataFrame(rows, "run_id bigint, seq bigint, epoch bigint, step bigint, seconds double")
+    path, progress = str(tmp_path / "steps"), str(tmp_path / "progress")
+    for low, high in ((0, 90), (90, 333), (333, 9999)):
+        frame.where((F.col("seq") >= low) & (F.col("seq") < high)).write.mode("append").parquet(path)
+        stream = jobs.file_stream(spark, path, frame.schema, per_trigger=None)
+        fires, late = jobs.checkpoint_policy(stream, 2, 25, 60.0, path=progress)
+    expected = {(r.run_id, r.seq) for r in checkpoints.checkpoint_policy(frame, 2, 25, 60.0).collect()}
+    assert {(r.run_id, r.seq) for r in fires.collect()} == expected and late.isEmpty()
+
+
 def test_stream_reports_late_steps(spark, tmp_path):
     schema = "run_id bigint, seq bigint, epoch bigint, step bigint, seconds double"
     path = str(tmp_path / "steps")
