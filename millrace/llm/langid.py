@@ -136,7 +136,8 @@ def fit(
     """Learn from a bounded sample outside the held-out fold.
 
     ``sample_rows`` are shared evenly by the languages: of each the first in the order of a digest
-    of the id (there are few languages: their counts come to the driver), of texts of at most SAMPLE_CHARS characters. Null languages and texts are left out.
+    of the id (there are few languages: their counts come to the driver), of texts of at most SAMPLE_CHARS characters.
+    Repeated rows of an id in one language count as one. Null languages and texts are left out.
     """
     rows = docs.select(
         F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang")
@@ -150,9 +151,10 @@ def fit(
     drawn = rows.select("_id", "_lang").join(F.broadcast(sizes), F.col("_lang") == F.col("_of"))
     drawn = drawn.where(hex_to_unit(digest) * F.col("_size") < OVERSAMPLE * each)
     order = W.partitionBy("_lang").orderBy(digest, "_id")
-    ids = drawn.select("_id", "_lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each)
-    ids = ids.select("_id").distinct()
-    sample = rows.join(F.broadcast(ids), "_id").select("_id", "_lang", "_text").collect()
+    ids = drawn.select("_id", "_lang").distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each)
+    # Of the rows of one id and language the least text is taken before they leave their tasks.
+    chosen = rows.join(F.broadcast(ids.select("_id", "_lang")), ["_id", "_lang"])
+    sample = chosen.groupBy("_id", "_lang").agg(F.min("_text").alias("_text")).collect()
     sample = sorted((r["_id"], r["_lang"], r["_text"]) for r in sample)
     return train([r[2] for r in sample], [r[1] for r in sample])
 

@@ -106,12 +106,13 @@ def fit(
 
     The sample is bounded: at most ``sample_rows`` toxic documents and CLEAN_FOR_TOXIC times as
     many clean ones, the first in the order of
-    a digest of their ids, of at most SAMPLE_CHARS characters each. Class shares come from all
-    labels. Without a class of labels every document gets the share of the other.
+    a digest of their ids, of at most SAMPLE_CHARS characters each; of repeated rows of an id the one
+    with the least text. An id labelled 0 and 1 counts as 0. Class shares come from all labels. Without a
+    class of labels every document gets the share of the other.
     """
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
     known = known.where(F.col("_toxic").isin(0, 1) & F.col("_id").isNotNull())
-    known = known.where(fold(F.col("_id"), FOLDS) != HELD_OUT)
+    known = known.where(fold(F.col("_id"), FOLDS) != HELD_OUT).groupBy("_id").agg(F.min("_toxic").alias("_toxic"))
     number = {r[0]: r[1] for r in known.groupBy("_toxic").count().collect()}
     total = sum(number.values())
     if number.get(0, 0) == 0 or number.get(1, 0) == 0:
@@ -127,7 +128,8 @@ def fit(
     ids = chosen[0].unionByName(chosen[1])
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     rows = rows.where(F.length("_text") <= SAMPLE_CHARS).join(F.broadcast(ids), "_id")
-    sample = sorted((r["_id"], r["_toxic"], r["_text"]) for r in rows.select("_id", "_toxic", "_text").collect())
+    rows = rows.groupBy("_id", "_toxic").agg(F.min("_text").alias("_text"))
+    sample = sorted((r["_id"], r["_toxic"], r["_text"]) for r in rows.collect())
     y = [r[1] for r in sample]
     if len(set(y)) < 2:
         share = number[1] / total

@@ -92,6 +92,25 @@ def test_toxicity_stage_keeps_all_without_both_classes(spark):
         assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_samples_take_one_row_of_a_repeated_id(spark, monkeypatch):
+    taken = {}
+    monkeypatch.setattr(langid, "train", lambda texts, labels: taken.update(lang=(texts, labels)))
+    monkeypatch.setattr(toxicity, "Lexicon", lambda texts: taken.setdefault("toxic", texts) and None)
+    monkeypatch.setattr(toxicity, "train", lambda *_: None)
+    monkeypatch.setattr(toxicity, "token_labels", lambda *_: None)
+    monkeypatch.setattr(toxicity, "Tagger", lambda _: type("T", (), {"tag": lambda self, t: [np.zeros(0)] * len(t)})())
+    inside = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    hot, others = inside[0], inside[1:40]
+    rows = [(hot, f"same id {n:03d}", "en") for n in range(150)] + [(i, f"text {i}", "en" if i % 2 else "de") for i in others]
+    docs = frame(spark, rows)
+    langid.fit(docs)
+    texts, labels = taken["lang"]
+    assert len(texts) == 40 and [t for t in texts if t.startswith("same")] == ["same id 000"] and set(labels) == {"en", "de"}
+    known = [(i, i % 2) for i in others] + [(hot, 1)] * 5 + [(hot, 0)]
+    toxicity.fit(docs, spark.createDataFrame(known, "doc_id bigint, toxic int"))
+    assert sorted(taken["toxic"]) == sorted(["same id 000"] + [f"text {i}" for i in others])
+
+
 def test_language_held_out_accuracy(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     got = langid.identify(docs, langid.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
