@@ -359,3 +359,15 @@ def test_request_stream(spark, tmp_path):
         stream, lambda r: r.select("request_id", F.split("content", " ").alias("ids")), context=26
     )
     assert [r.context_ids for r in found.collect()] == [["b", "c"]]
+
+
+def test_sizes_beyond_64_bits(spark, tmp_path):
+    from millrace.plans.queries import QUERIES
+
+    rows = [(3, 2), (9_000_000, 899_999), (9_000_000, 900_000), (None, 1)]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    found = {n: QUERIES[n](spark, str(tmp_path)).collect() for n in ("human_bytes", "human_count")}
+    assert [(r[0], r[1]) for r in sorted(found["human_bytes"], key=str)] == [
+        (3, "18 B"), (9_000_000, "7.2899919E10 TB"), (9_000_000, "7.29E7 TB"), (None, None)
+    ]
+    assert sorted(str(r[1]) for r in found["human_count"]) == ["18", "72899919000000.0B", "72900000000.0B", "None"]
