@@ -246,3 +246,15 @@ def test_byte_alphabet():
     letters = bpe.byte_alphabet()
     assert len(set(letters)) == 256
     assert (letters[32], letters[10], letters[65]) == ("Ġ", "Ċ", "A")
+
+
+def test_metaspace_words_at_blanks_and_signs(spark):
+    """Words of odd texts; both the blank and its sign separate."""
+    m = bpe.META
+    texts = {
+        "": [], " ": [m], "a": [m + "a"], "a ": [m + "a", m], " a": [m + "a"], "  a": [m, m + "a"], "a\n b": [m + "a\n", m + "b"],
+        m: [m], m + "a": [m + "a"], f" {m}a": [m, m + "a"], f"a{m} é": [m + "a", m, m + "é"], None: [],
+    }
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in frame.select("t", bpe.metaspace_words(F.col("t")).alias("w")).collect():
+        assert row.w == texts[row.t], row
