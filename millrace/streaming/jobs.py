@@ -81,14 +81,19 @@ def tokenize_files(
 
     def take(batch: DataFrame, batch_id: int) -> None:
         encode(batch).select("shard_id", "doc_id", "ids").write.mode("overwrite").parquet(f"{tokens}/batch_id={batch_id}")
-        stored = spark.read.parquet(f"{tokens}/batch_id={batch_id}")
+        stored = spark.read.schema("shard_id int, ids array<int>").parquet(f"{tokens}/batch_id={batch_id}")
         counted = stored.groupBy("shard_id").agg(
             F.count("*").alias("documents"), F.sum(F.size("ids")).cast("bigint").alias("num_tokens")
         )
         before = 0
         if exists(spark, ledger):
-            earlier = spark.read.schema(f"{LEDGER}, batch_id bigint").parquet(ledger).where(F.col("batch_id") < batch_id)
-            before = earlier.agg(F.sum("num_tokens")).first()[0] or 0
+            # The micro-batch before holds the total, unless it had no rows; then all entries are summed.
+            last = f"{ledger}/batch_id={batch_id - 1}"
+            if exists(spark, last):
+                before = spark.read.schema(LEDGER).parquet(last).agg(F.max("running_tokens")).first()[0]
+            if not before:
+                earlier = spark.read.schema(f"{LEDGER}, batch_id bigint").parquet(ledger).where(F.col("batch_id") < batch_id)
+                before = earlier.agg(F.sum("num_tokens")).first()[0] or 0
         # One row per shard of this micro-batch, whose number of files is bounded.
         up_to = W.partitionBy(F.lit(0)).orderBy("shard_id").rowsBetween(W.unboundedPreceding, 0)
         entries = counted.withColumn("running_tokens", F.lit(before) + F.sum("num_tokens").over(up_to))

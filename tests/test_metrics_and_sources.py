@@ -371,3 +371,24 @@ def test_sizes_beyond_64_bits(spark, tmp_path):
         (3, "18 B"), (9_000_000, "7.2899919E10 TB"), (9_000_000, "7.29E7 TB"), (None, None)
     ]
     assert sorted(str(r[1]) for r in found["human_count"]) == ["18", "72899919000000.0B", "72900000000.0B", "None"]
+
+
+def test_micro_batches_grow_with_the_corpus():
+    from millrace.plans import queries as q
+
+    assert q.shards_per_trigger(0) == q.shards_per_trigger(60_000) == q.SHARDS_PER_TRIGGER
+    for documents in (10**5, 10**6, 10**8):
+        shards = -(-documents // 64)
+        assert -(-shards // q.shards_per_trigger(documents)) <= q.MICRO_BATCHES
+
+
+def test_stream_total_goes_on_after_a_micro_batch_without_rows(spark, tmp_path):
+    path, frame = str(tmp_path / "in"), spark.createDataFrame([(0, 1, "a b")], "shard_id int, doc_id bigint, content string")
+    found = []
+    for number, rows in enumerate((frame, frame.where("false"), frame.withColumn("shard_id", F.lit(2)))):
+        rows.coalesce(1).write.mode("append").parquet(path)
+        stream = jobs.file_stream(spark, path, frame.schema, per_trigger=1)
+        encode = lambda d: d.select("shard_id", "doc_id", F.array(F.lit(1), F.lit(2)).alias("ids"))
+        ledger, _ = jobs.tokenize_files(stream, encode, str(tmp_path / "out"))
+        found.append(sorted(r.running_tokens for r in ledger.collect()))
+    assert found == [[2], [2], [2, 4]]

@@ -258,3 +258,13 @@ def test_metaspace_words_at_blanks_and_signs(spark):
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
     for row in frame.select("t", bpe.metaspace_words(F.col("t")).alias("w")).collect():
         assert row.w == texts[row.t], row
+
+
+def test_special_tokens_come_with_the_sizes_of_trained_vocabularies(spark, small):
+    from millrace.plans.queries import QUERIES
+
+    rows = QUERIES["special_token_lookup"](spark, small).collect()
+    assert [(r.token, r.id) for r in rows] == [("[UNK]", 0), ("[PAD]", 1), ("[EOS]", 2)]
+    for kind, extra in (("metaspace", 0), ("go", 103), ("typed", 112)):
+        learnt = trained.first_merges(spark, small, kind).vocabulary
+        assert {r[f"{kind}_size"] for r in rows} == {len(learnt.tokens) + extra} and len(learnt.merges) == trained.FIRST_MERGES
