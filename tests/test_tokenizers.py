@@ -96,6 +96,22 @@ def test_training_runs_out_of_pairs(spark):
     assert found.tokens == [*bpe.SPECIALS, "a", "b", "c", "ab"]
 
 
+def test_leading_pairs_alone_reach_the_driver(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [("".join(map(bpe.symbol, rng.sample(range(50), 2))).encode(), rng.randint(1, 9)) for _ in range(400)]
+    rows = list(dict(rows).items())
+    frame = spark.createDataFrame(rows, "pair binary, n bigint").repartition(7)
+
+    def refuse(self):
+        raise AssertionError("a limit that is collected sends its rows of every partition")
+
+    monkeypatch.setattr(type(frame), "collect", refuse)
+    expected = sorted((-n, tuple(bpe.ids_of(pair.decode()))) for pair, n in rows)
+    assert bpe.leading_pairs(frame, 40) == expected[:40]
+    assert bpe.leading_pairs(frame, 10**4) == expected
+    assert bpe.leading_pairs(frame.where("n > 99"), 5) == []
+
+
 def test_training_limits(spark):
     words = {"abab": 3, "bcbc": 2}
     assert len(bpe.train(counts_frame(spark, words), 7)) == 7
