@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from models import greedy_bpe
 from pyspark.sql import functions as F
@@ -284,3 +285,46 @@ def test_special_tokens_come_with_the_sizes_of_trained_vocabularies(spark, small
     for kind, extra in (("metaspace", 0), ("go", 103), ("typed", 112)):
         learnt = trained.first_merges(spark, small, kind).vocabulary
         assert {r[f"{kind}_size"] for r in rows} == {len(learnt.tokens) + extra} and len(learnt.merges) == trained.FIRST_MERGES
+
+
+ODD = ["a", "int", "int16 ", " ", "\t", "\r", "\n", "\n\t", '"', "'", "`", "//", "/*", "*/", "0x1p", ".5e", "i", "_"]
+ODD += ["~", "\x00", "\x1c", "\x1f", "\x0b", "\x0c", "=", ":=", "func", "return", ",", "-", "'s", "\\", "1", "string"]
+
+
+@pytest.mark.parametrize("compat", [None, False, True])
+def test_tasks_spell_ascii_pieces_as_columns_do(spark, compat):
+    rng = random.Random(3)
+    vocabulary = bpe.Vocabulary([*bpe.SPECIALS, "a"], [])
+    tok = codecs.GoTokenizer(vocabulary) if compat is None else codecs.TypedGoTokenizer(vocabulary, compat)
+    texts = ["".join(rng.choices(ODD, k=rng.randint(1, 40))) for _ in range(300)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, content string")
+    pieces = tok.pieces(frame, "doc_id").select(F.explode("pieces").alias("p")).distinct()
+    inked = pieces.where(~F.col("p").rlike(r"^[ \t\r\n]"))
+    speller = tok.speller()
+    for p, units in inked.select("p", tok.piece_units(F.col("p"))).collect():
+        expected = [u.fixed if u.word is None else u.word for u in units]
+        if compat is None or lexer.ascii_clean_literal(p) not in go.BASIC_TYPES:
+            assert speller.units(p) == expected, p
+
+
+@pytest.mark.parametrize("cls", [codecs.GoTokenizer, codecs.TypedGoTokenizer])
+def test_counting_pieces_first_counts_the_same_words(spark, prose, cls):
+    expected = bpe.word_counts(cls.training_words(prose.union(prose)))
+    assert sorted(cls.word_counts(prose.union(prose)).collect()) == sorted(expected.collect())
+
+
+def test_a_distinct_piece_is_spelled_once():
+    seen = []
+
+    class Counting(codecs.GoSpeller):
+        def units(self, piece):
+            seen.append(piece)
+            return super().units(piece)
+
+    encoder = bpe.PieceEncoder(bpe.Vocabulary([*bpe.SPECIALS, "Ġ", "a"], []), 0, Counting(5))
+    rows = pa.array([["a", " ", "a", "=", " ", "a"], None, [], ["a", "\t", "\n\t"]], pa.list_(pa.string()))
+    ids = bpe._placed(rows, None, encoder).to_pylist()
+    assert bpe._placed(rows, None, encoder).to_pylist() == ids
+    equals = 5 + go.SPELLINGS["="]
+    assert ids == [[3, 4, 5 + go.SPACE, 3, 4, equals, 3, 4], [], [], [3, 4, 5 + go.GO_TOKENS + 1]]
+    assert sorted(seen) == sorted({"a", " ", "=", "\t", "\n\t"})
